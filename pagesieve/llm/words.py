@@ -35,18 +35,23 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(np.full(n, _BASE, np.uint64))
 
 
-def _hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of every word."""
+_WORD = (~_IS_WHITE).astype(np.uint8)
+
+
+def run_hashes(data: bytes, classes: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of every run of one class of bytes; bytes of class 0 are left out."""
     a = np.frombuffer(data, np.uint8)
-    white = _IS_WHITE[a]
-    edge = np.flatnonzero(np.diff(white.view(np.int8), prepend=1, append=1))
-    starts, lengths = edge[::2], edge[1::2] - edge[::2]
+    c = classes[a]
+    starts = np.flatnonzero(np.diff(c, prepend=0 if len(c) and c[0] else 1) != 0)
+    lengths = np.diff(starts, append=len(a))
+    kept = c[starts] > 0
+    starts, lengths = starts[kept], lengths[kept]
     if not len(starts):
         return np.empty(0, np.uint64), starts
     firsts = np.cumsum(lengths) - lengths
     inside = np.arange(int(lengths.sum())) - np.repeat(firsts, lengths)
     longest = 1 << int(lengths.max() - 1).bit_length()
-    sums = np.add.reduceat(_BYTE[a[~white]] * _powers(max(64, longest))[inside], firsts)
+    sums = np.add.reduceat(_BYTE[a[c > 0]] * _powers(max(64, longest))[inside], firsts)
     return mix(sums + lengths.astype(np.uint64) * _M1), starts
 
 
@@ -64,26 +69,29 @@ def encoded(text: str | None, lower: bool = False) -> bytes:
     return data.lower() if lower else data
 
 
-def word_hashes(texts: Sequence[str | None], lower: bool = False) -> Iterator[np.ndarray]:
-    """For each text the hashes of its words in order; lower: A-Z count as a-z. Null counts as empty."""
+def word_hashes(texts: Sequence[str | None], lower: bool = False, classes: np.ndarray = _WORD) -> Iterator[np.ndarray]:
+    """For each text the hashes of its words in order; lower: A-Z count as a-z. Null counts as empty.
+
+    classes: other words than runs without white space, as a class for each byte; white space has class 0.
+    """
     group: list[bytes] = []
     held = 0
     for text in texts:
         data = encoded(text, lower)
         if held + len(data) > PIECE and group:
-            yield from _together(group)
+            yield from _together(group, classes)
             group, held = [], 0
         if len(data) > PIECE:
-            yield np.concatenate([_hashes(x)[0] for x in _pieces(data)])
+            yield np.concatenate([run_hashes(x, classes)[0] for x in _pieces(data)])
         else:
             group.append(data)
             held += len(data) + 1
     if group:
-        yield from _together(group)
+        yield from _together(group, classes)
 
 
-def _together(group: list[bytes]) -> list[np.ndarray]:
-    hashes, starts = _hashes(b"\n".join(group))
+def _together(group: list[bytes], classes: np.ndarray) -> list[np.ndarray]:
+    hashes, starts = run_hashes(b"\n".join(group), classes)
     ends = np.cumsum([len(x) + 1 for x in group])
     return np.split(hashes, np.searchsorted(starts, ends[:-1]))
 
