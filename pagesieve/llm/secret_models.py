@@ -22,6 +22,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _IDENTIFIER = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 MIN_LENGTH, MIN_RATIO = 20, 0.7
+#: Weight of the single-character model in rows of the pair model.
+BACKOFF = 100.0
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-"
 SIZE = len(ALPHABET) + 1
 _CODE = np.zeros(256, np.int64)
@@ -87,10 +89,15 @@ def train(docs: DataFrame) -> np.ndarray:
         yield pd.DataFrame({"label": label, "pair": pair, "n": sums[label, pair]})
 
     rows = docs.select("text").mapInPandas(run, "label long, pair long, n long").groupBy("label", "pair").agg(F.sum("n").alias("n")).collect()
-    counts = np.ones((2, SIZE, SIZE))
+    counts = np.zeros((2, SIZE, SIZE))
     for r in rows:
         counts[r["label"], r["pair"] // SIZE, r["pair"] % SIZE] += r["n"]
-    logs = np.log(counts[:, :, 1:] / counts[:, :, 1:].sum(2, keepdims=True))
+    counts = counts[:, :, 1:]
+    single = counts.sum(1) + 0.5
+    single /= single.sum(1, keepdims=True)
+    counts = np.maximum(counts - 1, 0)  # a pair seen once may be the very token that is scored
+    pairs = (counts + BACKOFF * single[:, None, :]) / (counts.sum(2, keepdims=True) + BACKOFF)
+    logs = np.log(pairs)
     return np.concatenate([np.zeros((SIZE, 1)), logs[0] - logs[1]], axis=1)
 
 
