@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import NOTES_PATTERNS, OFFSET_ANCHORS, SECTIONS, STATEMENT_PATTERNS
 from ..functions import text as X
+from ..operators import notes as N
 from ..operators import pages as P
 from ..operators import themes as T
 from ..operators import toc as C
@@ -300,3 +301,75 @@ def collapsed_numbers(spark, sf_dir):
     number = (F.col("l_orderkey") * 7919 + F.col("l_partkey")).cast("string")
     spaced = F.concat(F.regexp_replace(number, "(?<=[0-9])(?=[0-9])", " "), F.lit(" . 5 %"))
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", X.collapse_spaced_number(spaced).alias("amount"))
+
+
+def _statements(spark, sf_dir) -> DataFrame:
+    """The composed reports' statement pages as documents."""
+    pages = composed_pages(spark, sf_dir).where(F.col("text").contains("| --- |"))
+    return pages.select("report_id", F.when(F.col("text").contains("利润表"), F.lit("income_statement")).otherwise(F.lit("balance_sheet")).alias("statement"), F.col("text").alias("markdown"))
+
+
+_REFS = f"""{_LINES}, tables AS (
+  SELECT report_id, CASE WHEN bool_or(contains(line, '利润表')) OVER w THEN 'income_statement' ELSE 'balance_sheet' END AS statement, line_no, list_transform(string_split(line[2:length(line) - 1], '|'), lambda x: {_TRIMMED}) AS c, starts_with(line, '|') AS is_row, bool_or(contains(line, '| --- |')) OVER w AS has
+  FROM rows WINDOW w AS (PARTITION BY report_id, page_idx)
+), body AS (SELECT *, string_split(c[2], '/')[1] AS ref, regexp_replace(c[1], '^(?:其中|加|减)\\s*[:：]\\s*', '') AS item_name FROM tables WHERE has AND is_row AND line_no > 2),
+refs AS (
+  SELECT report_id, statement, cast(row_number() OVER (PARTITION BY report_id, statement ORDER BY line_no) - 1 AS int) AS ord, item_name,
+         regexp_extract(ref, '{_REF}', 1) || CASE WHEN regexp_extract(ref, '{_REF}', 2) <> '' THEN '(' || regexp_extract(ref, '{_REF}', 2) || ')' ELSE '' END AS note_key,
+         cast(regexp_extract(ref, '{_REF}', 1) AS int) AS note_no, nullif(regexp_extract(ref, '{_REF}', 2), '') AS note_subref, nullif(c[3], '') AS current_amount, nullif(c[4], '') AS prior_amount
+  FROM body WHERE regexp_matches(ref, '{_REF}') AND item_name <> ''
+)"""
+
+
+@query(f"WITH {COMPOSED_SQL}, {_REFS} SELECT * FROM refs")
+def statement_note_refs(spark, sf_dir):
+    return N.statement_note_refs(_statements(spark, sf_dir))
+
+
+@query(f"""WITH {COMPOSED_SQL}, {_REFS} SELECT report_id, statement, note_key, note_no, note_subref, min(ord) AS ord, string_agg(item_name, ';' ORDER BY ord) AS items,
+ string_agg(concat_ws(';', nullif(current_amount, '-'), nullif(prior_amount, '-')), ';' ORDER BY ord) AS amounts FROM refs GROUP BY ALL""")
+def ref_groups(spark, sf_dir):
+    groups = N.group_refs(N.statement_note_refs(_statements(spark, sf_dir)))
+    return groups.select("report_id", "statement", "note_key", "note_no", "note_subref", "ord", F.array_join("items", ";").alias("items"), F.array_join("amounts", ";").alias("amounts"))
+
+
+def _note_pages(spark, sf_dir) -> DataFrame:
+    pages = composed_pages(spark, sf_dir).where(F.col("page_idx") - 22 - F.col("report_id").cast("int") % 3 >= 8)
+    return pages.select("report_id", F.col("page_idx").alias("page_no"), "page_idx", "text").where("text <> ''")
+
+
+_BLOCKS = f"""heads AS (
+  SELECT report_id, page_idx, text, list_filter(string_split(text, chr(10))[1:8], lambda x: {_TRIMMED} <> '' AND NOT starts_with(x, '|') AND regexp_matches(x, '{_HEAD}'))[1] AS h
+  FROM pages WHERE text <> '' AND page_idx - 22 - cast(report_id AS int) % 3 >= 8
+), blocks AS (
+  SELECT report_id, cast(row_number() OVER (PARTITION BY report_id ORDER BY page_idx) - 1 AS int) AS block_id, page_idx, CASE WHEN h IS NOT NULL THEN cast(regexp_extract(h, '{_HEAD}', 1) AS int) END AS note_no, text FROM heads
+)"""
+
+
+@query(f"WITH {COMPOSED_SQL}, {_BLOCKS} SELECT * FROM blocks")
+def note_blocks(spark, sf_dir):
+    return N.note_blocks(_note_pages(spark, sf_dir)).drop("title")
+
+
+@query(f"""WITH {COMPOSED_SQL}, {_REFS}, {_BLOCKS}, groups AS (SELECT report_id, statement, note_key, note_no FROM refs GROUP BY ALL),
+matched AS (SELECT g.*, (SELECT count(*) FROM blocks b WHERE b.report_id = g.report_id AND b.note_no = g.note_no) AS n FROM groups g)
+SELECT report_id, groups, matched, groups - matched AS unmatched, note_blocks, unassigned
+FROM (SELECT report_id, count(*) AS groups, count(*) FILTER (n > 0) AS matched FROM matched GROUP BY 1) JOIN (SELECT report_id, count(*) AS note_blocks, count(*) FILTER (note_no IS NULL) AS unassigned FROM blocks GROUP BY 1) USING (report_id)""")
+def statement_notes_stats(spark, sf_dir):
+    groups = N.group_refs(N.statement_note_refs(_statements(spark, sf_dir)))
+    return N.statement_notes_stats(groups, N.note_blocks(_note_pages(spark, sf_dir)))
+
+
+@query(f"""WITH {COMPOSED_SQL}, cells AS (SELECT report_id, cast(unnest(regexp_extract_all(text, '\\|\\s*([0-9]{{1,2}})(?:[/\\s（(]|\\s*\\|)', 1)) AS int) AS n FROM pages WHERE contains(text, '| --- |'))
+SELECT report_id, string_agg(DISTINCT n, ',' ORDER BY n) AS sub_notes FROM cells WHERE n BETWEEN 1 AND 99 GROUP BY 1""")
+def note_ref_set(spark, sf_dir):
+    docs = _statements(spark, sf_dir).withColumn("is_bs", F.col("statement") == "balance_sheet").withColumn("seq", F.when(F.col("is_bs"), 0).otherwise(1))
+    return N.note_ref_set(docs).select("report_id", F.array_join(F.col("sub_notes").cast("array<string>"), ",").alias("sub_notes"))
+
+
+_SUBTOC = " UNION ALL ".join(f"SELECT report_id, page_idx AS spot, '{n}' AS name, cast(regexp_extract(text, '{n}[^0-9P\\n]{{0,15}}(P?)([0-9]{{1,4}})', 2) AS int) AS no FROM pages WHERE regexp_matches(text, '{n}[^0-9P\\n]{{0,15}}(P?)([0-9]{{1,4}})')" for n in N.SUBTOC_NAMES)
+
+
+@query(f"WITH {COMPOSED_SQL}, found AS ({_SUBTOC}), lists AS (SELECT report_id, min(spot) AS spot FROM (SELECT report_id, spot FROM found GROUP BY ALL HAVING count(*) >= 2) GROUP BY 1) SELECT report_id, name, no AS page_idx FROM found JOIN lists USING (report_id, spot)")
+def subtoc_pages(spark, sf_dir):
+    return N.subtoc_pages(composed_pages(spark, sf_dir))

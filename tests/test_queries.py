@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from pagesieve.plans.queries import QUERIES, SQL
@@ -21,7 +22,7 @@ def db():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)].astype(object)
-    return sorted(tuple("" if v is None or v != v else str(int(v)) if isinstance(v, (int, float, bool)) else str(v) for v in r) for r in frame.itertuples(index=False))
+    return sorted(tuple("" if pd.isna(v) else str(int(v)) if isinstance(v, (int, float, bool)) else str(v) for v in r) for r in frame.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
