@@ -3,9 +3,9 @@
 Domains are soft. A Bernoulli naive Bayes model of the labelled rows (presence of the TERMS most telling words
 and of binned text measures) gives every document posteriors of the domains clean, low and toxic. Nonnegative document rates
 are then fitted: with n tokens and posteriors p of each document, the expected totals of domain k, sum(rate * n * p[k]), shall
-equal its target. Projected gradient descent on the least squares of these totals starts at rate 1; a step needs
-only the sums over all documents, and rates are expressions over the steps' residuals, so each step is one
-aggregation.
+equal its target. Projected gradient descent on the least squares of these totals starts at rate 1, in the metric of the
+domains' Gram matrix, so that a step without a bound in its way meets the targets. A step needs only the sums
+over all documents, and rates are expressions over the steps' slopes, so each step is one aggregation.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from .common import lower_ascii, stage
 DOMAINS = ("clean", "low", "toxic")
 #: Shares of tokens that the query asks for.
 TARGETS = {"clean": 0.9, "low": 0.05, "toxic": 0.05}
-SAMPLE, TERMS, STEPS, BLOCK = 6_000, 160, 24, 6
+SAMPLE, TERMS, STEPS, BLOCK = 6_000, 160, 12, 4
 #: Least chi-square statistic of a telling term (two degrees of freedom).
 CHI = 25.0
 _SIGNS = "#*$%&|<>"
@@ -106,24 +106,26 @@ def fit_rates(mass: DataFrame, targets: dict[str, float], total: float | None =
     A step's residuals (a number for each domain) are all that reaches the driver; every BLOCK steps the rates are
     written to the shared folder, so expressions stay short.
     """
+    k = len(DOMAINS)
     p = [F.col(f"p_{d}") for d in DOMAINS]
+    n = F.col("n_tokens")
     share = [targets[d] / sum(targets.values()) for d in DOMAINS]
-    first = mass.agg(*[F.sum(F.col("n_tokens") * x).alias(f"s{k}") for k, x in enumerate(p)], *[F.sum(F.col("n_tokens") * x * x).alias(f"g{k}") for k, x in enumerate(p)]).first()
-    sums = [first[f"s{k}"] or 0.0 for k in range(len(p))]
+    first = mass.agg(*[F.sum(n * x).alias(f"s{i}") for i, x in enumerate(p)], *[F.sum(n * p[i] * p[j]).alias(f"g{i}{j}") for i in range(k) for j in range(k)]).first()
+    sums = [first[f"s{i}"] or 0.0 for i in range(k)]
     if total is None:
         total = sum(sums)
     wanted = [s * total for s in share]
-    scale = [max(s, w, 1e-9) for s, w in zip(sums, wanted, strict=True)]
-    curve = sum((first[f"g{k}"] or 0.0) / scale[k] ** 2 for k in range(len(p)))
-    step = 1.0 / curve if curve > 0 else 0.0
-    rates, rate = mass.withColumn("rate", F.lit(1.0)), F.col("rate")
+    size = max(sum(sums), 1e-9)
+    gram = [[(first[f"g{i}{j}"] or 0.0) / size + (1e-6 if i == j else 0.0) for j in range(k)] for i in range(k)]
+    rates, rate, worst = mass.withColumn("rate", F.lit(1.0)), F.col("rate"), math.inf
     for turn in range(steps):
-        got = rates.agg(*[F.sum(F.col("n_tokens") * x * rate).alias(f"s{k}") for k, x in enumerate(p)]).first()
-        off = [((got[f"s{k}"] or 0.0) - wanted[k]) / scale[k] for k in range(len(p))]
-        if max(map(abs, off)) < 1e-4:
+        got = rates.agg(*[F.sum(n * x * rate).alias(f"s{i}") for i, x in enumerate(p)]).first() if turn else first
+        off = [((got[f"s{i}"] or 0.0) - wanted[i]) / size for i in range(k)]
+        before, worst = worst, max(map(abs, off))
+        if worst < 1e-4 or abs(before - worst) < 1e-5:
             break
-        moved = rate - sum((x * (step * off[k] / scale[k]) for k, x in enumerate(p)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), moved)
+        slope = solved(gram, off)
+        rate = F.greatest(F.lit(0.0), rate - sum((x * y for x, y in zip(p, slope, strict=True)), F.lit(0.0)))
         if most is not None:
             rate = F.least(F.lit(float(most)), rate)
         if turn % BLOCK == BLOCK - 1:
@@ -131,6 +133,20 @@ def fit_rates(mass: DataFrame, targets: dict[str, float], total: float | None =
     return rates.withColumn("rate", rate)
 
 
+def solved(a: list[list[float]], b: list[float]) -> list[float]:
+    """x of a x = b for a small positive definite matrix."""
+    a, b = [list(r) for r in a], list(b)
+    for i in range(len(b)):
+        for j in range(i + 1, len(b)):
+            f = a[j][i] / a[i][i]
+            a[j] = [x - f * y for x, y in zip(a[j], a[i], strict=True)]
+            b[j] -= f * b[i]
+    x = [0.0] * len(b)
+    for i in reversed(range(len(b))):
+        x[i] = (b[i] - sum(a[i][j] * x[j] for j in range(i + 1, len(b)))) / a[i][i]
+    return x
+
+
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """doc_id, n_tokens, p_<domain> and rate for each row of docs.
 

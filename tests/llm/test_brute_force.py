@@ -262,17 +262,16 @@ def test_rates_meet_the_targets(spark):
     got = np.array([(out["rate"] * out["n_tokens"] * out[f"p_{d}"]).sum() for d in domain_mix.DOMAINS])
     assert (out["rate"] >= 0).all() and np.allclose(got / got.sum(), [0.5, 0.3, 0.2], atol=0.01)
     # the same steps in numpy
-    n, rate = out["n_tokens"].to_numpy(float), np.ones(400)
+    n, rate, before = out["n_tokens"].to_numpy(float), np.ones(400), np.inf
     q = out[[f"p_{d}" for d in domain_mix.DOMAINS]].to_numpy()
-    s = n @ q
-    t = np.array([0.5, 0.3, 0.2]) * s.sum()
-    a = np.maximum(s, t)
-    step = 1 / (((n[:, None] * q * q).sum(0)) / a**2).sum()
+    size = n.sum()
+    gram = (q * n[:, None]).T @ q / size + 1e-6 * np.eye(3)
     for _ in range(60):
-        off = ((n * rate) @ q - t) / a
-        if abs(off).max() < 1e-4:
+        off = (n * rate) @ q / size - np.array([0.5, 0.3, 0.2])
+        if abs(off).max() < 1e-4 or abs(before - abs(off).max()) < 1e-5:
             break
-        rate = np.maximum(0, rate - q @ (step * off / a))
+        before = abs(off).max()
+        rate = np.maximum(0, rate - q @ np.linalg.solve(gram, off))
     assert np.allclose(rate, out["rate"], atol=1e-6)
 
 
