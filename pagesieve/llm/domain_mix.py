@@ -77,16 +77,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     return base, weights
 
 
-def posteriors(text: Column, base: list[float], weights: dict[str, list[float]]) -> Column:
-    """Array of the domains' posteriors."""
+def with_posteriors(docs: DataFrame, base: list[float], weights: dict[str, list[float]]) -> DataFrame:
+    """Adds p_<domain>. Every step is a column of its own, so that no text is split more than once."""
     zero = F.array(*[F.lit(float(b)) for b in base])
     logs = zero
     if weights:
         known = F.array(*[F.lit(w) for w in weights])
         table = F.create_map(*[x for w, v in weights.items() for x in (F.lit(w), F.array(*[F.lit(float(y)) for y in v]))])
-        logs = F.aggregate(F.array_intersect(document_terms(text), known), zero, lambda a, w: F.zip_with(a, F.element_at(table, w), lambda x, y: x + y))
-    powers = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    return powers
+        docs = docs.withColumn("_present", F.array_intersect(document_terms(F.col("text")), known))
+        logs = F.aggregate("_present", zero, lambda a, w: F.zip_with(a, F.element_at(table, w), lambda x, y: x + y))
+    out = docs.withColumn("_logs", logs).withColumn("_most", F.array_max("_logs"))
+    out = out.withColumn("_powers", F.array(*[F.exp(F.col("_logs")[k] - F.col("_most")) for k in range(len(DOMAINS))]))
+    total = sum((F.col("_powers")[k] for k in range(len(DOMAINS))), F.lit(0.0))
+    return out.select("*", *[(F.col("_powers")[k] / total).alias(f"p_{d}") for k, d in enumerate(DOMAINS)]).drop("_present", "_logs", "_most", "_powers")
 
 
 def expected(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -94,9 +97,8 @@ def expected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     base, weights = train(docs, labels)
     text = F.coalesce("text", F.lit(""))
     tokens = F.size(F.filter(F.split(text, r"[ \t-\r]+"), lambda x: x != "")).cast("long")
-    out = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), tokens.alias("n_tokens"), posteriors(F.col("text"), base, weights).alias("w"))
-    total = sum((F.col("w")[k] for k in range(len(DOMAINS))), F.lit(0.0))
-    return out.select("doc_id", "key", "n_tokens", *[(F.col("w")[k] / total).alias(f"p_{d}") for k, d in enumerate(DOMAINS)])
+    own = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"), tokens.alias("n_tokens"))
+    return with_posteriors(own, base, weights).select("doc_id", "key", "n_tokens", *[f"p_{d}" for d in DOMAINS])
 
 
 def fit_rates(mass: DataFrame, targets: dict[str, float], total: float | None = None, most: float | None = None, steps: int = STEPS) -> DataFrame:
