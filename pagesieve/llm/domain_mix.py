@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, stage
+from .common import stage
 
 DOMAINS = ("clean", "low", "toxic")
 #: Shares of tokens that the query asks for.
@@ -36,19 +36,23 @@ def _bin(name: str, share: Column, *edges: float) -> Column:
     return F.concat(F.lit(f"={name}:"), level.cast("string"))
 
 
-def document_terms(text: Column) -> Column:
-    """Distinct words of a text, and its binned measures."""
+def words_of(text: Column) -> Column:
+    """Lower-cased words without the usual signs between them."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[ \n\t.,;:!?|]+"), lambda w: w != "")
+
+
+def measures_of(text: Column) -> Column:
+    """The binned measures of a text, as words."""
     text = F.coalesce(text, F.lit(""))
     size = F.greatest(F.length(text), F.lit(1))
     lines = F.split(text, "\n")
-    left_out = lambda signs: (F.length(text) - F.length(F.translate(text, signs, ""))) / size
-    measures = [
+    left_out = lambda signs: (F.length(text) - F.length(F.regexp_replace(text, f"[{signs}]+", ""))) / size
+    return F.array(
         _bin("signs", left_out(_SIGNS), 0.005, 0.02, 0.1),
-        _bin("capitals", left_out("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), 0.005, 0.05, 0.3),
+        _bin("capitals", left_out("A-Z"), 0.005, 0.05, 0.3),
         _bin("repeats", F.size(lines) / F.size(F.array_distinct(lines)), 1.2, 2.0, 4.0),
         _bin("length", F.length(text), 50, 200, 1000, 10000),
-    ]
-    return F.concat(F.array_distinct(F.split(lower_ascii(text), r"[ \n\t.,;:!?|]+")), F.array(*measures))
+    )
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> tuple[list[float], dict[str, list[float]]]:
@@ -59,7 +63,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     """
     known = labels.where("doc_id is not null").withColumn("k", domain_of(F.col("quality"), F.col("toxic"))).where("k is not null").groupBy("doc_id").agg(F.max("k").alias("k"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # the documented sample of labelled rows
-    rows = stage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("k", document_terms(F.col("text")).alias("terms")))
+    rows = stage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("k", F.concat(F.array_distinct(words_of(F.col("text"))), measures_of(F.col("text"))).alias("terms")))
     counts = {r["k"]: r["n"] for r in rows.groupBy("k").agg(F.count("*").alias("n")).collect()}
     n = [counts.get(k, 0) for k in range(len(DOMAINS))]
     per = [F.count_if(F.col("k") == k).alias(f"c{k}") for k in range(len(DOMAINS))]
@@ -78,13 +82,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
 
 
 def with_posteriors(docs: DataFrame, base: list[float], weights: dict[str, list[float]]) -> DataFrame:
-    """Adds p_<domain>. Every step is a column of its own, so that no text is split more than once."""
+    """Adds p_<domain>. docs: text, _words. Every step is a column of its own, so that no text is split more than once."""
     zero = F.array(*[F.lit(float(b)) for b in base])
     logs = zero
     if weights:
         known = F.array(*[F.lit(w) for w in weights])
         table = F.create_map(*[x for w, v in weights.items() for x in (F.lit(w), F.array(*[F.lit(float(y)) for y in v]))])
-        docs = docs.withColumn("_present", F.array_intersect(document_terms(F.col("text")), known))
+        docs = docs.withColumn("_present", F.concat(F.array_intersect("_words", known), F.array_intersect(measures_of(F.col("text")), known)))
         logs = F.aggregate("_present", zero, lambda a, w: F.zip_with(a, F.element_at(table, w), lambda x, y: x + y))
     out = docs.withColumn("_logs", logs).withColumn("_most", F.array_max("_logs"))
     out = out.withColumn("_powers", F.array(*[F.exp(F.col("_logs")[k] - F.col("_most")) for k in range(len(DOMAINS))]))
@@ -95,10 +99,9 @@ def with_posteriors(docs: DataFrame, base: list[float], weights: dict[str, list[
 def expected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, key, n_tokens (words) and p_<domain> for each row of docs."""
     base, weights = train(docs, labels)
-    text = F.coalesce("text", F.lit(""))
-    tokens = F.size(F.filter(F.split(text, r"[ \t-\r]+"), lambda x: x != "")).cast("long")
-    own = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"), tokens.alias("n_tokens"))
-    return with_posteriors(own, base, weights).select("doc_id", "key", "n_tokens", *[f"p_{d}" for d in DOMAINS])
+    own = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"), words_of(F.col("text")).alias("_words"))
+    own = with_posteriors(own.withColumn("n_tokens", F.size("_words").cast("long")), base, weights)
+    return own.select("doc_id", "key", "n_tokens", *[f"p_{d}" for d in DOMAINS])
 
 
 def fit_rates(mass: DataFrame, targets: dict[str, float], total: float | None = None, most: float | None = None, steps: int = STEPS) -> DataFrame:
