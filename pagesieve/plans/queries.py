@@ -327,7 +327,7 @@ def statement_note_refs(spark, sf_dir):
 
 
 @query(f"""WITH {COMPOSED_SQL}, {_REFS} SELECT report_id, statement, note_key, note_no, note_subref, min(ord) AS ord, string_agg(item_name, ';' ORDER BY ord) AS items,
- string_agg(array_to_string(list_distinct(list_filter([current_amount, prior_amount], lambda x: x <> '-')), ';'), ';' ORDER BY ord) AS amounts FROM refs GROUP BY ALL""")
+ string_agg(concat_ws(';', nullif(current_amount, '-'), CASE WHEN prior_amount <> current_amount THEN nullif(prior_amount, '-') END), ';' ORDER BY ord) AS amounts FROM refs GROUP BY ALL""")
 def ref_groups(spark, sf_dir):
     groups = N.group_refs(N.statement_note_refs(_statements(spark, sf_dir)))
     return groups.select("report_id", "statement", "note_key", "note_no", "note_subref", "ord", F.array_join("items", ";").alias("items"), F.array_join("amounts", ";").alias("amounts"))
