@@ -7,7 +7,8 @@ A document's set holds its distinct word shingles. Two documents link when
 2. Cover: a linked pair of sizes up to ``u`` differs in at most ``2 u (100 - p) / (100 + p)`` shingles. The
    shingles of a set are dealt by hash into so many parts and ``SPARE`` more; at least ``SPARE`` parts of a
    linked pair are then equal, and one of them is not empty unless a set has ``SPARE`` empty parts (then
-   its empty parts count too). Sets that share a part form a cell, so no link crosses all cells.
+   its empty parts count too). Sets that share a part form a cell, so no link crosses all cells. Tasks combine
+   the cells of neighbouring rows before the shuffle.
 3. Cells that hold different sets are joined to candidate clusters (connected components of leader links).
 4. Signature trees: each cluster is cut into blocks of at most ``BLOCK`` sets and the cluster's leader. The
    nodes of a block's tree hold OR-combined shingle bitmaps and size ranges. A dual traversal drops
@@ -36,6 +37,8 @@ from .words import mix, windows, word_hashes
 SPARE = 3
 BLOCK = 128
 FANOUT = 4
+#: Characters of the texts whose cells a task combines before they are shuffled.
+SLICE = 1 << 23
 #: Sizes up to which a cover has its own number of parts; each is about 1.35 times the one before.
 BANDS = np.unique(np.floor(9 * 1.35 ** np.arange(0, 90)).astype(np.int64))
 _M1 = np.uint64(0x9E3779B97F4A7C15)
@@ -168,20 +171,59 @@ def traverse(a: Tree, b: Tree, ia: list[int], ib: list[int], known: Classes, per
     return found
 
 
+def slices(texts: pd.Series) -> Iterator[slice]:
+    """Consecutive rows of together about SLICE characters; a longer text is alone or ends its slice."""
+    start, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t) if t else 0
+        if held >= SLICE:
+            yield slice(start, i + 1)
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
+def combined(keys: list[int | None], cells: list[np.ndarray]) -> tuple[list[np.ndarray], list[list[int]]]:
+    """For each row the cells that no row before it has, and the keys of the first rows that have the others.
+
+    Rows of a key that came before have neither. So of a hot cell, or a group of copies, one row a slice is shuffled.
+    """
+    seen, own = set(), []
+    for k, c in zip(keys, cells, strict=True):
+        own.append(c[:0] if k in seen else c)
+        seen.add(k)
+    every, owner = np.concatenate([np.empty(0, np.int64), *own]), np.repeat(np.arange(len(own)), [len(c) for c in own])
+    _, first, which = np.unique(every, return_index=True, return_inverse=True)
+    leader = owner[first][which]
+    new = leader == owner
+    left = np.split(every[new], np.cumsum(np.bincount(owner[new], minlength=len(own)))[:-1])
+    links: list[list[int]] = [[] for _ in own]
+    for i, j in np.unique(np.stack([owner[~new], leader[~new]], axis=1), axis=0):
+        links[i].append(keys[j])
+    return left, links
+
+
 def document_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, cells) of every row; an empty set has neither key nor cells."""
+    """(doc_id, n_shingles, set_key, cells, linked) of every row; an empty set has neither key nor cells.
+
+    Rows of one slice are combined: linked names sets that share a cell with the row's set.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = list(shingle_sets(b["text"], width))
-            yield pd.DataFrame({
-                "doc_id": b["doc_id"].astype("Int64"),
-                "n_shingles": [len(s) for s in sets],
-                "set_key": pd.array([set_key(s) for s in sets], "Int64"),
-                "cells": [signatures(s, percent) if len(s) else None for s in sets],
-            })
+            for part in slices(b["text"]):
+                sets = list(shingle_sets(b["text"][part], width))
+                keys = [set_key(s) for s in sets]
+                cells, linked = combined(keys, [signatures(s, percent) for s in sets])
+                yield pd.DataFrame({
+                    "doc_id": b["doc_id"][part].astype("Int64").array,
+                    "n_shingles": [len(s) for s in sets],
+                    "set_key": pd.array(keys, "Int64"),
+                    "cells": cells,
+                    "linked": linked,
+                })
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, set_key long, cells array<long>")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, set_key long, cells array<long>, linked array<long>")
 
 
 def _arrays(texts: DataFrame, width: int) -> DataFrame:
@@ -237,10 +279,12 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     a class only (as null) if none of its rows has one. An empty table gives an empty one.
     """
     sets = stage(document_sets(docs, width, percent))
-    cells = sets.select("set_key", F.explode("cells").alias("cell"))
-    sets = sets.drop("cells")
+    # one shuffle serves the leaders and the join with them
+    cells = sets.select("set_key", F.explode("cells").alias("cell")).where("set_key is not null and cell is not null").repartition("cell")
     leaders = cells.groupBy("cell").agg(F.min("set_key").alias("leader"), F.max("set_key").alias("last")).where("leader <> last").select("cell", "leader")
     star = cells.join(leaders, "cell").where("set_key <> leader").select(F.col("leader").alias("a"), F.col("set_key").alias("b"))
+    star = star.unionByName(sets.select(F.explode("linked").alias("a"), F.col("set_key").alias("b")))
+    sets = sets.drop("cells", "linked")
     clusters = components(star)
     blocks = clusters.groupBy("root").agg(F.count("*").alias("members")).select(F.col("root").alias("cluster"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     named = clusters.select(F.col("node").alias("set_key"), F.col("root").alias("cluster")).join(blocks, "cluster")
