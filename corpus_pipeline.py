@@ -15,7 +15,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class under five-word shingles and a similarity of 0.8."""
-    return signature_tree_join.keep_representatives(docs, width=5, percent=80)
+    return signature_tree_join.keep_representatives(docs, width=5, percent=80, cover="minhash")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,9 @@ A document's set holds its distinct word shingles. Two documents link when
 2. Cover: a linked pair of sizes up to ``u`` differs in at most ``2 u (100 - p) / (100 + p)`` shingles. The
    shingles of a set are dealt by hash into so many parts and ``SPARE`` more; at least ``SPARE`` parts of a
    linked pair are then equal, and one of them is not empty unless a set has ``SPARE`` empty parts (then
-   its empty parts count too). Sets that share a part form a cell, so no link crosses all cells.
+   its empty parts count too). Sets that share a part form a cell, so no link crosses all cells. The number of
+   parts grows with the set and with 100 - p; at lower limits, ``cover="minhash"`` takes cells of equal MinHash values
+   instead, as many for every set, so many that a linked pair shares none with a chance of at most ``MISS``.
 3. Cells that hold different sets are joined to candidate clusters (connected components of leader links).
 4. Signature trees: each cluster is cut into blocks of at most ``BLOCK`` sets and the cluster's leader. The
    nodes of a block's tree hold OR-combined shingle bitmaps and size ranges. A dual traversal drops
@@ -36,6 +38,8 @@ from .words import mix, windows, word_hashes
 SPARE = 3
 BLOCK = 128
 FANOUT = 4
+#: MinHash values in a cell of the second cover, and the greatest chance that it misses a pair at the limit.
+MIN_ROWS, MISS = 6, 1e-10
 #: Sizes up to which a cover has its own number of parts; each is about 1.35 times the one before.
 BANDS = np.unique(np.floor(9 * 1.35 ** np.arange(0, 90)).astype(np.int64))
 _M1 = np.uint64(0x9E3779B97F4A7C15)
@@ -79,6 +83,31 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
 
 
+@lru_cache(8)
+def _bands(percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors of the MinHash functions, and a salt for each group of MIN_ROWS of them.
+
+    So many groups that a pair at the limit shares none with a chance of at most MISS.
+    """
+    groups = int(np.ceil(np.log(MISS) / np.log1p(-((percent / 100) ** MIN_ROWS)))) if percent < 100 else 1
+    numbers = mix(np.arange(1, groups * (MIN_ROWS + 1) + 1, dtype=np.uint64) * _M1)
+    return (numbers[groups:] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), numbers[:groups]
+
+
+def minhash_signatures(s: np.ndarray, percent: int) -> np.ndarray:
+    """The cells of a set: one for each group of MinHash values, whatever its size."""
+    factors, salt = _bands(percent)
+    least = np.full(len(factors), 0xFFFFFFFF, np.uint32)
+    short = (s >> np.uint64(32)).astype(np.uint32)[:, None]
+    for at in range(0, len(short), 512):
+        np.minimum(least, (short[at : at + 512] * factors).min(0), out=least)
+    rows = least.astype(np.uint64).reshape(-1, MIN_ROWS)
+    cells = salt.copy()
+    for row in rows.T:
+        cells = mix(cells + row * _M1)
+    return cells.view(np.int64)
+
+
 class Tree:
     """Nodes over sets sorted by their smallest shingle: OR bitmaps, size ranges and the most hash collisions."""
 
@@ -168,8 +197,12 @@ def traverse(a: Tree, b: Tree, ia: list[int], ib: list[int], known: Classes, per
     return found
 
 
-def document_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
+COVERS = {"parts": signatures, "minhash": minhash_signatures}
+
+
+def document_sets(docs: DataFrame, width: int, percent: int, cover: str = "parts") -> DataFrame:
     """(doc_id, n_shingles, set_key, cells) of every row; an empty set has neither key nor cells."""
+    cells_of = COVERS[cover]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -178,7 +211,7 @@ def document_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 "doc_id": b["doc_id"].astype("Int64"),
                 "n_shingles": [len(s) for s in sets],
                 "set_key": pd.array([set_key(s) for s in sets], "Int64"),
-                "cells": [signatures(s, percent) if len(s) else None for s in sets],
+                "cells": [cells_of(s, percent) if len(s) else None for s in sets],
             })
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, set_key long, cells array<long>")
@@ -227,8 +260,8 @@ def _cross_links(percent: int):
     return run
 
 
-def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Classes of documents under the links of the module's docstring.
+def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, cover: str = "parts") -> DataFrame:
+    """Classes of documents under the links of the module's docstring; cover: parts (exact) or minhash.
 
     docs: doc_id, text; further columns are ignored. Returns one row for each row of docs: doc_id,
     n_shingles (size of its set) and component_id (smallest doc_id of its class). With fewer words than width,
@@ -236,7 +269,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     and are their own class. Repeated rows and equal texts share a class; rows without doc_id take part but name
     a class only (as null) if none of its rows has one. An empty table gives an empty one.
     """
-    sets = stage(document_sets(docs, width, percent))
+    sets = stage(document_sets(docs, width, percent, cover))
     cells = sets.select("set_key", F.explode("cells").alias("cell"))
     sets = sets.drop("cells")
     leaders = cells.groupBy("cell").agg(F.min("set_key").alias("leader"), F.max("set_key").alias("last")).where("leader <> last").select("cell", "leader")
@@ -283,13 +316,13 @@ def _label(sets: DataFrame, classes: DataFrame) -> DataFrame:
     return sets.join(named, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def keep_representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def keep_representatives(docs: DataFrame, width: int = 5, percent: int = 80, cover: str = "parts") -> DataFrame:
     """The documents that name their class: one of each group of near copies stays, in its own columns.
 
     Of rows that repeat a doc_id, one stays (the smallest text, nulls first). Rows without doc_id cannot name a
     class and all stay.
     """
-    kept = jaccard_classes(docs, width, percent).where("doc_id = component_id").select("doc_id").distinct()
+    kept = jaccard_classes(docs, width, percent, cover).where("doc_id = component_id").select("doc_id").distinct()
     one = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
     stay = docs.join(kept, "doc_id", "left_semi").withColumn("_turn", F.row_number().over(one)).where("_turn = 1").drop("_turn")
     return stay.unionByName(docs.where("doc_id is null"))

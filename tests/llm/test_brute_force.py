@@ -34,8 +34,8 @@ def jaccard_classes(texts, n, percent):
     return [len(s) for s in sets], up
 
 
-@pytest.mark.parametrize("percent", [80, 90])
-def test_jaccard_join(spark, percent):
+@pytest.mark.parametrize(("percent", "cover"), [(80, "parts"), (90, "parts"), (80, "minhash"), (100, "minhash")])
+def test_jaccard_join(spark, percent, cover):
     rng = np.random.default_rng(percent)
     texts = []
     for size in (2, 5, 12, 40, 200, 700):
@@ -46,11 +46,25 @@ def test_jaccard_join(spark, percent):
                 copy[at] = f"n{rng.integers(0, 9)}"
             texts.append(" ".join(copy))
     texts += [None, "", " ", "w", texts[3].upper()]
-    out = signature_tree_join.jaccard_classes(docs_of(spark, texts), 3, percent).orderBy("doc_id").collect()
+    out = signature_tree_join.jaccard_classes(docs_of(spark, texts), 3, percent, cover).orderBy("doc_id").collect()
     sizes, classes = jaccard_classes(texts, 3, percent)
     assert [r["n_shingles"] for r in out] == sizes and [r["component_id"] for r in out] == classes
 
 
+@pytest.mark.parametrize("percent", [50, 80])
+def test_minhash_cells_agree_as_often_as_sets_overlap(percent):
+    """The share of equal cells is the similarity to the power of the values in a cell; equal sets have equal cells."""
+    rng = np.random.default_rng(5)
+    same = total = 0
+    for _ in range(40):
+        pool = rng.integers(0, 1 << 63, 900).astype(np.uint64) * np.uint64(2)
+        a, b = np.sort(pool[:850]), np.sort(pool[50:])
+        x, y = (signature_tree_join.minhash_signatures(s, percent) for s in (a, b))
+        same, total = same + int((x == y).sum()), total + len(x)
+        assert np.array_equal(x, signature_tree_join.minhash_signatures(a.copy(), percent))
+    assert abs(same / total - (800 / 900) ** signature_tree_join.MIN_ROWS) < 0.05
+
+
 def test_jaccard_join_of_large_clusters(spark, monkeypatch):
     """Clusters of several blocks, whose sets form chains and classes of their own."""
     monkeypatch.setattr(signature_tree_join, "BLOCK", 8)
