@@ -99,10 +99,14 @@ def rules() -> list[Rule]:
     return out
 
 
+#: What every match of a rule with such a short keyword holds.
+_HELD = {"c": ("copyright", "(c)"), "cc": ("cc by", "cc-by"), "or ": ("licen",)}
+
+
 def _gate(table: list[Rule]) -> str:
-    """One regex for the keywords; single letters and the like stand for what their rules must hold."""
-    words = {k for _, _, k, _, _ in table if len(k) > 3} | {"licen", "cc[ -]by", "cc0", "copyright", r"\(c\)", *_GNU}
-    return "|".join(sorted(words))
+    """One regex for the keywords of all rules; those of _HELD stand for the shortest ones. A blank is any white space."""
+    words = {w for _, _, k, _, _ in table for w in _HELD.get(k, (k,))}
+    return "|".join(sorted(re.escape(w).replace(r"\ ", r"\s+") for w in words))
 
 
 def _words(fragment: Column) -> Column:

@@ -255,6 +255,45 @@ def test_licenses(spark):
     assert 200 < len(license_rules.rules())
 
 
+def example(regex):
+    """The shortest text that a rule's regex matches, without optional parts."""
+    import re._parser as parser
+
+    def text(parts):
+        out = ""
+        for op, value in parts:
+            match str(op):
+                case "LITERAL":
+                    out += chr(value)
+                case "IN":
+                    kind, first = value[0]
+                    out += chr(first if str(kind) == "LITERAL" else first[0])
+                case "MAX_REPEAT":
+                    out += text(value[2]) * value[0]
+                case "SUBPATTERN":
+                    out += text(value[3])
+                case "BRANCH":
+                    out += text(value[1][0])
+                case name:
+                    assert name == "ASSERT_NOT", name
+        return out
+
+    return text(parser.parse(regex))
+
+
+def test_each_license_rule_passes_the_gate(spark):
+    """Every rule alone, on a text that holds its match only."""
+    table = license_rules.rules()
+    texts = [example(regex) for _, regex, _, _, _ in table]
+    gate = license_rules._gate(table)
+    for t, (_, regex, word, _, _) in zip(texts, table, strict=True):
+        assert re.search(regex, t) and word in t and re.search(gate, t), t
+    more = ["Terms: BSD-3-Clause", "BSD 2-Clause", "bsd-4-clause"]
+    out = license_rules.scan(docs_of(spark, texts + more)).orderBy("doc_id").collect()
+    assert all(r["labels"] and r["score"] >= rule[4] for r, rule in zip(out, table, strict=False))
+    assert [(r["labels"], r["score"]) for r in out[len(texts) :]] == [("bsd-3-clause", 0.8), ("bsd-2-clause", 0.8), ("bsd-4-clause", 0.8)]
+
+
 def test_license_plan_is_native(spark):
     plan = license_rules.scan(docs_of(spark, ["x"]))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
