@@ -1,8 +1,8 @@
 """License scans: ordered signature rules, by DataFrame functions only.
 
-Rules are regexes with a keyword, a priority and a confidence. A line (of a text whose A-Z are lowered) is looked at
-only if it passes the gate of all keywords, and a rule is tried only on lines that contain its keyword. Each match is
-an interval of its line. A match is suppressed if one of the same or a higher priority contains it, or one of a higher
+Rules are regexes with a keyword, a priority and a confidence. scan() tries them on whole texts, in which A-Z are lowered
+and each run of white space is one blank, so that notices wrapped over lines match. A text is looked at only if it
+passes the gate of all keywords, and a rule is tried only where its keyword stands. Each match is an interval of its line. A match is suppressed if one of the same or a higher priority contains it, or one of a higher
 priority overlaps it; running maxima over the sorted matches of a line decide this, so no pairs are formed.
 """
 
@@ -17,6 +17,7 @@ from .common import lower_ascii
 
 # The two base phrases of two and more words and the labels of their places: fixed values.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+WHITE = r"[\x20\x09-\x0D]+"
 WORD_BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 Rule = tuple[str, str, str, int, float]  # label, regex, keyword, priority (more is stronger), confidence
@@ -109,6 +110,11 @@ def _gate(table: list[Rule]) -> str:
     return "|".join(sorted(re.escape(w).replace(r"\ ", r"\s+") for w in words))
 
 
+def unwrapped(texts: DataFrame, table: list[Rule]) -> DataFrame:
+    """The texts (key, low) that pass the gate, each as one line with single blanks."""
+    return texts.where(F.col("low").rlike(_gate(table))).withColumn("low", F.regexp_replace("low", WHITE, " "))
+
+
 def _words(fragment: Column) -> Column:
     """Words of a text in which single blanks stand between words."""
     t = F.trim(fragment)
@@ -139,15 +145,19 @@ def detections(texts: DataFrame, table: list[Rule] | None = None) -> DataFrame:
     """
     table = table or rules()
     gate = _gate(table)
-    known = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(regex).alias("regex"), F.lit(word).alias("word"), F.lit(level).alias("priority"), F.lit(sure).alias("confidence")) for label, regex, word, level, sure in table])
+    by_word: dict[str, list[Column]] = {}
+    for label, regex, word, level, sure in table:
+        by_word.setdefault(word, []).append(F.struct(F.lit(label).alias("label"), F.lit(regex).alias("regex"), F.lit(level).alias("priority"), F.lit(sure).alias("confidence")))
+    known = F.array(*[F.struct(F.lit(word).alias("word"), F.array(*own).alias("rules")) for word, own in by_word.items()])
     lines = texts.where(F.col("low").rlike(gate)).dropDuplicates(["key"]).select("key", F.posexplode(F.split("low", "\n")).alias("line", "content")).where(F.col("content").rlike(gate))
-    tried = lines.select("key", "line", "content", F.explode(F.filter(known, lambda r: F.col("content").contains(r.word))).alias("rule"))
+    tried = lines.select("key", "line", "content", F.explode(F.flatten(F.transform(F.filter(known, lambda w: F.col("content").contains(w.word)), lambda w: w.rules))).alias("rule"))
     hits = tried.withColumn("hits", F.expr("regexp_extract_all(content, rule.regex, 0)")).where("size(hits) > 0")
     apart = hits.withColumn("gaps", F.expr("slice(split(content, rule.regex, -1), 1, size(hits))"))
-    each = apart.select("key", "line", "rule.label", "rule.priority", "rule.confidence", F.col("rule.regex").alias("regex"), F.posexplode(F.arrays_zip("gaps", "hits")).alias("turn", "m"))
+    sizes = F.transform(F.arrays_zip("gaps", "hits"), lambda m: F.struct(F.length(m.gaps).alias("gaps"), F.length(m.hits).alias("hits")))
+    each = apart.select("key", "line", "rule.label", "rule.priority", "rule.confidence", F.col("rule.regex").alias("regex"), F.posexplode(sizes).alias("turn", "m"))
     run = Window.partitionBy("key", "line", "regex").orderBy("turn")
-    end = F.sum(F.length("m.gaps") + F.length("m.hits")).over(run).cast("long")
-    placed = each.withColumn("end", end).withColumn("start", F.col("end") - F.length("m.hits")).drop("m", "turn", "regex")
+    end = F.sum(F.col("m.gaps") + F.col("m.hits")).over(run).cast("long")
+    placed = each.withColumn("end", end).withColumn("start", F.col("end") - F.col("m.hits")).drop("m", "turn", "regex")
     ahead = Window.partitionBy("key", "line").orderBy("start", F.desc("end"), F.desc("priority"), "label").rowsBetween(Window.unboundedPreceding, -1)
     behind = Window.partitionBy("key", "line").orderBy("start", F.desc("end"), F.desc("priority"), "label").rowsBetween(1, Window.unboundedFollowing)
     levels = sorted({r[3] for r in table})
@@ -168,8 +178,9 @@ def scan(docs: DataFrame, table: list[Rule] | None = None) -> DataFrame:
     least 0.5 with a base phrase. Null and empty texts have no words, empty labels and score 0. Repeated rows get equal
     results. An empty table gives an empty one.
     """
+    table = table or rules()
     base = base_places(docs)
-    found = detections(base.select("key", "low"), table).groupBy("key").agg(F.collect_set("label").alias("found"), F.max("confidence").alias("sure"))
+    found = detections(unwrapped(base.select("key", "low"), table), table).groupBy("key").agg(F.collect_set("label").alias("found"), F.max("confidence").alias("sure"))
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     labels = F.concat("base", F.coalesce("found", F.array().cast("array<string>")))
     score = F.greatest(F.coalesce("sure", F.lit(0.0)), F.when(F.col("n_base") > 0, F.lit(0.5)).otherwise(F.lit(0.0)))

@@ -294,6 +294,18 @@ def test_each_license_rule_passes_the_gate(spark):
     assert [(r["labels"], r["score"]) for r in out[len(texts) :]] == [("bsd-3-clause", 0.8), ("bsd-2-clause", 0.8), ("bsd-4-clause", 0.8)]
 
 
+def test_wrapped_licenses(spark):
+    """Whole texts against the plain version on whole texts."""
+    texts = [
+        "GNU General Public\nLicense, version 3", "licensed under the\n    Apache License,\tVersion 2.0", "Creative  Commons\r\nAttribution 4.0", "all  rights\nreserved", "released\nunder the MIT\n\nLicense",
+        "x" * 3000 + "\nMozilla\x0bPublic License\n\n2.0 " + "word\n" * 3000, "mit\u00a0license", "see\nthe license\nGPL\nv2 or\nlater", "CC\nBY", "no notice\nhere", None,
+    ]
+    for r, t in zip(license_rules.scan(docs_of(spark, texts)).orderBy("doc_id").collect(), texts, strict=True):
+        spans = license_spans(re.sub("[\x20\x09-\x0d]+", " ", t or ""))
+        assert r["labels"] == ",".join(sorted({x[3] for x in spans} | set(filter(None, r["base_labels"].split(",")))))
+        assert r["doc_id"] > 1 or r["labels"] == ("gpl,gpl-3.0", "apache-2.0")[r["doc_id"]]
+
+
 def test_license_plan_is_native(spark):
     plan = license_rules.scan(docs_of(spark, ["x"]))._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
