@@ -3,10 +3,10 @@
 Protected entities are the base spans (email, ip, card, phone), by normalised value. Terms are the words near a
 span. Over the whole corpus, with N documents, the share of an entity's information that a term gives is
 
-    log(N * docs(term near entity) / (docs(term) * docs(entity))) / log(N / docs(entity)).
+    log(N * p / docs(entity)) / log(N / docs(entity)),
 
-A term counts only if it stands near the entity in at least MIN_CONTEXTS different contexts (copies have the
-same context). At GENERALISE and more its places in the entity's documents are generalised, at REMOVE
+where p is the lower end of Wilson's interval (Z deviations) for docs(term near entity) / docs(term). So every term near
+an entity is rated, and few documents give a lower share. At GENERALISE and more its places in the entity's documents are generalised, at REMOVE
 removed.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import stage
 
 KINDS = ("email", "ip", "card", "phone")
-MIN_CONTEXTS, GENERALISE, REMOVE = 3, 0.6, 0.9
+GENERALISE, REMOVE, Z = 0.6, 0.9, 1.645
 NEAR_WORDS, NEAR_CHARS = 6, 160
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -84,8 +84,8 @@ def _term_key(term: str) -> int:
     return xxhash.xxh3_64_intdigest(term.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def nearby(text: str, spans: list[Span]) -> Iterator[tuple[int, int, list[str]]]:
-    """(entity, context, terms) of every base span; other spans' characters are no terms."""
+def nearby(text: str, spans: list[Span]) -> Iterator[tuple[int, list[str]]]:
+    """(entity, terms) of every base span; other spans' characters are no terms."""
     masked = text
     for _, a, b in spans:
         masked = masked[:a] + "0" * (b - a) + masked[b:] if len(spans) <= 50 else masked
@@ -100,14 +100,14 @@ def nearby(text: str, spans: list[Span]) -> Iterator[tuple[int, int, list[str]]]
         _, a, b = s
         before = [w.lower() for w in _TERM.findall(masked[max(0, a - NEAR_CHARS) : a])][-NEAR_WORDS:]
         after = [w.lower() for w in _TERM.findall(masked[b : b + NEAR_CHARS])][:NEAR_WORDS]
-        yield _entity(text, s), xxhash.xxh3_64_intdigest(" ".join([*before, "|", *after]).encode("utf-8", "surrogatepass")) - (1 << 63), sorted({*before, *after})
+        yield _entity(text, s), sorted({*before, *after})
 
 
 def _key():
     return F.xxhash64("doc_id", "text")
 
 
-_BASE = "key long, doc_id long, base string, near array<struct<entity: long, context: long, terms: array<string>>>"
+_BASE = "key long, doc_id long, base string, near array<struct<entity: long, terms: array<string>>>"
 
 
 def find_base(docs: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def find_base(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             spans = [base_spans(t) for t in b["text"]]
-            near = [[{"entity": e, "context": c, "terms": t} for e, c, t in nearby(x, s)] if s else [] for x, s in zip(b["text"], spans, strict=True)]
+            near = [[{"entity": e, "terms": t} for e, t in nearby(x, s)] if s else [] for x, s in zip(b["text"], spans, strict=True)]
             yield pd.DataFrame({"key": b["key"], "doc_id": b["doc_id"].astype("Int64"), "base": [joined(s) for s in spans], "near": near})
 
     keyed = docs.select(_key().alias("key"), "doc_id", "text")
@@ -140,11 +140,16 @@ def term_documents(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInPandas(run, "term_key long, n long").groupBy("term_key").agg(F.sum("n").alias("docs"))
 
 
-def disclosing_terms(docs: DataFrame, base: DataFrame, min_contexts: int = MIN_CONTEXTS, generalise: float = GENERALISE) -> DataFrame:
+def lowest(part: Column, whole: Column, z: float = Z) -> Column:
+    """The lower end of Wilson's interval for a share of part in whole."""
+    p = part / whole
+    return (p + z * z / (2 * whole) - z * F.sqrt(p * (1 - p) / whole + z * z / (4 * whole * whole))) / (1 + z * z / whole)
+
+
+def disclosing_terms(docs: DataFrame, base: DataFrame, generalise: float = GENERALISE) -> DataFrame:
     """(entity, term, share) of the terms whose share of the entity's information is at least generalise."""
     near = base.select("key", F.explode("near").alias("x")).select("key", "x.*")
-    places = near.select("key", "entity", "context", F.explode("terms").alias("term"))
-    contexts = places.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= min_contexts)
+    places = near.select("key", "entity", F.explode("terms").alias("term"))
     together = places.select("entity", "term", "key").distinct().groupBy("entity", "term").agg(F.count("*").alias("both"))
     entities = near.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("of_entity"))
 
@@ -152,10 +157,10 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, min_contexts: int = MIN_C
     def term_key(terms: pd.Series) -> pd.Series:
         return terms.map(_term_key).astype("int64")
 
-    pairs = stage(contexts.join(together, ["entity", "term"]).join(entities, "entity").withColumn("term_key", term_key("term")))
+    pairs = stage(together.join(entities, "entity").withColumn("term_key", term_key("term")))
     total = docs.count()
     of_term = term_documents(docs).join(pairs.select("term_key").distinct(), "term_key", "left_semi")
-    share = F.log(F.lit(float(total)) * F.col("both") / (F.col("docs") * F.col("of_entity"))) / F.log(F.lit(float(total)) / F.col("of_entity"))
+    share = F.log(F.lit(float(total)) * lowest(F.least("both", "docs"), F.col("docs")) / F.col("of_entity")) / F.log(F.lit(float(total)) / F.col("of_entity"))
     rated = pairs.join(of_term, "term_key").withColumn("share", F.when(F.col("of_entity") < total, share).otherwise(F.lit(0.0)))
     return rated.where(F.col("share") >= generalise).select("entity", "term", "share")
 
@@ -187,14 +192,14 @@ def sanitised(text: str, spans: list[Span], terms: list[tuple[int, int, bool]])
     return "".join(out) + text[at:]
 
 
-def find(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, generalise: float = GENERALISE) -> DataFrame:
+def find(docs: DataFrame, generalise: float = GENERALISE) -> DataFrame:
     """doc_id, base (base spans) and terms (spans of disclosing terms, kind term), each as kind:start:end, joined by commas.
 
     docs: doc_id, text; further columns are ignored. Null and empty texts have no spans. Repeated rows count as one document in the
     corpus statistics if doc_id and text agree, and get equal results. An empty table gives an empty one.
     """
     base = stage(find_base(docs))
-    wanted = document_terms(base, disclosing_terms(docs, base, min_contexts, generalise))
+    wanted = document_terms(base, disclosing_terms(docs, base, generalise))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -205,10 +210,10 @@ def find(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, generalise: float =
     return base.join(texts, "key", "left").select("doc_id", "base", F.coalesce("terms", F.lit("")).alias("terms"))
 
 
-def sanitise(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, generalise: float = GENERALISE) -> DataFrame:
+def sanitise(docs: DataFrame, generalise: float = GENERALISE) -> DataFrame:
     """docs with sanitised texts; n_chars follows the text if there is one. Cases as in find()."""
     base = stage(find_base(docs))
-    wanted = document_terms(base, disclosing_terms(docs, base, min_contexts, generalise))
+    wanted = document_terms(base, disclosing_terms(docs, base, generalise))
     names = docs.columns
     maybe = F.coalesce(F.col("text").rlike(_MAYBE), F.lit(False))
 

@@ -215,6 +215,14 @@ def test_disclosing_terms(spark):
     assert all("Quintessa" not in r["text"] and "[EMAIL]" in r["text"] for r in clean)
 
 
+def test_terms_of_rare_entities(spark):
+    """An entity met once, and one always in the same words, have disclosing terms; words that stand anywhere are none."""
+    texts = ["the mail of Quintessa is q.v@mail.example.org here"] + ["Regards, Zebedee Smith, z.s@mail.example.org"] * 4 + ["the regards of smith is mail here"] * 400
+    out = disclosure.find(docs_of(spark, texts)).orderBy("doc_id").collect()
+    words = [{t[int(x.split(":")[1]) : int(x.split(":")[2])] for x in r["terms"].split(",") if x} for r, t in zip(out, texts, strict=True)]
+    assert words[:5] == [{"Quintessa"}] + [{"Zebedee"}] * 4 and not any(words[5:])
+
+
 def license_base(text):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
