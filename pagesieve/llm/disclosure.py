@@ -1,13 +1,13 @@
 """Personal data: patterns, and information-theoretic sanitisation of what reveals them.
 
-Protected entities are the base spans (email, ip, card, phone), by normalised value. Terms are the words near a
-span. Over the whole corpus, with N documents, the share of an entity's information that a term gives is
+Protected entities are the base spans (email, ip, card, phone), by normalised value. Terms are the words
+of their documents. Over the whole corpus, with N documents, the share of an entity's information that a term gives is
 
     log(N * p / docs(entity)) / log(N / docs(entity)),
 
-where p is the lower end of Wilson's interval (Z deviations) for docs(term near entity) / docs(term). So every term near
-an entity is rated, and few documents give a lower share. At GENERALISE and more its places in the entity's documents are generalised, at REMOVE
-removed.
+where p is the lower end of Wilson's interval (Z deviations) for docs(term with entity) / docs(term). So every term that
+stands in a document with an entity is rated, and few documents give a lower share. At GENERALISE and more the term's places in all
+documents are generalised, at REMOVE removed.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import xxhash
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 from .common import stage
 
 KINDS = ("email", "ip", "card", "phone")
-GENERALISE, REMOVE, Z = 0.6, 0.9, 1.645
-NEAR_WORDS, NEAR_CHARS = 6, 160
+GENERALISE, REMOVE = 0.6, 0.9
+#: Many pairs are rated, so chance meetings need a wide interval.
+Z = 3.0
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -80,49 +82,47 @@ def _entity(text: str, span: Span) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}:{value}") - (1 << 63)
 
 
+@lru_cache(1 << 16)
 def _term_key(term: str) -> int:
     return xxhash.xxh3_64_intdigest(term.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def nearby(text: str, spans: list[Span]) -> Iterator[tuple[int, list[str]]]:
-    """(entity, terms) of every base span; other spans' characters are no terms."""
-    masked = text
-    for _, a, b in spans:
-        masked = masked[:a] + "0" * (b - a) + masked[b:] if len(spans) <= 50 else masked
-    if len(spans) > 50:  # in one pass
-        parts, at = [], 0
-        for a, b in sorted((a, b) for _, a, b in spans):
-            if b > at:
-                parts += [text[at : max(at, a)], "0" * (b - max(at, a))]
-                at = b
-        masked = "".join(parts) + text[at:]
-    for s in spans:
-        _, a, b = s
-        before = [w.lower() for w in _TERM.findall(masked[max(0, a - NEAR_CHARS) : a])][-NEAR_WORDS:]
-        after = [w.lower() for w in _TERM.findall(masked[b : b + NEAR_CHARS])][:NEAR_WORDS]
-        yield _entity(text, s), sorted({*before, *after})
+def masked(text: str, spans: list[Span]) -> str:
+    """The text with zeros in place of its spans."""
+    parts, at = [], 0
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if b > at:
+            parts += [text[at : max(at, a)], "0" * (b - max(at, a))]
+            at = b
+    return "".join(parts) + text[at:]
+
+
+def term_keys(text: str) -> list[int]:
+    """The keys of a text's terms, each once."""
+    return [_term_key(t) for t in {w.lower() for w in set(_TERM.findall(text))}]
 
 
 def _key():
     return F.xxhash64("doc_id", "text")
 
 
-_BASE = "key long, doc_id long, base string, near array<struct<entity: long, terms: array<string>>>"
+_BASE = "key long, doc_id long, base string, entities array<long>, terms array<long>"
 
 
 def find_base(docs: DataFrame) -> DataFrame:
-    """key, doc_id, base (spans as one string) and near for each row; texts without digit or @ skip Python."""
+    """key, doc_id, base (spans as one string), and the distinct entities and terms of each row with spans; texts without digit or @ skip Python."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             spans = [base_spans(t) for t in b["text"]]
-            near = [[{"entity": e, "terms": t} for e, t in nearby(x, s)] if s else [] for x, s in zip(b["text"], spans, strict=True)]
-            yield pd.DataFrame({"key": b["key"], "doc_id": b["doc_id"].astype("Int64"), "base": [joined(s) for s in spans], "near": near})
+            entities = [list({_entity(x, y) for y in s}) for x, s in zip(b["text"], spans, strict=True)]
+            terms = [term_keys(masked(x, s)) if s else [] for x, s in zip(b["text"], spans, strict=True)]
+            yield pd.DataFrame({"key": b["key"], "doc_id": b["doc_id"].astype("Int64"), "base": [joined(s) for s in spans], "entities": entities, "terms": terms})
 
     keyed = docs.select(_key().alias("key"), "doc_id", "text")
     maybe = F.coalesce(F.col("text").rlike(_MAYBE), F.lit(False))
-    near_type = _BASE.split("near ")[1]
-    plain = keyed.where(~maybe).select("key", "doc_id", F.lit("").alias("base"), F.lit(None).cast(near_type).alias("near"))
+    none = F.lit(None).cast("array<long>")
+    plain = keyed.where(~maybe).select("key", "doc_id", F.lit("").alias("base"), none.alias("entities"), none.alias("terms"))
     return keyed.where(maybe).mapInPandas(run, _BASE).unionByName(plain)
 
 
@@ -131,11 +131,11 @@ def term_documents(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            seen: Counter[str] = Counter()
+            seen: Counter[int] = Counter()
             for t in b["text"]:
                 if t:
-                    seen.update(set(_TERM.findall(t.lower())))
-            yield pd.DataFrame({"term_key": pd.array([_term_key(t) for t in seen], "int64"), "n": pd.array(list(seen.values()), "int64")})
+                    seen.update(term_keys(t))
+            yield pd.DataFrame({"term_key": pd.array(list(seen), "int64"), "n": pd.array(list(seen.values()), "int64")})
 
     return docs.select("text").mapInPandas(run, "term_key long, n long").groupBy("term_key").agg(F.sum("n").alias("docs"))
 
@@ -147,33 +147,36 @@ def lowest(part: Column, whole: Column, z: float = Z) -> Column:
 
 
 def disclosing_terms(docs: DataFrame, base: DataFrame, generalise: float = GENERALISE) -> DataFrame:
-    """(entity, term, share) of the terms whose share of the entity's information is at least generalise."""
-    near = base.select("key", F.explode("near").alias("x")).select("key", "x.*")
-    places = near.select("key", "entity", F.explode("terms").alias("term"))
-    together = places.select("entity", "term", "key").distinct().groupBy("entity", "term").agg(F.count("*").alias("both"))
-    entities = near.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("of_entity"))
-
-    @F.pandas_udf("long")
-    def term_key(terms: pd.Series) -> pd.Series:
-        return terms.map(_term_key).astype("int64")
-
-    pairs = stage(together.join(entities, "entity").withColumn("term_key", term_key("term")))
-    total = docs.count()
-    of_term = term_documents(docs).join(pairs.select("term_key").distinct(), "term_key", "left_semi")
-    share = F.log(F.lit(float(total)) * lowest(F.least("both", "docs"), F.col("docs")) / F.col("of_entity")) / F.log(F.lit(float(total)) / F.col("of_entity"))
-    rated = pairs.join(of_term, "term_key").withColumn("share", F.when(F.col("of_entity") < total, share).otherwise(F.lit(0.0)))
-    return rated.where(F.col("share") >= generalise).select("entity", "term", "share")
+    """(term_key, share) of the terms whose share of some entity's information is at least generalise; the largest share."""
+    held = base.where("size(entities) > 0").select("key", "entities", "terms").dropDuplicates(["key"])
+    entities = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("of_entity"))
+    total = float(docs.count())
+    most = entities.agg(F.max("of_entity").alias("n")).first()["n"] or 0
+    # p is at most of_entity / docs, so a term in more documents than this cannot reach the share
+    limit = 1.000001 * most**generalise * total ** (1 - generalise)
+    own = held.select(F.explode("terms").alias("term_key")).distinct()
+    of_term = stage(term_documents(docs).join(own, "term_key", "left_semi").where(F.col("docs") <= limit))
+    rare = held.select("entities", F.explode("terms").alias("term_key")).join(of_term, "term_key")
+    pairs = rare.select(F.explode("entities").alias("entity"), "term_key", "docs").groupBy("entity", "term_key").agg(F.count("*").alias("both"), F.first("docs").alias("docs")).join(entities, "entity")
+    share = F.log(F.lit(total) * lowest(F.least("both", "docs"), F.col("docs")) / F.col("of_entity")) / F.log(F.lit(total) / F.col("of_entity"))
+    rated = pairs.withColumn("share", F.when(F.col("of_entity") < total, share).otherwise(F.lit(0.0)))
+    return rated.where(F.col("share") >= generalise).groupBy("term_key").agg(F.max("share").alias("share"))
+
+
+def document_terms(docs: DataFrame, disclosing: DataFrame, remove: float = REMOVE) -> DataFrame:
+    """(key, terms): the terms to generalise or remove in each document that holds any."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"key": b["key"], "terms": [term_keys(t) for t in b["text"]]})
 
-def document_terms(base: DataFrame, disclosing: DataFrame, remove: float = REMOVE) -> DataFrame:
-    """(key, terms): the terms to generalise or remove in each document that holds their entity."""
-    held = base.select("key", F.explode("near.entity").alias("entity")).distinct()
-    found = held.join(disclosing, "entity").groupBy("key", "term").agg(F.max("share").alias("share"))
-    return found.groupBy("key").agg(F.collect_list(F.struct("term", (F.col("share") >= remove).alias("remove"))).alias("terms"))
+    own = docs.where("text is not null").select(_key().alias("key"), "text").mapInPandas(run, "key long, terms array<long>").select("key", F.explode("terms").alias("term_key"))
+    found = own.join(stage(disclosing), "term_key")
+    return stage(found.groupBy("key").agg(F.collect_set(F.struct("term_key", (F.col("share") >= remove).alias("remove"))).alias("terms")))
 
 
-def term_spans(text: str, terms: dict[str, bool]) -> list[tuple[int, int, bool]]:
-    return [(*m.span(), terms[t]) for m in _TERM.finditer(text) if (t := m[0].lower()) in terms]
+def term_spans(text: str, terms: dict[int, bool]) -> list[tuple[int, int, bool]]:
+    return [(*m.span(), terms[t]) for m in _TERM.finditer(text) if (t := _term_key(m[0].lower())) in terms]
 
 
 def general_form(word: str) -> str:
@@ -199,35 +202,38 @@ def find(docs: DataFrame, generalise: float = GENERALISE) -> DataFrame:
     corpus statistics if doc_id and text agree, and get equal results. An empty table gives an empty one.
     """
     base = stage(find_base(docs))
-    wanted = document_terms(base, disclosing_terms(docs, base, generalise))
+    wanted = document_terms(docs, disclosing_terms(docs, base, generalise))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [joined([("term", a, e) for a, e, _ in term_spans(t, {x["term"]: x["remove"] for x in terms})]) for t, terms in zip(b["text"], b["terms"], strict=True)]
+            found = [joined([("term", a, e) for a, e, _ in term_spans(t, {x["term_key"]: x["remove"] for x in terms})]) for t, terms in zip(b["text"], b["terms"], strict=True)]
             yield pd.DataFrame({"key": b["key"], "terms": found})
 
-    texts = docs.where(F.col("text").rlike(_MAYBE)).select(_key().alias("key"), "text").join(wanted, "key").mapInPandas(run, "key long, terms string").dropDuplicates(["key"])
-    return base.join(texts, "key", "left").select("doc_id", "base", F.coalesce("terms", F.lit("")).alias("terms"))
+    texts = docs.select(_key().alias("key"), "text").join(wanted, "key").mapInPandas(run, "key long, terms string").dropDuplicates(["key"])
+    return base.select("key", "doc_id", "base").join(texts, "key", "left").select("doc_id", "base", F.coalesce("terms", F.lit("")).alias("terms"))
 
 
 def sanitise(docs: DataFrame, generalise: float = GENERALISE) -> DataFrame:
     """docs with sanitised texts; n_chars follows the text if there is one. Cases as in find()."""
     base = stage(find_base(docs))
-    wanted = document_terms(base, disclosing_terms(docs, base, generalise))
+    wanted = document_terms(docs, disclosing_terms(docs, base, generalise))
     names = docs.columns
     maybe = F.coalesce(F.col("text").rlike(_MAYBE), F.lit(False))
 
     @F.pandas_udf("string")
     def clean(text: pd.Series, terms: pd.Series) -> pd.Series:
         def one(t: str, found) -> str:
-            return sanitised(t, base_spans(t), term_spans(t, {x["term"]: x["remove"] for x in found}) if found is not None and len(found) else [])
+            return sanitised(t, base_spans(t), term_spans(t, {x["term_key"]: x["remove"] for x in found}) if found is not None and len(found) else [])
 
         return pd.Series([one(t, f) for t, f in zip(text, terms, strict=True)])
 
-    changed = docs.where(maybe).withColumn("key", _key()).join(wanted, "key", "left").withColumn("text", clean("text", "terms"))
+    # columns of docs may be named key or terms
+    found = docs.withColumn("_key", _key()).join(wanted.select(F.col("key").alias("_key"), F.col("terms").alias("_terms")), "_key", "left")
+    touched = maybe | F.col("_terms").isNotNull()
+    changed = found.where(touched).withColumn("text", clean("text", "_terms"))
     if "n_chars" in names:
         changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return docs.where(~maybe).unionByName(changed.select(*names))
+    return found.where(~touched).select(*names).unionByName(changed.select(*names))
 
 
 def kind_count(parts: Column, kind: str) -> Column:

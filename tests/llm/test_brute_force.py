@@ -223,6 +223,16 @@ def test_terms_of_rare_entities(spark):
     assert words[:5] == [{"Quintessa"}] + [{"Zebedee"}] * 4 and not any(words[5:])
 
 
+def test_terms_in_all_documents(spark):
+    """A term far from its entity, also in a document that has neither digit nor @."""
+    far = "the regards of smith is mail here " * 30
+    texts = [f"Quintessa and {far} q.v@mail.example.org"] * 3 + ["Quintessa called"] + ["and called the regards of smith is mail here"] * 400
+    out = disclosure.find(docs_of(spark, texts)).orderBy("doc_id").collect()
+    assert [r["terms"] for r in out] == ["term:0:9"] * 4 + [""] * 400
+    clean = disclosure.sanitise(docs_of(spark, texts)).where("doc_id < 4").orderBy("doc_id").collect()
+    assert [r["text"] for r in clean] == [f"[NAME] and {far} [EMAIL]"] * 3 + ["[NAME] called"]
+
+
 def license_base(text):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
