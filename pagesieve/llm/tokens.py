@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 from functools import lru_cache
 from pathlib import Path
 
@@ -18,17 +19,22 @@ class Encoder:
     """Ids of texts as unsigned 32-bit numbers.
 
     vocabulary: a byte-level BPE vocabulary of public_tokenizers. Its rank file (the same vocabulary under the suffix
-    .tiktoken) gives the ids that tokenizers gives with add_special_tokens=False, at four times the speed.
+    .tiktoken) and its added tokens give the ids that tokenizers gives with add_special_tokens=False, at four times the speed.
     """
 
     def __init__(self, vocabulary: str = VOCABULARY):
         lines = Path(public_tokenizers.path(vocabulary.replace(".json", ".tiktoken"))).read_bytes().split(b"\n")
         pairs = (line.split() for line in lines if line)
-        self.bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
+        added = json.loads(Path(public_tokenizers.path(vocabulary)).read_bytes())["added_tokens"]
+        self.added = {x["content"]: x["id"] for x in added}
+        self.bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens=self.added)
 
     def ids(self, text: str | None) -> np.ndarray:
         """The ids of a text and END; null counts as empty."""
-        return np.array([*self.bpe.encode_ordinary(text), END] if text else [END], "<u4")
+        if not text:
+            return np.array([END], "<u4")
+        special = any(x in text for x in self.added)
+        return np.array([*(self.bpe.encode(text, allowed_special="all") if special else self.bpe.encode_ordinary(text)), END], "<u4")
 
 
 @lru_cache(1)

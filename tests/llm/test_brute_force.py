@@ -125,6 +125,15 @@ def test_ids_are_those_of_tokenizers(text):
     assert tokens.encoder().ids(text).tolist() == [*wanted, tokens.END]
 
 
+def test_added_tokens_are_those_of_tokenizers():
+    import public_tokenizers
+
+    own = Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
+    for text in ("a<|endoftext|>b", "<|endoftext|>", "a  <|endoftext|>  b\n<|endoftext|><|endoftext|>", "<|endoftext|", "no such token"):
+        assert tokens.encoder().ids(text).tolist() == [*own.encode(text, add_special_tokens=False).ids, tokens.END]
+    assert tokens.encoder().ids("a<|endoftext|>b").tolist() == [64, 50256, 65, tokens.END]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 30), min_size=16, max_size=16))
 def test_rounded_patterns_meet_the_demand(demand):
