@@ -336,11 +336,17 @@ def _arranged(f: Frame, dc: np.ndarray) -> np.ndarray:
     return np.clip(samples[:high, :wide], 0, 255).astype(np.uint8)
 
 
+def block_means(thumb: np.ndarray, down: int, across: int) -> np.ndarray:
+    """Means of down x across blocks that cover all samples; where there are fewer rows or columns, blocks are repeated."""
+    rows, columns = np.arange(down) * thumb.shape[0] // down, np.arange(across) * thumb.shape[1] // across
+    sums = np.add.reduceat(np.add.reduceat(thumb, rows, axis=0, dtype=np.int64), columns, axis=1)
+    high, wide = (np.maximum(1, np.diff(at, append=n)) for at, n in ((rows, thumb.shape[0]), (columns, thumb.shape[1])))
+    return sums / (high[:, None] * wide)
+
+
 def thumbnail_hashes(thumb: np.ndarray) -> str:
-    """Average hash (8 x 8 points against their mean) and difference hash (9 x 8 points against the right one)."""
-    rows = np.arange(8) * thumb.shape[0] // 8
-    square = thumb[np.ix_(rows, np.arange(8) * thumb.shape[1] // 8)].astype(np.int64)
-    longer = thumb[np.ix_(rows, np.arange(9) * thumb.shape[1] // 9)].astype(np.int64)
+    """Average hash (8 x 8 block means against their mean) and difference hash (9 x 8 block means against the right one)."""
+    square, longer = block_means(thumb, 8, 8), block_means(thumb, 8, 9)
     return np.packbits(square * 64 > square.sum()).tobytes().hex() + np.packbits(longer[:, 1:] > longer[:, :-1]).tobytes().hex()
 
 

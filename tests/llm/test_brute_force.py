@@ -90,6 +90,21 @@ def test_jpeg_round_trip(parts):
         assert thumb.tobytes() == payload and feature.startswith(f"1536x{len(payload) // 24}:")
 
 
+def test_thumbnail_hashes_cover_all_samples():
+    """Block means against plain ones; samples off the grid of block corners change the hashes."""
+    rng = np.random.default_rng(7)
+    for shape in ((40, 64), (9, 192), (3, 24), (1, 192)):
+        thumb = rng.integers(0, 256, shape).astype(np.uint8)
+        for n in (8, 9):
+            r, c = ([i * m // k for i in range(k)] + [m] for m, k in zip(shape, (8, n), strict=True))
+            plain = [[thumb[a : max(b, a + 1), x : max(y, x + 1)].mean() for x, y in zip(c, c[1:], strict=False)] for a, b in zip(r, r[1:], strict=False)]
+            assert np.allclose(jpeg_media.block_means(thumb, 8, n), plain)
+    flat = np.full((80, 144), 100, np.uint8)
+    other = flat.copy()
+    other[1:9, 1:15] = 255
+    assert jpeg_media.thumbnail_hashes(flat) != jpeg_media.thumbnail_hashes(other)
+
+
 def test_jpeg_with_alternating_coefficients():
     """A hand-made scan: two components, two luminance blocks an MCU, AC symbols and a restart."""
     frame = jpeg_media.Frame(width=16, height=16, parts=[(1, 2, 1, 0), (2, 1, 1, 0)], quantisers={0: 8}, interval=1)
