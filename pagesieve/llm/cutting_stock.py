@@ -24,25 +24,32 @@ from .tokens import VOCABULARY, encoder
 
 LENGTH = 2048
 GRAIN = 16
+#: Relative raise of the demands in the linear program; it moves no rounded count.
+SLACK = 1e-9
 
 
-def token_pieces(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): full sequences from the front and the rest."""
+def token_pieces(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, width: int = 0) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): full sequences from the front and the rest.
+
+    width: bytes of an id in ids, 4 or 2, little-endian; without it there is no such column. The checksum is that of four-byte ids.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             own = encoder(vocabulary)
             rows = []
             for doc_id, text in zip(b["doc_id"].astype("Int64"), b["text"], strict=True):
-                ids = own.ids(text).tobytes()
-                total = len(ids) // 4
-                for at in range(0, total, length):
-                    cut = ids[4 * at : 4 * (at + length)]
-                    rows.append((doc_id, at, len(cut) // 4, zlib.crc32(cut), total, *((cut,) if with_ids else ())))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(("ids",) if with_ids else ())])
+                ids = own.ids(text)
+                if width == 2 and int(ids.max()) >> 16:
+                    raise ValueError("ids of this vocabulary need four bytes")
+                for at in range(0, len(ids), length):
+                    cut = ids[at : at + length]
+                    kept = (cut.astype(f"<u{width}").tobytes(),) if width else ()
+                    rows.append((doc_id, at, len(cut), zlib.crc32(cut), len(ids), *kept))
+            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(("ids",) if width else ())])
             yield out.assign(doc_id=out["doc_id"].astype("Int64"))
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * bool(width)
     return docs.select("doc_id", "text").mapInPandas(run, schema)
 
 
@@ -63,19 +70,21 @@ def best_pattern(price: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     return float(value[room]), pattern
 
 
-def column_generation(demand: np.ndarray, room: int, rounds: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+def column_generation(demand: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
     """Basic patterns (columns) and how often each is used, in the linear program that covers the demand.
 
     A simplex with the basis inverse: each round prices all patterns by one knapsack. It ends when no
-    pattern's price exceeds the one sequence that it costs.
+    pattern's price exceeds the one sequence that it costs. The demand is raised by multiples of SLACK that differ by length, which
+    breaks the ties in which a simplex may go round in circles; if it does not end all the same, it raises ArithmeticError.
     """
     wanted = np.flatnonzero(demand)
     n = len(wanted)
     # one length a pattern, as often as it fits; that is a diagonal basis
     basis = np.diag(room // (wanted + 1)).astype(float)
     inverse = np.diag(1 / np.diag(basis)) if n else np.zeros((0, 0))
-    used = np.diag(inverse) * demand[wanted]
-    for _ in range(rounds):
+    raised = demand[wanted] * (1 + SLACK * np.arange(1, n + 1))
+    used, turn = np.diag(inverse) * raised, 0
+    while n:
         price = np.zeros(room)
         price[wanted] = np.maximum(inverse.sum(0), 0)
         value, pattern = best_pattern(price, room)
@@ -85,8 +94,8 @@ def column_generation(demand: np.ndarray, room: int, rounds: int = 4000) -> tupl
         change = (inverse * column).sum(1)  # not by BLAS, whose threads are of no use at this size
         limits = np.where(change > 1e-9, used / np.where(change > 1e-9, change, 1), np.inf)
         out = int(np.argmin(limits))
-        if not np.isfinite(limits[out]):
-            break
+        if not np.isfinite(limits[out]) or turn > 1_000_000:
+            raise ArithmeticError("the linear program of the patterns does not end")
         step = limits[out]
         used = used - step * change
         used[out] = step
@@ -94,9 +103,13 @@ def column_generation(demand: np.ndarray, room: int, rounds: int = 4000) -> tupl
         row = inverse[out] / change[out]
         inverse = inverse - np.outer(change, row)
         inverse[out] = row
+        turn += 1
+        if turn % 256 == 0:  # rounding errors add up
+            inverse = np.linalg.inv(basis)
+            used = np.maximum((inverse * raised).sum(1), 0)
     patterns = np.zeros((n, room), np.int64)
     patterns[:, wanted] = np.rint(basis.T).astype(np.int64)
-    return patterns, np.maximum(used, 0)
+    return patterns, np.maximum((inverse * demand[wanted]).sum(1), 0)
 
 
 def rounded_patterns(demand: np.ndarray, room: int) -> list[tuple[np.ndarray, int]]:
@@ -135,14 +148,14 @@ def slot_table(patterns: list[tuple[np.ndarray, int]]) -> dict[int, tuple[np.nda
     return {c: tuple(np.array(x, np.int64) for x in zip(*rows, strict=True)) for c, rows in slots.items()}
 
 
-def ranked(pieces: DataFrame, grain: int) -> DataFrame:
-    """Adds class (length in grains, rounded up) and rank within the class, from 0.
+def ranked(pieces: DataFrame) -> DataFrame:
+    """Adds rank within the class, from 0. pieces: class, doc_id, start, ids_crc32, length and more.
 
     A class may hold a large share of all pieces, so ranks are counted within (class, slice) and moved by the
     counts of the slices before; the slices grow with the number of pieces.
     """
-    slices = max(8, int(pieces.count() // 50_000))
-    dealt = pieces.withColumn("class", F.ceil(F.col("length") / grain).cast("int")).withColumn("slice", F.pmod(F.xxhash64("doc_id", "start"), F.lit(slices)).cast("int"))
+    slices = max(64, int(pieces.count() // 10_000))
+    dealt = pieces.withColumn("slice", F.pmod(F.xxhash64("doc_id", "start"), F.lit(slices)).cast("int"))
     counts = dealt.groupBy("class", "slice").agg(F.count("*").alias("n"))
     before = Window.partitionBy("class").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
@@ -159,10 +172,11 @@ def pack(docs: DataFrame, length: int = LENGTH, grain: int = GRAIN, vocabulary:
     rows are packed as often as they occur; equal rows are interchangeable. An empty table gives an empty one.
     length must be a multiple of grain.
     """
-    pieces = stage(token_pieces(docs, length, vocabulary, with_ids))
+    pieces = stage(token_pieces(docs, length, vocabulary, 4 * with_ids))
     room = length // grain
     demand = np.zeros(room, np.int64)
-    for r in pieces.groupBy(F.ceil(F.col("length") / grain).cast("int").alias("class")).count().collect():  # at most room rows
+    kind = F.ceil(F.col("length") / grain).cast("int")
+    for r in pieces.groupBy(kind.alias("class")).count().collect():  # at most room rows
         demand[r["class"] - 1] = r["count"]
     slots = slot_table(rounded_patterns(demand, room))
 
@@ -180,7 +194,7 @@ def pack(docs: DataFrame, length: int = LENGTH, grain: int = GRAIN, vocabulary:
 
     names = pieces.columns
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, turn long"
-    placed = ranked(pieces, grain).select(*names, "class", "rank").mapInPandas(place, schema)
+    placed = ranked(pieces.withColumn("class", kind)).select(*names, "class", "rank").mapInPandas(place, schema)
     before = Window.partitionBy("sequence_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset")
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", offset, *(("ids",) if with_ids else ()))

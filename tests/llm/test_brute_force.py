@@ -135,7 +135,6 @@ def test_ids_are_those_of_tokenizers(text):
 
     if not hasattr(test_ids_are_those_of_tokenizers, "own"):
         test_ids_are_those_of_tokenizers.own = Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
-        test_ids_are_those_of_tokenizers.own.encode_special_tokens = True
     wanted = test_ids_are_those_of_tokenizers.own.encode(text, add_special_tokens=False).ids
     assert tokens.encoder().ids(text).tolist() == [*wanted, tokens.END]
 
@@ -149,18 +148,52 @@ def test_added_tokens_are_those_of_tokenizers():
     assert tokens.encoder().ids("a<|endoftext|>b").tolist() == [64, 50256, 65, tokens.END]
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.integers(0, 30), min_size=16, max_size=16))
-def test_rounded_patterns_meet_the_demand(demand):
+def test_long_runs_of_one_character():
+    """Runs of five million go through; shorter ones around the limit give the ids of tokenizers."""
+    import public_tokenizers
+
+    own = Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
+    for c in " \n\ta　":
+        assert len(tokens.encoder().ids(f"w{c * 5_000_000}w")) > 1_000_000
+        for n in (tokens.LONG - 1, tokens.LONG, tokens.LONG + 1):
+            for text in (f"w{c * n}w", c * n, f"{c * n}<|endoftext|>{c * n}.{c * n}"):
+                assert tokens.encoder().ids(text).tolist() == [*own.encode(text, add_special_tokens=False).ids, tokens.END]
+
+
+def all_patterns(room, least=1):
+    yield ()
+    for n in range(least, room + 1):
+        for rest in all_patterns(room - n, n):
+            yield (n, *rest)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 30), min_size=10, max_size=10))
+def test_column_generation(demand):
+    """The linear program's value against its dual over all patterns, and the sequences of the rounded one against that value."""
     demand = np.array(demand)
-    patterns = cutting_stock.rounded_patterns(demand, 16)
-    assert (sum((p * n for p, n in patterns), np.zeros(16, int)) == demand).all()
-    assert all((p * np.arange(1, 17)).sum() <= 16 for p, _ in patterns)
-    assert sum(n for _, n in patterns) <= -(-2 * (demand * np.arange(1, 17)).sum() // 16) + 1
+    patterns, used = cutting_stock.column_generation(demand, 10)
+    wanted = np.flatnonzero(demand)
+    assert np.allclose(patterns.T @ used, demand, atol=1e-6) and (used >= 0).all()
+    price = dict(zip(wanted + 1, np.linalg.solve(patterns[:, wanted].astype(float), np.ones(len(wanted))) if len(wanted) else (), strict=True))
+    assert all(sum(price.get(n, 0) for n in p) <= 1 + 1e-6 for p in all_patterns(10)) and all(y >= -1e-6 for y in price.values())
+    assert abs(sum(price[n] * demand[n - 1] for n in price) - used.sum()) < 1e-6
+    rounded = cutting_stock.rounded_patterns(demand, 10)
+    assert (sum((p * n for p, n in rounded), np.zeros(10, int)) == demand).all()
+    assert all((p * np.arange(1, 11)).sum() <= 10 for p, _ in rounded)
+    assert sum(n for _, n in rounded) <= np.ceil(used.sum() - 1e-6) + 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.floats(0, 1), min_size=6, max_size=6))
+def test_knapsack(price):
+    value, pattern = cutting_stock.best_pattern(np.array(price), 6)
+    assert (pattern * np.arange(1, 7)).sum() <= 6 and abs(pattern @ price - value) < 1e-9
+    assert abs(value - max(sum(price[n - 1] for n in p) for p in all_patterns(6))) < 1e-9
 
 
 def test_packed_ids(spark):
-    texts = ["one two three " * k for k in (1, 30, 700, 2000)] + ["", None]
+    texts = ["one two three " * k for k in (1, 30, 700, 2000)] + ["", None, " " * 600_000 + "x" + "\n" * 600_000]
     docs = docs_of(spark, texts)
     for r in cutting_stock.pack(docs, with_ids=True).collect():
         ids = tokens.encoder().ids(texts[r["doc_id"]])
@@ -168,26 +201,42 @@ def test_packed_ids(spark):
         assert bytes(r["ids"]) == cut and r["ids_crc32"] == zlib.crc32(cut) and r["doc_tokens"] == len(ids)
     seen = {}
     for r in best_fit_pack.packed_matrices(docs).collect():
+        ids, ends, position = (np.frombuffer(r[c], t) for c, t in (("ids", "<u2"), ("cu_seqlens", "<u4"), ("position_ids", "<u4")))
+        assert len(ids) == len(position) == 2048 and ends[0] == 0 and ends[-1] == r["n_tokens"] and not ids[ends[-1] :].any()
+        assert position[ends[-1] :].tolist() == list(range(2048 - ends[-1]))
         for k, (doc_id, at) in enumerate(zip(r["doc_ids"], r["starts"], strict=True)):
-            a, b = r["cu_seqlens"][k : k + 2]
-            seen.setdefault(doc_id, {})[at] = r["ids"][a:b]
-            assert r["position_ids"][a:b] == list(range(b - a))
+            a, b = ends[k : k + 2]
+            seen.setdefault(doc_id, {})[at] = ids[a:b].tolist()
+            assert position[a:b].tolist() == list(range(b - a))
     assert {i: sum((x[k] for k in sorted(x)), []) for i, x in seen.items()} == {i: tokens.encoder().ids(t).tolist() for i, t in enumerate(texts)}
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 64), max_size=60))
-def test_best_fit(lengths):
-    open_rooms, used = [], 0
+def plain_best_fit(lengths, length):
+    bins = []
     for n in sorted(lengths, reverse=True):
-        fits = [i for i, r in enumerate(open_rooms) if r >= n]
-        if fits:
-            open_rooms[min(fits, key=lambda i: open_rooms[i])] -= n
-        else:
-            open_rooms.append(64 - n)
-    packed = best_fit_pack.best_fit_decreasing(lengths, 64)
-    used = sorted(sum(lengths[i] for i in s) for s in packed)
-    assert sorted(i for s in packed for i in s) == list(range(len(lengths))) and used == sorted(64 - r for r in open_rooms)
+        fits = [b for b in bins if length - sum(b) >= n]
+        max(fits, key=sum).append(n) if fits else bins.append([n])
+    return bins
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=80))
+def test_best_fit(lengths):
+    """Free rooms are those of piece by piece best fit decreasing; slots give every piece one place."""
+    demand = {n: lengths.count(n) for n in lengths}
+    groups = best_fit_pack.best_fit_decreasing(demand, 40)
+    assert sorted(sum(n * k for n, k in c) for c, s in groups for _ in range(s)) == sorted(map(sum, plain_best_fit(lengths, 40)))
+    rows = best_fit_pack.slots(groups)
+    for n in demand:
+        assert [r for a, b in sorted(r[1:3] for r in rows if r[0] == n) for r in range(a, b)] == list(range(demand[n]))
+    used = sorted((first + (r - a) // each, at + (r - a) % each * n, n) for n, a, b, each, first, at in rows for r in range(a, b))
+    assert all(x[0] != y[0] or x[1] + x[2] == y[1] for x, y in zip(used, used[1:], strict=False)) and all(at + n <= 40 for _, at, n in used)
+
+
+def test_packed_matrices_do_not_depend_on_the_split(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    some = [sorted(map(str, best_fit_pack.packed_matrices(docs.repartition(n)).collect())) for n in (2, 64)]
+    assert some[0] == some[1]
 
 
 SECRET = st.text(alphabet="paswordtkenapi_y=:\"' -AKI0123456789abcdef/", max_size=120)

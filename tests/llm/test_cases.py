@@ -56,7 +56,7 @@ def test_packers_keep_every_id(spark):
     assert (pieces["start"] == 0).sum() == n
     assert pieces["length"].sum() == pieces[pieces["start"] == 0]["doc_tokens"].sum()
     rows = best_fit_pack.packed_matrices(docs).toPandas()
-    assert rows["n_tokens"].sum() == pieces["length"].sum() and set(rows["ids"].map(len)) == {2048}
+    assert rows["n_tokens"].sum() == pieces["length"].sum() and set(rows["ids"].map(len)) == {4096}
     assert cutting_stock.pack(documents(spark, [])).count() == 0 and best_fit_pack.packed_matrices(documents(spark, [])).count() == 0
 
 
