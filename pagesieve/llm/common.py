@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -23,28 +24,72 @@ def lower_ascii(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def row_key(*columns: Column) -> Column:
+    """16 bytes that tell rows apart by these columns; a null is unlike any value, and values don't run together."""
+    parts = []
+    for c in columns:
+        value = c.cast("string")
+        parts.append(F.coalesce(F.concat(F.lit("="), F.octet_length(value).cast("string"), F.lit(":"), value), F.lit("-")))
+    return F.unhex(F.md5(F.concat(*parts).cast("binary")))
+
+
+def boxed(docs: DataFrame) -> DataFrame:
+    """docs with all its columns in one struct, row, beside which an operator's own columns clash with nothing."""
+    return docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"))
+
+
+def unboxed(rows: DataFrame, docs: DataFrame, text: Column | None = None, changed: Column | None = None) -> DataFrame:
+    """The columns of docs out of row; with text, that in place of the text, and where changed n_chars (if there is one) follows it."""
+    out = []
+    for f in docs.schema:
+        own = F.col("row")[f.name]
+        if text is not None and f.name == "text":
+            own = text
+        elif text is not None and f.name == "n_chars":
+            own = F.when(changed, F.length(text)).otherwise(own).cast(f.dataType)
+        out.append(own.alias(f.name))
+    return rows.select(*out)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
+    """The folder that driver and executors share; a temporary one only where none is set and the master is local, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="pagesieve-")
         atexit.register(shutil.rmtree, where, True)
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
+#: One folder in the shared one for each driver process.
+_RUN = f"pagesieve-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     This cuts the lineage: the work is done once, and what is lost with an executor is read again from
-    the shared folder.
+    the shared folder. drop_stages() removes these tables when the results that rest on them are written.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{_RUN}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stages(spark: SparkSession) -> None:
+    """Delete all tables that stage() wrote for this driver process; what was not written elsewhere is then lost."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/{_RUN}")
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b), two columns of one integer type.
 

@@ -1,8 +1,7 @@
 """Quality rules: per-document base rules and cross-document line frequency.
 
-Lines are normalised (A-Z to a-z, white space to one blank, digit runs to 0) and hashed. For each host the documents
-that hold a line are counted; a line above both limits is removed from all of them but the first (smallest
-doc_id), so boilerplate and mass copies go while one instance stays. Documents that keep too small a share of
+Lines are normalised (A-Z to a-z, white space to one blank, digit runs to 0) and hashed. For each host the distinct documents
+that hold a line are counted; a line above the limit is removed from all of them. Documents that keep too small a share of
 their words are rejected.
 """
 
@@ -17,13 +16,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import boxed, row_key, stage, unboxed
 from .words import windows, word_hashes
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: A line is above the limits if it is in more documents of a host than either allows.
-MAX_DOCS, MAX_PERCENT = 20, 1
+#: Documents of a host that may hold a line.
+MAX_DOCS = 20
 MIN_LEFT_PERCENT = 30
+#: Parts of a key in the join of lines with the frequent ones: a line may stand in a third of all documents.
+SALTS = 16
 _WHITE, _SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 _BLANKS, _DIGITS = re.compile(r"[ \t-\r]+"), re.compile(r"[0-9]+")
 _UPPER_TO_LOWER = {i: i + 32 for i in range(65, 91)}
@@ -53,12 +54,12 @@ def repeated_words(h: np.ndarray) -> int:
     return int(covered.sum())
 
 
-def row_key():
+def _key():
     """Equal rows have equal keys; results of equal rows are equal."""
-    return F.xxhash64("doc_id", "source", "text")
+    return row_key(F.col("doc_id"), F.col("source"), F.col("text"))
 
 
-_MEASURES = "key long, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, hashes array<long>, words array<int>"
+_MEASURES = "key binary, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, hashes array<long>, words array<int>"
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -79,33 +80,38 @@ def measure(docs: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in _MEASURES.split(", ")])
             yield out.assign(doc_id=out["doc_id"].astype("Int64"))
 
-    return docs.select(row_key().alias("key"), "doc_id", "source", "text").mapInPandas(run, _MEASURES)
+    return docs.select("doc_id", "source", "text").withColumn("key", _key()).mapInPandas(run, _MEASURES)
 
 
-def frequent_lines(measures: DataFrame, max_docs: int, max_percent: float) -> DataFrame:
-    """(host, hash, first_id) of the lines above both limits."""
-    hosts = measures.groupBy("host").agg(F.count("*").alias("host_docs"))
-    counts = measures.select("host", "doc_id", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_id")).where(F.col("docs") > max_docs)
-    return counts.join(hosts, "host").where(F.col("docs") * 100 > F.col("host_docs") * max_percent).select("host", "hash", "first_id")
+def frequent_lines(measures: DataFrame, max_docs: int) -> DataFrame:
+    """(host, hash) of the lines in more than max_docs distinct documents of a host; rows without doc_id differ by their key."""
+    who = F.coalesce("doc_id", F.xxhash64("key")).alias("who")
+    held = measures.select("host", who, F.explode("hashes").alias("hash")).distinct()
+    return held.groupBy("host", "hash").agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).select("host", "hash")
 
 
 def removed_lines(measures: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(key, removed_words, removed): what each document loses; documents that lose nothing have no row."""
-    lines = measures.select("key", "host", "doc_id", F.explode(F.arrays_zip("hashes", "words")).alias("x")).select("key", "host", "doc_id", F.col("x.hashes").alias("hash"), F.col("x.words").alias("n"))
-    lost = lines.join(frequent, ["host", "hash"]).where(~F.col("doc_id").eqNullSafe(F.col("first_id"))).select("key", "hash", "n")
+    """(key, removed_words, removed): what each document loses; documents that lose nothing have no row.
+
+    Every frequent line stands in many documents, so SALTS copies of it are fewer than the lines.
+    """
+    lines = measures.select("key", "host", F.explode(F.arrays_zip("hashes", "words")).alias("x"), F.pmod(F.xxhash64("key"), F.lit(SALTS)).alias("salt"))
+    lines = lines.select("key", "host", "salt", F.col("x.hashes").alias("hash"), F.col("x.words").alias("n"))
+    salted = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    lost = lines.join(salted, ["host", "hash", "salt"]).select("key", "hash", "n")
     once = lost.repartition("key").dropDuplicates(["key", "hash"])  # equal rows share a key
     return once.groupBy("key").agg(F.sum("n").alias("removed_words"), F.collect_list("hash").alias("removed"))
 
 
-def judge(docs: DataFrame, max_docs: int = MAX_DOCS, max_percent: float = MAX_PERCENT, min_left_percent: float = MIN_LEFT_PERCENT) -> DataFrame:
+def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_left_percent: float = MIN_LEFT_PERCENT) -> DataFrame:
     """key, doc_id, base measures, removed_words, removed (line hashes), base_failed and kept for each row of docs.
 
     docs: doc_id, text, source (the host); further columns are ignored. Null and empty texts have no words and fail the base
-    rules. A null source is the host ''. Repeated rows count as documents of their own. Lines whose documents all
-    lack a doc_id have no first document to be told from the others and stay. An empty table gives an empty one.
+    rules. A null source is the host ''. Rows that repeat a doc_id count as one document of their host, rows without a doc_id
+    as one if their texts are equal. An empty table gives an empty one.
     """
     measures = stage(measure(docs))
-    lost = removed_lines(measures, frequent_lines(measures, max_docs, max_percent))
+    lost = removed_lines(measures, frequent_lines(measures, max_docs))
     out = measures.drop("hashes", "words", "host").join(lost, "key", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     left = 100 * (F.col("n_words") - F.col("removed_words")) >= min_left_percent * F.col("n_words")
@@ -115,11 +121,11 @@ def judge(docs: DataFrame, max_docs: int = MAX_DOCS, max_percent: float = MAX_PE
 def apply_rules(docs: DataFrame, **limits) -> DataFrame:
     """The kept documents in the columns of docs, without their removed lines; n_chars follows the text if there is one.
 
-    Cases as in judge(); repeated rows stay repeated.
+    Cases as in judge(); repeated rows stay repeated. Columns of docs may have any names.
     """
     verdicts = judge(docs, **limits).where("kept").select("key", F.coalesce("removed", F.array().cast("array<long>")).alias("removed")).dropDuplicates(["key"])
-    names = docs.columns
-    kept = docs.withColumn("key", row_key()).join(verdicts, "key")
+    keyed = boxed(docs).withColumn("key", row_key(*[F.col("row")[c] for c in ("doc_id", "source", "text")]))
+    kept = keyed.join(verdicts, "key").withColumn("text", F.col("row")["text"])
 
     @F.pandas_udf("string")
     def without(text: pd.Series, removed: pd.Series) -> pd.Series:
@@ -131,7 +137,4 @@ def apply_rules(docs: DataFrame, **limits) -> DataFrame:
 
     # only texts that lose a line pass through Python
     whole, cut = kept.where("size(removed) = 0"), kept.where("size(removed) > 0").withColumn("text", without("text", "removed"))
-    out = whole.unionByName(cut)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.size("removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+    return unboxed(whole.unionByName(cut), docs, F.col("text"), F.size("removed") > 0)

@@ -57,29 +57,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 LINE_RULES_SQL = r"""
 WITH d AS (
-  SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS host,
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS host,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
 ), lines AS (
-  SELECT doc_id, host, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+  SELECT r, doc_id, host, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
          trim(regexp_replace(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'), ' ') AS norm
-  FROM (SELECT doc_id, host, unnest(string_split(t, chr(10))) AS line FROM d)
+  FROM (SELECT r, doc_id, host, unnest(string_split(t, chr(10))) AS line FROM d)
 ), full_lines AS (SELECT * FROM lines WHERE n > 0),
-own AS (SELECT doc_id, host, norm, sum(n) AS n FROM full_lines GROUP BY ALL),
-hosts AS (SELECT host, count(*) AS host_docs FROM d GROUP BY host),
-frequent AS (
-  SELECT host, norm, first_id FROM (SELECT host, norm, count(*) AS docs, min(doc_id) AS first_id FROM own GROUP BY ALL)
-  JOIN hosts USING (host) WHERE docs > 20 AND docs * 100 > host_docs * 1
-), lost AS (
-  SELECT doc_id, sum(n) AS removed_words FROM own JOIN frequent USING (host, norm) WHERE doc_id <> first_id GROUP BY doc_id
-), repeats AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM full_lines GROUP BY doc_id),
-places AS (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM d WHERE len(words) >= 3),
-triples AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS w FROM places),
-again AS (SELECT doc_id, w FROM triples GROUP BY ALL HAVING count(*) > 1),
+own AS (SELECT r, doc_id, host, norm, sum(n) AS n FROM full_lines GROUP BY ALL),
+frequent AS (SELECT host, norm FROM own GROUP BY ALL HAVING count(DISTINCT doc_id) > 20),
+lost AS (SELECT r, sum(n) AS removed_words FROM own JOIN frequent USING (host, norm) GROUP BY r),
+repeats AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM full_lines GROUP BY r),
+places AS (SELECT r, words, unnest(range(1, len(words) - 1)) AS i FROM d WHERE len(words) >= 3),
+triples AS (SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS w FROM places),
+again AS (SELECT r, w FROM triples GROUP BY ALL HAVING count(*) > 1),
 covered AS (
-  SELECT doc_id, count(DISTINCT p) AS n_repeat_words
-  FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM triples JOIN again USING (doc_id, w)) GROUP BY doc_id
+  SELECT r, count(DISTINCT p) AS n_repeat_words
+  FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM triples JOIN again USING (r, w)) GROUP BY r
 ), measures AS (
-  SELECT doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS word_chars,
+  SELECT r, doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS word_chars,
          length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols FROM d
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
@@ -87,7 +83,7 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        coalesce(removed_words, 0)::BIGINT AS removed_words,
        n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n_words) AND 100 * (n_words - coalesce(removed_words, 0)) >= 30 * n_words AS kept
-FROM measures LEFT JOIN repeats USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN lost USING (doc_id)
+FROM measures LEFT JOIN repeats USING (r) LEFT JOIN covered USING (r) LEFT JOIN lost USING (r)
 """
 
 JACCARD_SQL = r"""
