@@ -1,40 +1,47 @@
 """Personal data: patterns, and information-theoretic sanitisation of what reveals them.
 
-Protected entities are the base spans (email, ip, card, phone), by normalised value. Terms are the words
+Protected entities are the base spans (email, ip, card, phone), by normalised value. Terms are the runs of letters
 of their documents. Over the whole corpus, with N documents, the share of an entity's information that a term gives is
 
-    log(N * p / docs(entity)) / log(N / docs(entity)),
+    log(N * p / docs(entity)) / log(N / docs(entity)),    p = docs(entity with term) / docs(term).
 
-where p is the lower end of Wilson's interval (Z deviations) for docs(term with entity) / docs(term). So every term that
-stands in a document with an entity is rated, and few documents give a lower share. At GENERALISE and more the term's places in all
-documents are generalised, at REMOVE removed.
+All terms that stand in a document with an entity are rated. Many pairs are, and most meet by chance, so a share counts as g or
+more only if it is at least g with confidence 1 - 1 / pairs: with p0 = (N / docs(entity)) ** (g - 1), the p of share g,
+docs(term) * KL(p, p0) must reach log(pairs) (Chernoff's bound for p, corrected for the number of pairs). At GENERALISE a
+term's places in all documents are generalised, at REMOVE removed.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import boxed, row_key, stage, unboxed
+from .words import encoded, run_hashes, word_hashes
 
 KINDS = ("email", "ip", "card", "phone")
 GENERALISE, REMOVE = 0.6, 0.9
-#: Many pairs are rated, so chance meetings need a wide interval.
-Z = 3.0
+#: Bits of the filter through which terms pass before they are joined.
+BITS = 24
+#: Parts of a key in the join of pairs with their entities: one address may stand in a third of all documents.
+SALTS = 16
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
-_TERM = re.compile(r"[^\W\d_]{3,}")
+_TERM = re.compile(r"[A-Za-z\u0080-\U0010ffff]+")
+#: The same for bytes: ASCII letters, and all bytes of other characters.
+_LETTERS = np.array([b >= 128 or chr(b).isalpha() for b in range(256)], np.uint8)
 _MAYBE = "[0-9@]"
 
 Span = tuple[str, int, int]
@@ -84,7 +91,7 @@ def _entity(text: str, span: Span) -> int:
 
 @lru_cache(1 << 16)
 def _term_key(term: str) -> int:
-    return xxhash.xxh3_64_intdigest(term.encode("utf-8", "surrogatepass")) - (1 << 63)
+    return int(run_hashes(encoded(term, lower=True), _LETTERS)[0].view(np.int64)[0])
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -97,16 +104,17 @@ def masked(text: str, spans: list[Span]) -> str:
     return "".join(parts) + text[at:]
 
 
-def term_keys(text: str) -> list[int]:
-    """The keys of a text's terms, each once."""
-    return [_term_key(t) for t in {w.lower() for w in set(_TERM.findall(text))}]
+def term_keys(texts) -> Iterator[np.ndarray]:
+    """For each text the keys of its terms, each once; A-Z count as a-z. Null counts as empty."""
+    for h in word_hashes(list(texts), lower=True, classes=_LETTERS):
+        yield np.unique(h.view(np.int64))
 
 
-def _key():
-    return F.xxhash64("doc_id", "text")
+def _key(row: Column | None = None) -> Column:
+    return row_key(*[F.col(c) if row is None else row[c] for c in ("doc_id", "text")])
 
 
-_BASE = "key long, doc_id long, base string, entities array<long>, terms array<long>"
+_BASE = "key binary, doc_id long, base string, entities array<long>, terms array<long>"
 
 
 def find_base(docs: DataFrame) -> DataFrame:
@@ -116,63 +124,109 @@ def find_base(docs: DataFrame) -> DataFrame:
         for b in batches:
             spans = [base_spans(t) for t in b["text"]]
             entities = [list({_entity(x, y) for y in s}) for x, s in zip(b["text"], spans, strict=True)]
-            terms = [term_keys(masked(x, s)) if s else [] for x, s in zip(b["text"], spans, strict=True)]
-            yield pd.DataFrame({"key": b["key"], "doc_id": b["doc_id"].astype("Int64"), "base": [joined(s) for s in spans], "entities": entities, "terms": terms})
+            terms = term_keys(masked(x, s) if s else "" for x, s in zip(b["text"], spans, strict=True))
+            yield pd.DataFrame({"key": b["key"], "doc_id": b["doc_id"].astype("Int64"), "base": [joined(s) for s in spans], "entities": entities, "terms": list(terms)})
 
-    keyed = docs.select(_key().alias("key"), "doc_id", "text")
+    keyed = docs.select("doc_id", "text").withColumn("key", _key())
     maybe = F.coalesce(F.col("text").rlike(_MAYBE), F.lit(False))
     none = F.lit(None).cast("array<long>")
     plain = keyed.where(~maybe).select("key", "doc_id", F.lit("").alias("base"), none.alias("entities"), none.alias("terms"))
-    return keyed.where(maybe).mapInPandas(run, _BASE).unionByName(plain)
+    return keyed.where(maybe).select("key", "doc_id", "text").mapInPandas(run, _BASE).unionByName(plain)
 
 
-def term_documents(docs: DataFrame) -> DataFrame:
-    """(term_key, docs): in how many documents each term of the corpus occurs."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            seen: Counter[int] = Counter()
-            for t in b["text"]:
-                if t:
-                    seen.update(term_keys(t))
-            yield pd.DataFrame({"term_key": pd.array(list(seen), "int64"), "n": pd.array(list(seen.values()), "int64")})
+def term_filter(terms: DataFrame) -> np.ndarray:
+    """A bit for each value of the low BITS bits of term_key; at most 2 ** BITS / 64 numbers reach the driver."""
+    low = F.col("term_key").bitwiseAND(F.lit((1 << BITS) - 1))
+    mask = F.expr(f"shiftleft(1L, cast(term_key & 63 AS int))")
+    rows = terms.groupBy(F.shiftright(low, 6).alias("word")).agg(F.bit_or(mask).alias("mask")).toPandas()
+    out = np.zeros(1 << (BITS - 6), np.int64)
+    out[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64)
+    return out
 
-    return docs.select("text").mapInPandas(run, "term_key long, n long").groupBy("term_key").agg(F.sum("n").alias("docs"))
 
+def _passing(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = keys & np.int64((1 << BITS) - 1)
+    return keys[(bits[at >> 6] >> (keys & 63)) & 1 == 1]
 
-def lowest(part: Column, whole: Column, z: float = Z) -> Column:
-    """The lower end of Wilson's interval for a share of part in whole."""
-    p = part / whole
-    return (p + z * z / (2 * whole) - z * F.sqrt(p * (1 - p) / whole + z * z / (4 * whole * whole))) / (1 + z * z / whole)
 
+def term_documents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term_key, docs): in how many rows of docs each of the wanted terms occurs. Tasks count first, so a term is one row of a task."""
+    bits = docs.sparkSession.sparkContext.broadcast(term_filter(wanted))  # a fixed size
 
-def disclosing_terms(docs: DataFrame, base: DataFrame, generalise: float = GENERALISE) -> DataFrame:
-    """(term_key, share) of the terms whose share of some entity's information is at least generalise; the largest share."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.empty(0, np.int64), np.empty(0, np.int64)
+        for b in batches:
+            found = [_passing(k, bits.value) for k in term_keys(b["text"])]
+            keys, at = np.unique(np.concatenate([seen[0], *found]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([seen[1], np.ones(sum(map(len, found)), np.int64)]), len(keys)).astype(np.int64)
+            seen = keys, n
+            if len(keys) > 1 << 20:
+                yield pd.DataFrame({"term_key": keys, "n": n})
+                seen = np.empty(0, np.int64), np.empty(0, np.int64)
+        yield pd.DataFrame({"term_key": seen[0], "n": seen[1]})
+
+    counts = docs.select("text").mapInPandas(run, "term_key long, n long").groupBy("term_key").agg(F.sum("n").alias("docs"))
+    return counts.join(wanted, "term_key", "left_semi")
+
+
+def once(docs: DataFrame, base: DataFrame) -> tuple[DataFrame, int]:
+    """docs with each distinct (doc_id, text) once, and their number. base: the keys of all rows."""
+    rows = base.count()
+    distinct = base.select("key").distinct().count()
+    if rows == distinct:
+        return docs, rows
+    again = base.groupBy("key").count().where("count > 1").select("key")
+    keyed = docs.select("doc_id", "text").withColumn("key", _key())
+    return keyed.join(again, "key", "left_anti").unionByName(keyed.join(again, "key", "left_semi").dropDuplicates(["key"])).select("doc_id", "text"), distinct
+
+
+def divergence(p: Column, q: Column) -> Column:
+    """KL of Bernoulli shares p and q, 0 < q < 1."""
+    rest = F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - q))).otherwise(F.lit(0.0))
+    return p * F.log(p / q) + rest
+
+
+def disclosing_terms(docs: DataFrame, base: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """(term_key, remove) of the terms whose share of some entity's information is at least generalise, and whether it is at least remove."""
+    single, total = once(docs, base)
     held = base.where("size(entities) > 0").select("key", "entities", "terms").dropDuplicates(["key"])
     entities = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("of_entity"))
-    total = float(docs.count())
-    most = entities.agg(F.max("of_entity").alias("n")).first()["n"] or 0
-    # p is at most of_entity / docs, so a term in more documents than this cannot reach the share
-    limit = 1.000001 * most**generalise * total ** (1 - generalise)
-    own = held.select(F.explode("terms").alias("term_key")).distinct()
-    of_term = stage(term_documents(docs).join(own, "term_key", "left_semi").where(F.col("docs") <= limit))
-    rare = held.select("entities", F.explode("terms").alias("term_key")).join(of_term, "term_key")
-    pairs = rare.select(F.explode("entities").alias("entity"), "term_key", "docs").groupBy("entity", "term_key").agg(F.count("*").alias("both"), F.first("docs").alias("docs")).join(entities, "entity")
-    share = F.log(F.lit(total) * lowest(F.least("both", "docs"), F.col("docs")) / F.col("of_entity")) / F.log(F.lit(total) / F.col("of_entity"))
-    rated = pairs.withColumn("share", F.when(F.col("of_entity") < total, share).otherwise(F.lit(0.0)))
-    return rated.where(F.col("share") >= generalise).groupBy("term_key").agg(F.max("share").alias("share"))
-
-
-def document_terms(docs: DataFrame, disclosing: DataFrame, remove: float = REMOVE) -> DataFrame:
-    """(key, terms): the terms to generalise or remove in each document that holds any."""
+    each = held.select("entities", F.explode("terms").alias("term_key")).select(F.explode("entities").alias("entity"), "term_key")
+    pairs = stage(each.groupBy("entity", "term_key").agg(F.count("*").alias("both")))
+    confidence = math.log(max(2, pairs.count()))
+    # the most that so many common documents can reach: all of the term's, and an entity in no others
+    least = confidence / ((1 - generalise) * math.log(max(2, total)))
+    salted = entities.where(F.col("of_entity") >= least).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    often = pairs.where(F.col("both") >= least).withColumn("salt", F.pmod("term_key", F.lit(SALTS)))
+    rest = F.log(F.lit(float(total)) / F.col("of_entity"))
+    candidates = stage(often.join(salted, ["entity", "salt"]).where((F.col("of_entity") < total) & (F.col("both") * (1 - generalise) * rest >= confidence)).select("term_key", "both", "of_entity"))
+    terms = candidates.select("term_key").distinct()
+    known = term_documents(single, terms) if not candidates.isEmpty() else terms.withColumn("docs", F.lit(0).cast("long"))
+    rated = candidates.join(known, "term_key")
+    share = F.least(F.lit(1.0), F.col("both") / F.col("docs"))
+
+    def reaches(g: float) -> Column:
+        low = F.exp((g - 1) * rest)
+        return (share > low) & (F.col("docs") * divergence(share, low) >= confidence)
+
+    return rated.where(reaches(generalise)).groupBy("term_key").agg(F.max(reaches(remove)).alias("remove"))
+
+
+def document_terms(docs: DataFrame, disclosing: DataFrame) -> DataFrame:
+    """(key, terms): the terms to generalise or remove in each document that holds any; written to the shared folder."""
+    disclosing = stage(disclosing)
+    bits = docs.sparkSession.sparkContext.broadcast(term_filter(disclosing))  # a fixed size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"key": b["key"], "terms": [term_keys(t) for t in b["text"]]})
+            found = [_passing(k, bits.value) for k in term_keys(b["text"])]
+            some = np.array([len(x) > 0 for x in found], bool)
+            yield pd.DataFrame({"key": b["key"][some], "terms": pd.Series([x for x in found if len(x)], b.index[some], object)})
 
-    own = docs.where("text is not null").select(_key().alias("key"), "text").mapInPandas(run, "key long, terms array<long>").select("key", F.explode("terms").alias("term_key"))
-    found = own.join(stage(disclosing), "term_key")
-    return stage(found.groupBy("key").agg(F.collect_set(F.struct("term_key", (F.col("share") >= remove).alias("remove"))).alias("terms")))
+    if disclosing.isEmpty():
+        return stage(disclosing.select(F.lit(None).cast("binary").alias("key"), F.array(F.struct("term_key", "remove")).alias("terms")))
+    own = docs.where("text is not null").select(_key().alias("key"), "text").mapInPandas(run, "key binary, terms array<long>").select("key", F.explode("terms").alias("term_key"))
+    return stage(own.join(disclosing, "term_key").groupBy("key").agg(F.collect_set(F.struct("term_key", "remove")).alias("terms")))
 
 
 def term_spans(text: str, terms: dict[int, bool]) -> list[tuple[int, int, bool]]:
@@ -180,7 +234,8 @@ def term_spans(text: str, terms: dict[int, bool]) -> list[tuple[int, int, bool]]
 
 
 def general_form(word: str) -> str:
-    return "[NAME]" if word[:1].isupper() else "[TERM]"
+    """The coarser class of a term: an acronym, a name, or any other term."""
+    return "[ACRONYM]" if len(word) > 1 and word.isupper() else "[NAME]" if word[:1].isupper() else "[TERM]"
 
 
 def sanitised(text: str, spans: list[Span], terms: list[tuple[int, int, bool]]) -> str:
@@ -198,8 +253,8 @@ def sanitised(text: str, spans: list[Span], terms: list[tuple[int, int, bool]])
 def find(docs: DataFrame, generalise: float = GENERALISE) -> DataFrame:
     """doc_id, base (base spans) and terms (spans of disclosing terms, kind term), each as kind:start:end, joined by commas.
 
-    docs: doc_id, text; further columns are ignored. Null and empty texts have no spans. Repeated rows count as one document in the
-    corpus statistics if doc_id and text agree, and get equal results. An empty table gives an empty one.
+    docs: doc_id, text; further columns are ignored. Null and empty texts have no spans. Rows with equal doc_id and text count as one document in the
+    corpus statistics, and get equal results. An empty table gives an empty one.
     """
     base = stage(find_base(docs))
     wanted = document_terms(docs, disclosing_terms(docs, base, generalise))
@@ -209,16 +264,14 @@ def find(docs: DataFrame, generalise: float = GENERALISE) -> DataFrame:
             found = [joined([("term", a, e) for a, e, _ in term_spans(t, {x["term_key"]: x["remove"] for x in terms})]) for t, terms in zip(b["text"], b["terms"], strict=True)]
             yield pd.DataFrame({"key": b["key"], "terms": found})
 
-    texts = docs.select(_key().alias("key"), "text").join(wanted, "key").mapInPandas(run, "key long, terms string").dropDuplicates(["key"])
+    texts = docs.select(_key().alias("key"), "text").join(wanted, "key").mapInPandas(run, "key binary, terms string").dropDuplicates(["key"])
     return base.select("key", "doc_id", "base").join(texts, "key", "left").select("doc_id", "base", F.coalesce("terms", F.lit("")).alias("terms"))
 
 
 def sanitise(docs: DataFrame, generalise: float = GENERALISE) -> DataFrame:
-    """docs with sanitised texts; n_chars follows the text if there is one. Cases as in find()."""
+    """docs with sanitised texts; n_chars follows the text if there is one. Cases as in find(); columns of docs may have any names."""
     base = stage(find_base(docs))
     wanted = document_terms(docs, disclosing_terms(docs, base, generalise))
-    names = docs.columns
-    maybe = F.coalesce(F.col("text").rlike(_MAYBE), F.lit(False))
 
     @F.pandas_udf("string")
     def clean(text: pd.Series, terms: pd.Series) -> pd.Series:
@@ -227,13 +280,10 @@ def sanitise(docs: DataFrame, generalise: float = GENERALISE) -> DataFrame:
 
         return pd.Series([one(t, f) for t, f in zip(text, terms, strict=True)])
 
-    # columns of docs may be named key or terms
-    found = docs.withColumn("_key", _key()).join(wanted.select(F.col("key").alias("_key"), F.col("terms").alias("_terms")), "_key", "left")
-    touched = maybe | F.col("_terms").isNotNull()
-    changed = found.where(touched).withColumn("text", clean("text", "_terms"))
-    if "n_chars" in names:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return found.where(~touched).select(*names).unionByName(changed.select(*names))
+    found = boxed(docs).withColumn("text", F.col("row")["text"]).withColumn("key", _key(F.col("row"))).join(wanted, "key", "left")
+    touched = F.coalesce(F.col("text").rlike(_MAYBE), F.lit(False)) | F.col("terms").isNotNull()
+    marked = found.where(~touched).withColumn("changed", F.lit(False)).unionByName(found.where(touched).withColumn("text", clean("text", "terms")).withColumn("changed", F.lit(True)))
+    return unboxed(marked, docs, F.col("text"), F.col("changed"))
 
 
 def kind_count(parts: Column, kind: str) -> Column:
