@@ -3,9 +3,11 @@
 Domains are soft. A Bernoulli naive Bayes model of the labelled rows (presence of the TERMS most telling words
 and of binned text measures) gives every document posteriors of the domains clean, low and toxic. Nonnegative document rates
 are then fitted: with n tokens and posteriors p of each document, the expected totals of domain k, sum(rate * n * p[k]), shall
-equal its target. Projected gradient descent on the least squares of these totals starts at rate 1, in the metric of the
-domains' Gram matrix, so that a step without a bound in its way meets the targets. A step needs only the sums
-over all documents, and rates are expressions over the steps' slopes, so each step is one aggregation.
+equal its target. With e for what they miss, projected gradient descent starts at rate 1 and lessens the weighted squares e' G^-1 e,
+where G = sum(n p p'). Rates are measured by sum(n * rate ** 2); this metric is diagonal, so the projection on the bounds of the
+rates cuts each off by itself, and the gradient of a document is p' G^-1 e, whose Lipschitz constant is 1: full steps
+converge. A step needs only the sums over all documents, and rates are expressions over the steps' slopes, so each step is one
+aggregation. Steps go on until the targets are met or the rates stand still.
 """
 
 from __future__ import annotations
@@ -15,12 +17,15 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import boxed, row_key, stage, unboxed
 
 DOMAINS = ("clean", "low", "toxic")
 #: Shares of tokens that the query asks for.
 TARGETS = {"clean": 0.9, "low": 0.05, "toxic": 0.05}
-SAMPLE, TERMS, STEPS, BLOCK = 6_000, 160, 12, 4
+SAMPLE, TERMS, BLOCK = 6_000, 160, 4
+#: The targets are met at this share of all tokens; rates stand still at this root mean square of their last change.
+MET, STILL = 1e-4, 1e-5
+MOST_STEPS = 2_000
 #: Least chi-square statistic of a telling term (two degrees of freedom).
 CHI = 25.0
 _SIGNS = "#*$%&|<>"
@@ -99,43 +104,45 @@ def with_posteriors(docs: DataFrame, base: list[float], weights: dict[str, list[
 def expected(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, key, n_tokens (words) and p_<domain> for each row of docs."""
     base, weights = train(docs, labels)
-    own = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"), words_of(F.col("text")).alias("_words"))
+    own = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("key"), words_of(F.col("text")).alias("_words"))
     own = with_posteriors(own.withColumn("n_tokens", F.size("_words").cast("long")), base, weights)
     return own.select("doc_id", "key", "n_tokens", *[f"p_{d}" for d in DOMAINS])
 
 
-def fit_rates(mass: DataFrame, targets: dict[str, float], total: float | None = None, most: float | None = None, steps: int = STEPS) -> DataFrame:
+def fit_rates(mass: DataFrame, targets: dict[str, float], total: float | None = None, most: float | None = None, fixed: Column | None = None) -> DataFrame:
     """Adds rate to rows with n_tokens and p_<domain>.
 
     targets: shares of the domains. total: tokens of the result; by default the tokens of mass. most: highest rate.
-    A step's residuals (a number for each domain) are all that reaches the driver; every BLOCK steps the rates are
-    written to the shared folder, so expressions stay short.
+    fixed: rows whose rate stays 1. A step's residuals (a number for each domain) are all that reaches the driver; every BLOCK
+    steps the rates are written to the shared folder, so expressions stay short. Targets that the bounds do not allow
+    are met as nearly as they can be. ArithmeticError after MOST_STEPS.
     """
     k = len(DOMAINS)
     p = [F.col(f"p_{d}") for d in DOMAINS]
     n = F.col("n_tokens")
+    free = F.lit(1.0) if fixed is None else F.when(fixed, F.lit(0.0)).otherwise(F.lit(1.0))
     share = [targets[d] / sum(targets.values()) for d in DOMAINS]
-    first = mass.agg(*[F.sum(n * x).alias(f"s{i}") for i, x in enumerate(p)], *[F.sum(n * p[i] * p[j]).alias(f"g{i}{j}") for i in range(k) for j in range(k)]).first()
+    first = mass.agg(*[F.sum(n * x).alias(f"s{i}") for i, x in enumerate(p)], *[F.sum(free * n * p[i] * p[j]).alias(f"g{i}{j}") for i in range(k) for j in range(k)]).first()
     sums = [first[f"s{i}"] or 0.0 for i in range(k)]
     if total is None:
         total = sum(sums)
     wanted = [s * total for s in share]
     size = max(sum(sums), 1e-9)
     gram = [[(first[f"g{i}{j}"] or 0.0) / size + (1e-6 if i == j else 0.0) for j in range(k)] for i in range(k)]
-    rates, rate, worst = mass.withColumn("rate", F.lit(1.0)), F.col("rate"), math.inf
-    for turn in range(steps):
-        got = rates.agg(*[F.sum(n * x * rate).alias(f"s{i}") for i, x in enumerate(p)]).first() if turn else first
+    rates = mass.withColumn("rate", F.lit(1.0)).withColumn("last", F.lit(0.0))
+    rate, last = F.col("rate"), F.col("last")
+    for turn in range(MOST_STEPS):
+        got = rates.agg(*[F.sum(n * x * rate).alias(f"s{i}") for i, x in enumerate(p)], F.sum(n * (rate - last) * (rate - last)).alias("moved")).first()
         off = [((got[f"s{i}"] or 0.0) - wanted[i]) / size for i in range(k)]
-        before, worst = worst, max(map(abs, off))
-        if worst < 1e-4 or abs(before - worst) < 1e-5:
-            break
+        if max(map(abs, off)) < MET or math.sqrt((got["moved"] or 0.0) / size) < STILL:
+            return rates.withColumn("rate", rate).drop("last")
         slope = solved(gram, off)
-        rate = F.greatest(F.lit(0.0), rate - sum((x * y for x, y in zip(p, slope, strict=True)), F.lit(0.0)))
+        last, rate = rate, F.greatest(F.lit(0.0), rate - free * sum((x * y for x, y in zip(p, slope, strict=True)), F.lit(0.0)))
         if most is not None:
             rate = F.least(F.lit(float(most)), rate)
         if turn % BLOCK == BLOCK - 1:
-            rates, rate = stage(rates.withColumn("rate", rate)), F.col("rate")
-    return rates.withColumn("rate", rate)
+            rates, rate, last = stage(rates.withColumns({"rate": rate, "last": last})), F.col("rate"), F.col("last")
+    raise ArithmeticError("the rates do not settle")
 
 
 def solved(a: list[list[float]], b: list[float]) -> list[float]:
@@ -164,19 +171,19 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 
 
 def thin(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """The documents that stay when rates are limited to 1 and rounded by each doc_id's hash, in the columns of docs.
+    """The documents that stay when rates are limited to 1 and rounded by each row's hash, in the columns of docs.
 
-    The result has as many tokens as the first domain of DOMAINS allows without repeats: its documents keep rate 1 while
-    those above their target are thinned. A row stays if its rate exceeds a number in (0, MARGIN) that its doc_id and text give.
+    The result has as many tokens as the first domain of DOMAINS allows without repeats: the documents most likely of
+    it keep rate 1, while the others are thinned to their domains' targets. A row stays if its rate exceeds a number in (0, 1) that its
+    doc_id and text give. Cases as in mix(); columns of docs may have any names.
     """
     targets = targets or TARGETS
     mass = stage(expected(docs, labels))
-    have = mass.agg(F.sum(F.col("n_tokens") * F.col(f"p_{DOMAINS[0]}")).alias("s")).first()["s"] or 0.0
-    fitted = fit_rates(mass, targets, total=have / (targets[DOMAINS[0]] / sum(targets.values())), most=1.0)
-    luck = (F.pmod(F.xxhash64("key"), F.lit(1_000_000)) + 0.5) / 1_000_000 * MARGIN
+    main = F.col(f"p_{DOMAINS[0]}")
+    have = mass.agg(F.sum(F.col("n_tokens") * main).alias("s")).first()["s"] or 0.0
+    fixed = main >= F.greatest(*[F.col(f"p_{d}") for d in DOMAINS[1:]])
+    fitted = fit_rates(mass, targets, total=have / (targets[DOMAINS[0]] / sum(targets.values())), most=1.0, fixed=fixed)
+    luck = (F.pmod(F.xxhash64("key"), F.lit(1_000_000)) + 0.5) / 1_000_000
     stay = fitted.where((F.col("rate") > luck) | (F.col("n_tokens") == 0)).select("key").distinct()
-    return docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(stay.withColumnRenamed("key", "_key"), "_key", "left_semi").drop("_key")
-
-
-#: Rates above it always stay: it keeps posteriors that are not quite 1 from thinning their domain.
-MARGIN = 0.9
+    keyed = boxed(docs).withColumn("key", row_key(F.col("row")["doc_id"], F.col("row")["text"]))
+    return unboxed(keyed.join(stay, "key", "left_semi"), docs)
