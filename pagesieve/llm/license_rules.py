@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, row_key
 
 # The two base phrases of two and more words and the labels of their places: fixed values.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -124,7 +124,7 @@ def _words(fragment: Column) -> Column:
 def base_places(docs: DataFrame) -> DataFrame:
     """Adds key, low, n_words, n_base, first_word, last_word and base (array of labels) to doc_id and text."""
     low = lower_ascii(F.coalesce("text", F.lit("")))
-    out = docs.select("doc_id", low.alias("low")).withColumn("key", F.xxhash64("doc_id", "low"))
+    out = docs.select("doc_id", low.alias("low")).withColumn("key", row_key(F.col("doc_id"), F.col("low")))
     out = out.withColumn("plain", F.trim(F.regexp_replace("low", WORD_BREAKS, " "))).withColumn("n_words", _words(F.col("plain")))
     found = []
     for phrase, label in BASE_PHRASES.items():

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, stage
+from .common import boxed, components, stage, unboxed
 from .words import mix, windows, word_hashes
 
 SPARE = 3
@@ -320,9 +320,10 @@ def keep_representatives(docs: DataFrame, width: int = 5, percent: int = 80, cov
     """The documents that name their class: one of each group of near copies stays, in its own columns.
 
     Of rows that repeat a doc_id, one stays (the smallest text, nulls first). Rows without doc_id cannot name a
-    class and all stay.
+    class and all stay. Columns of docs may have any names.
     """
     kept = jaccard_classes(docs, width, percent, cover).where("doc_id = component_id").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
-    stay = docs.join(kept, "doc_id", "left_semi").withColumn("_turn", F.row_number().over(one)).where("_turn = 1").drop("_turn")
-    return stay.unionByName(docs.where("doc_id is null"))
+    rows = boxed(docs).withColumn("doc_id", F.col("row")["doc_id"])
+    one = Window.partitionBy("doc_id").orderBy(F.col("row")["text"].asc_nulls_first())
+    stay = rows.join(kept, "doc_id", "left_semi").withColumn("turn", F.row_number().over(one)).where("turn = 1")
+    return unboxed(stay, docs).unionByName(docs.where("doc_id is null"))
