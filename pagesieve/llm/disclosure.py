@@ -16,7 +16,6 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,12 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import boxed, row_key, stage, unboxed
-from .words import encoded, run_hashes, word_hashes
+from .words import encoded, pieces, run_hashes, word_hashes
 
 KINDS = ("email", "ip", "card", "phone")
 GENERALISE, REMOVE = 0.6, 0.9
 #: Bits of the filter through which terms pass before they are joined.
 BITS = 24
+#: Up to so many disclosing terms tasks hold all of them (nine bytes each); more are joined with the terms of each document.
+HELD = 1 << 20
 #: Parts of a key in the join of pairs with their entities: one address may stand in a third of all documents.
 SALTS = 16
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -89,7 +90,6 @@ def _entity(text: str, span: Span) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}:{value}") - (1 << 63)
 
 
-@lru_cache(1 << 16)
 def _term_key(term: str) -> int:
     return int(run_hashes(encoded(term, lower=True), _LETTERS)[0].view(np.int64)[0])
 
@@ -212,9 +212,19 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, generalise: float = GENER
     return rated.where(reaches(generalise)).groupBy("term_key").agg(F.max(reaches(remove)).alias("remove"))
 
 
+Terms = tuple[np.ndarray, np.ndarray]  # sorted keys, and whether each is removed
+
+
+def held_terms(disclosing: DataFrame) -> Terms | None:
+    """All disclosing terms, if there are at most HELD of them."""
+    if disclosing.count() > HELD:
+        return None
+    rows = disclosing.orderBy("term_key").toPandas()
+    return rows["term_key"].to_numpy(np.int64), rows["remove"].to_numpy(bool)
+
+
 def document_terms(docs: DataFrame, disclosing: DataFrame) -> DataFrame:
-    """(key, terms): the terms to generalise or remove in each document that holds any; written to the shared folder."""
-    disclosing = stage(disclosing)
+    """(key, keys, gone): the terms to generalise or remove in each document that holds any, sorted; for more than HELD terms."""
     bits = docs.sparkSession.sparkContext.broadcast(term_filter(disclosing))  # a fixed size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,14 +233,27 @@ def document_terms(docs: DataFrame, disclosing: DataFrame) -> DataFrame:
             some = np.array([len(x) > 0 for x in found], bool)
             yield pd.DataFrame({"key": b["key"][some], "terms": pd.Series([x for x in found if len(x)], b.index[some], object)})
 
-    if disclosing.isEmpty():
-        return stage(disclosing.select(F.lit(None).cast("binary").alias("key"), F.array(F.struct("term_key", "remove")).alias("terms")))
     own = docs.where("text is not null").select(_key().alias("key"), "text").mapInPandas(run, "key binary, terms array<long>").select("key", F.explode("terms").alias("term_key"))
-    return stage(own.join(disclosing, "term_key").groupBy("key").agg(F.collect_set(F.struct("term_key", "remove")).alias("terms")))
+    found = own.join(disclosing, "term_key").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("term_key", "remove"))).alias("terms"))
+    return stage(found.select("key", F.col("terms.term_key").alias("keys"), F.col("terms.remove").alias("gone")))
 
 
-def term_spans(text: str, terms: dict[int, bool]) -> list[tuple[int, int, bool]]:
-    return [(*m.span(), terms[t]) for m in _TERM.finditer(text) if (t := _term_key(m[0].lower())) in terms]
+def term_spans(text: str | None, terms: Terms) -> list[tuple[int, int, bool]]:
+    """(start, end, whether it is removed) of the places of these terms, in code points."""
+    keys, gone = terms
+    out, at = [], 0
+    if not text or not len(keys):
+        return out
+    for data in pieces(encoded(text, lower=True)):
+        hashes, starts = run_hashes(data, _LETTERS)
+        found = np.minimum(np.searchsorted(keys, hashes.view(np.int64)), len(keys) - 1)
+        hit = keys[found] == hashes.view(np.int64)
+        firsts = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
+        before = np.cumsum(firsts)
+        for start, k in zip(at + before[starts[hit]] - 1, found[hit], strict=True):
+            out.append((int(start), _TERM.match(text, start).end(), bool(gone[k])))
+        at += int(firsts.sum())
+    return out
 
 
 def general_form(word: str) -> str:
@@ -250,40 +273,61 @@ def sanitised(text: str, spans: list[Span], terms: list[tuple[int, int, bool]])
     return "".join(out) + text[at:]
 
 
+def _disclosing(docs: DataFrame, generalise: float) -> tuple[DataFrame, DataFrame]:
+    base = stage(find_base(docs))
+    return base, stage(disclosing_terms(docs, base, generalise))
+
+
 def find(docs: DataFrame, generalise: float = GENERALISE) -> DataFrame:
     """doc_id, base (base spans) and terms (spans of disclosing terms, kind term), each as kind:start:end, joined by commas.
 
     docs: doc_id, text; further columns are ignored. Null and empty texts have no spans. Rows with equal doc_id and text count as one document in the
     corpus statistics, and get equal results. An empty table gives an empty one.
     """
-    base = stage(find_base(docs))
-    wanted = document_terms(docs, disclosing_terms(docs, base, generalise))
+    base, disclosing = _disclosing(docs, generalise)
+    held = held_terms(disclosing)
+    keyed = docs.where("text is not null").select(_key().alias("key"), "text")
+    wanted = keyed if held else keyed.join(document_terms(docs, disclosing), "key")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [joined([("term", a, e) for a, e, _ in term_spans(t, {x["term_key"]: x["remove"] for x in terms})]) for t, terms in zip(b["text"], b["terms"], strict=True)]
-            yield pd.DataFrame({"key": b["key"], "terms": found})
+            own = [held] * len(b) if held else zip(b["keys"], b["gone"], strict=True)
+            spans = pd.Series([joined([("term", a, e) for a, e, _ in term_spans(t, x)]) for t, x in zip(b["text"], own, strict=True)], b.index, object)
+            yield pd.DataFrame({"key": b["key"], "terms": spans})[spans != ""]
 
-    texts = docs.select(_key().alias("key"), "text").join(wanted, "key").mapInPandas(run, "key binary, terms string").dropDuplicates(["key"])
+    texts = wanted.mapInPandas(run, "key binary, terms string").dropDuplicates(["key"])
     return base.select("key", "doc_id", "base").join(texts, "key", "left").select("doc_id", "base", F.coalesce("terms", F.lit("")).alias("terms"))
 
 
 def sanitise(docs: DataFrame, generalise: float = GENERALISE) -> DataFrame:
     """docs with sanitised texts; n_chars follows the text if there is one. Cases as in find(); columns of docs may have any names."""
-    base = stage(find_base(docs))
-    wanted = document_terms(docs, disclosing_terms(docs, base, generalise))
+    _, disclosing = _disclosing(docs, generalise)
+    held = held_terms(disclosing)
 
-    @F.pandas_udf("string")
-    def clean(text: pd.Series, terms: pd.Series) -> pd.Series:
-        def one(t: str, found) -> str:
-            return sanitised(t, base_spans(t), term_spans(t, {x["term_key"]: x["remove"] for x in found}) if found is not None and len(found) else [])
+    def clean(text: str | None, terms: Terms) -> str | None:
+        return text and sanitised(text, base_spans(text), term_spans(text, terms))
 
-        return pd.Series([one(t, f) for t, f in zip(text, terms, strict=True)])
+    @F.pandas_udf("string")
+    def with_held(text: pd.Series) -> pd.Series:
+        return pd.Series([clean(t, held) for t in text], dtype=object)
 
-    found = boxed(docs).withColumn("text", F.col("row")["text"]).withColumn("key", _key(F.col("row"))).join(wanted, "key", "left")
-    touched = F.coalesce(F.col("text").rlike(_MAYBE), F.lit(False)) | F.col("terms").isNotNull()
-    marked = found.where(~touched).withColumn("changed", F.lit(False)).unionByName(found.where(touched).withColumn("text", clean("text", "terms")).withColumn("changed", F.lit(True)))
-    return unboxed(marked, docs, F.col("text"), F.col("changed"))
+    @F.pandas_udf("string")
+    def with_own(text: pd.Series, keys: pd.Series, gone: pd.Series) -> pd.Series:
+        none = np.empty(0, np.int64), np.empty(0, bool)
+        return pd.Series([clean(t, none if k is None else (k, g)) for t, k, g in zip(text, keys, gone, strict=True)], dtype=object)
+
+    rows = boxed(docs).withColumn("old", F.col("row")["text"])
+    if held:
+        may = F.lit(True) if len(held[0]) else F.coalesce(F.col("old").rlike(_MAYBE), F.lit(False))
+        rows = rows.withColumn("may", may)
+        new = with_held("old")
+    else:
+        rows = rows.withColumn("key", _key(F.col("row"))).join(document_terms(docs, disclosing), "key", "left")
+        rows = rows.withColumn("may", F.coalesce(F.col("old").rlike(_MAYBE), F.lit(False)) | F.col("keys").isNotNull())
+        new = with_own("old", "keys", "gone")
+    # texts that hold nothing to replace skip Python
+    done = rows.where("not may").withColumn("text", F.col("old")).unionByName(rows.where("may").withColumn("text", new))
+    return unboxed(done, docs, F.col("text"), ~F.col("text").eqNullSafe(F.col("old")))
 
 
 def kind_count(parts: Column, kind: str) -> Column:

@@ -55,7 +55,8 @@ def run_hashes(data: bytes, classes: np.ndarray = _WORD) -> tuple[np.ndarray, np
     return mix(sums + lengths.astype(np.uint64) * _M1), starts
 
 
-def _pieces(data: bytes) -> Iterator[bytes]:
+def pieces(data: bytes) -> Iterator[bytes]:
+    """data in parts of about PIECE bytes, cut at white space."""
     at = 0
     while at < len(data):
         cut = _WHITE.search(data, at + PIECE)
@@ -82,7 +83,7 @@ def word_hashes(texts: Sequence[str | None], lower: bool = False, classes: np.nd
             yield from _together(group, classes)
             group, held = [], 0
         if len(data) > PIECE:
-            yield np.concatenate([run_hashes(x, classes)[0] for x in _pieces(data)])
+            yield np.concatenate([run_hashes(x, classes)[0] for x in pieces(data)])
         else:
             group.append(data)
             held += len(data) + 1

@@ -567,6 +567,24 @@ def disclosing(texts):
     return out
 
 
+@pytest.mark.parametrize("held", [1 << 20, 0])
+def test_terms_are_found_either_way(spark, monkeypatch, held):
+    """Terms that tasks hold and terms that are joined give the same spans, those of plain counting; offsets in code points."""
+    monkeypatch.setattr(disclosure, "HELD", held)
+    monkeypatch.setattr(words, "PIECE", 64)
+    texts = [f"éé {i}x ümlaut quintessa, {'a b c ' * 40}QUINTESSA_1 q.v@mail.example.org" for i in range(4)] + ["and quintessa 中 called"] + ["the a b c éé x 中 is called ümlaut"] * 300 + [None, ""]
+    docs = docs_of(spark, texts)
+    wanted = {t.encode().lower().decode() for t in disclosing(list(enumerate(texts)))}
+    assert wanted == {"quintessa"}
+    for r in disclosure.find(docs).collect():
+        t = texts[r["doc_id"]] or ""
+        plain = [f"term:{m.start()}:{m.end()}" for m in disclosure._TERM.finditer(t) if m[0].encode().lower().decode() in wanted]
+        assert r["terms"] == ",".join(plain)
+    for r in disclosure.sanitise(docs).collect():
+        t = texts[r["doc_id"]]
+        assert r["text"] == (t and t.replace("q.v@mail.example.org", "[EMAIL]").replace("quintessa", "[TERM]").replace("QUINTESSA", "[ACRONYM]"))
+
+
 def test_shares_of_information(spark):
     """The terms and their degree against plain counting; repeated rows change neither."""
     rng = np.random.default_rng(9)
