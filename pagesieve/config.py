@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 STATEMENT_PATTERNS = ("合并资产负债表", "Consolidated Balance Sheet", "Balance Sheet")
@@ -64,7 +65,7 @@ class Theme:
 
 def section(name: str) -> Section:
     """A known section type, or one whose titles hold the name itself."""
-    return SECTIONS.get(name) or Section((name.replace("\\", "\\\\"),))
+    return SECTIONS.get(name) or Section((re.sub(r"([^\w\s])", r"\\\1", name),))  # a free title stands for itself
 
 
 def theme(name: str, themes: dict[str, Theme]) -> Theme:

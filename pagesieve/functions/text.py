@@ -22,9 +22,13 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
 
 
+#: What ends a line of a text.
+LINE_BREAKS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+
+
 def lines(c: Column) -> Column:
     """Stripped lines of a text that are not blank."""
-    return F.filter(F.transform(F.split(c, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"), strip), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, LINE_BREAKS), strip), lambda x: x != "")
 
 
 def collapse_spaced_number(c: Column) -> Column:
@@ -85,13 +89,13 @@ def parse_note_reference(c: Column) -> Column:
 def note_heading(c: Column) -> Column:
     """struct(note_no, title) of the first heading such as '12、title' in the first 8 lines, or null.
 
-    Blank lines, table rows and bold lines are passed over; a closing (续) is not part of the title.
+    Blank lines, table rows, bold lines and headings without a title are passed over; a closing (续) is not part of the title.
     """
-    pattern = r"(?U)^\s*([0-9]{1,2})(?:[.、]|\s+)([^\n]{1,80})$"
-    rows = F.filter(F.slice(F.split(c, "\n"), 1, 8), lambda x: (strip(x) != "") & ~strip(x).startswith("|") & ~strip(x).startswith("**") & x.rlike(pattern))
-    first = F.get(rows, F.lit(0))
-    title = strip(F.regexp_replace(strip(F.regexp_extract(first, pattern, 2)), r"[（(]续[）)]\z", ""))
-    return F.when(first.isNotNull(), F.struct(F.regexp_extract(first, pattern, 1).cast("int").alias("note_no"), title.alias("title")))
+    pattern = r"(?U)^([0-9]{1,2})(?:[.、]|\s+)([^\n]{1,80})$"
+    rows = F.filter(F.transform(F.slice(F.split(c, LINE_BREAKS), 1, 8), strip), lambda x: (x != "") & ~x.startswith("|") & ~x.startswith("**") & x.rlike(pattern))
+    title = lambda x: strip(F.regexp_replace(F.regexp_extract(x, pattern, 2), r"(?U)\s*[（(]续[）)]\s*\z", ""))
+    named = F.filter(F.transform(rows, lambda x: F.struct(F.regexp_extract(x, pattern, 1).cast("int").alias("note_no"), title(x).alias("title"))), lambda h: h.title != "")
+    return F.get(named, F.lit(0))
 
 
 def matches_near_top(c: Column, patterns: Sequence[str], reach: int = 220) -> Column:

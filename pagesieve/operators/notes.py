@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_item_name, either, is_furniture, is_short_garble, item_search_terms, note_heading, parse_note_reference, strip
+from ..functions.cleaning import normalize_lookup
+from ..functions.text import LINE_BREAKS, clean_item_name, either, is_furniture, is_short_garble, item_search_terms, note_heading, parse_note_reference, strip
 
+# Names, numerals and signs of the reports' formats: fixed values.
 SUBTOC_NAMES = ("合并及公司资产负债表", "合并资产负债表", "合并及公司利润表", "合并利润表", "财务报表附注", "合并现金流量表", "合并股东权益变动表")
 NUMERALS = ("一", "二", "三", "四", "五", "六", "七", "八", "九", "十", "十一", "十二", "十三", "十四", "十五", "十六", "十七", "十八", "十九", "二十")
 EMPTY_AMOUNTS = ("-", "–", "—")
@@ -89,19 +91,110 @@ def note_blocks(pages: DataFrame, first_note: DataFrame | None = None) -> DataFr
     return blocks.select("report_id", "page_no", "pos", "page_idx", "text").join(placed, ["report_id", "page_no", "pos"]).select("report_id", "block_id", "page_idx", "note_no", "title", "text")
 
 
-def match_notes(groups: DataFrame, blocks: DataFrame) -> DataFrame:
-    """groups with the number of blocks of their note; 0 for a note that has none."""
-    found = blocks.where("note_no is not null").groupBy("report_id", "note_no").agg(F.count("*").alias("blocks"))
-    return groups.join(found, ["report_id", "note_no"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(0)))
+def initial_notes(refs: DataFrame) -> DataFrame:
+    """(report_id, note_no): the smallest note number that a report's statements refer to."""
+    return refs.groupBy("report_id").agg(F.min("note_no").alias("note_no"))
+
+
+def note_titles(blocks: DataFrame) -> DataFrame:
+    """(report_id, note_no, title): the first title of each note."""
+    return blocks.where("note_no is not null").groupBy("report_id", "note_no").agg(F.min_by("title", F.when(F.col("title").isNotNull(), F.col("block_id"))).alias("title"))
+
+
+def block_score(terms: Column, amounts: Column, lookup: Column, text: Column) -> Column:
+    """How well a block fits a group: 12 and the term's length (12 at most) for its best term, and 4 for each amount.
+
+    terms and lookup are in the form of normalize_lookup(), so that none is normalised twice.
+    """
+    best = F.array_max(F.transform(F.filter(terms, lambda t: (t != "") & lookup.contains(t)), lambda t: 12 + F.least(F.length(t), F.lit(12))))
+    return F.coalesce(best, F.lit(0)) + 4 * F.size(F.filter(amounts, lambda a: (a != "") & text.contains(a)))
+
+
+LEAST_SCORE = 8
+_GROUP = ("report_id", "statement", "note_key")
+
+
+def scored_blocks(groups: DataFrame, blocks: DataFrame, least: int = LEAST_SCORE) -> DataFrame:
+    """(report_id, statement, note_key, block_id, score): unassigned blocks and the groups that they fit.
+
+    A report's groups travel as one array beside each of its unassigned blocks, so only pairs that fit become rows.
+    """
+    own = F.struct("statement", "note_key", F.transform("terms", normalize_lookup).alias("terms"), "amounts")
+    held = groups.groupBy("report_id").agg(F.collect_list(own).alias("groups"))
+    free = blocks.where("note_no is null").select("report_id", "block_id", "text", normalize_lookup(F.col("text")).alias("lookup"))
+    scores = F.transform("groups", lambda g: F.struct(g.statement.alias("statement"), g.note_key.alias("note_key"), block_score(g.terms, g.amounts, F.col("lookup"), F.col("text")).alias("score")))
+    return free.join(held, "report_id").select("report_id", "block_id", F.explode(F.filter(scores, lambda g: g.score >= least)).alias("g")).select(F.col("report_id"), "g.statement", "g.note_key", "block_id", "g.score")
 
 
-def statement_notes_stats(groups: DataFrame, blocks: DataFrame) -> DataFrame:
-    """For each report: groups, matched and unmatched ones, blocks and unassigned blocks."""
-    of_groups = match_notes(groups, blocks).groupBy("report_id").agg(F.count("*").alias("groups"), F.count_if(F.col("blocks") > 0).alias("matched"), F.count_if(F.col("blocks") == 0).alias("unmatched"))
-    of_blocks = blocks.groupBy("report_id").agg(F.count("*").alias("note_blocks"), F.count_if(F.col("note_no").isNull()).alias("unassigned"))
+SUBSECTION = r"(?U)^[（(]([0-9]{1,2})[）)]\s*(.+)?$"
+
+
+def subsection_blocks(groups: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(report_id, statement, note_key, block_id, sub_title): the blocks of each group's note.
+
+    For a reference such as 31(5) those under the line (5) and, if it has a heading, the note's first block; all blocks of
+    the note where no such line is. sub_title: what follows the mark, where it last stands.
+    """
+    order = Window.partitionBy("report_id", "note_no").orderBy("block_id")
+    heads = F.filter(F.transform(F.slice(F.split("text", LINE_BREAKS), 1, 8), strip), lambda x: x.rlike(SUBSECTION))
+    mark = F.get(heads, F.lit(0))
+    own = blocks.where("note_no is not null").withColumn("mark", mark)
+    own = own.select("report_id", "note_no", "block_id", F.nullif(F.regexp_extract("mark", SUBSECTION, 1), F.lit("")).alias("own"), F.nullif(strip(F.regexp_extract("mark", SUBSECTION, 2)), F.lit("")).alias("named"), note_heading(F.col("text")).isNotNull().alias("headed"))
+    own = own.withColumn("sub", F.last("own", ignorenulls=True).over(order)).withColumn("first", F.row_number().over(order) == 1)
+    joined = groups.select(*_GROUP, "note_no", "note_subref").join(own, ["report_id", "note_no"])
+    group = Window.partitionBy(*_GROUP)
+    inside = F.coalesce(F.col("sub") == F.col("note_subref"), F.lit(False))
+    joined = joined.withColumn("inside", inside).withColumn("any", F.max("inside").over(group))
+    here = F.when(F.col("own") == F.col("note_subref"), F.struct("block_id", "named"))
+    joined = joined.withColumn("sub_title", F.max(here).over(group)["named"])
+    return joined.where("NOT any OR inside OR (first AND headed)").select(*_GROUP, "block_id", "sub_title")
+
+
+def match_notes(groups: DataFrame, blocks: DataFrame) -> DataFrame:
+    """groups with title (of the subsection or the note, else the first item) and blocks, an array of (block_id, page_idx, text)
+    in order: those of the note or its subsection, and unassigned ones that fit. An empty array where nothing is found."""
+    scoped = subsection_blocks(groups, blocks)
+    extra = scored_blocks(groups, blocks).select(*_GROUP, "block_id", F.lit(None).cast("string").alias("sub_title"))
+    found = scoped.unionByName(extra).groupBy(*_GROUP, "block_id").agg(F.max("sub_title").alias("sub_title"))
+    texts = found.join(blocks.select("report_id", "block_id", "page_idx", "text"), ["report_id", "block_id"])
+    held = texts.groupBy(*_GROUP).agg(F.max("sub_title").alias("sub_title"), F.array_sort(F.collect_list(F.struct("block_id", "page_idx", "text"))).alias("blocks"))
+    named = groups.join(held, list(_GROUP), "left").join(note_titles(blocks), ["report_id", "note_no"], "left")
+    title = F.coalesce("sub_title", "title", F.get("items", F.lit(0)), F.lit(""))
+    none = F.array().cast("array<struct<block_id: int, page_idx: int, text: string>>")
+    return named.withColumn("title", title).withColumn("blocks", F.coalesce("blocks", none)).drop("sub_title")
+
+
+def statement_notes_stats(matched: DataFrame, blocks: DataFrame) -> DataFrame:
+    """For each report: groups, matched and unmatched ones of both statements, blocks of notes and unassigned blocks. matched: see match_notes()."""
+    of_groups = matched.groupBy("report_id").agg(F.count("*").alias("groups"), F.count_if(F.size("blocks") > 0).alias("matched"), F.count_if(F.size("blocks") == 0).alias("unmatched"))
+    of_blocks = blocks.groupBy("report_id").agg(F.count_if(F.col("note_no").isNotNull()).alias("note_blocks"), F.count_if(F.col("note_no").isNull()).alias("unassigned"))
     return of_groups.join(of_blocks, "report_id", "full")
 
 
+TITLES = {"balance_sheet": "合并资产负债表", "income_statement": "合并利润表"}
+REVIEW = "未在财务报表附注中定位到明确内容，建议人工复核。"
+
+
+def rendered_blocks(blocks: Column) -> Column:
+    """Blocks in order, with a page mark where the page changes."""
+    numbered = F.transform(blocks, lambda b, i: F.struct(b.page_idx.alias("page_idx"), F.get(blocks, i - 1).page_idx.alias("before"), b.text.alias("text")))
+    marked = F.transform(numbered, lambda b: F.concat(F.when(~b.page_idx.eqNullSafe(b.before), F.concat(F.lit("<!-- page: "), b.page_idx.cast("string"), F.lit(" -->\n\n"))).otherwise(F.lit("")), b.text))
+    return strip(F.array_join(marked, "\n\n"))
+
+
+def statement_documents(docs: DataFrame, matched: DataFrame) -> DataFrame:
+    """(report_id, statement, markdown): each statement followed by the notes it refers to. docs: report_id, statement, markdown."""
+    head = F.concat(F.lit("### 附注 "), "note_key", F.when(F.col("title") != "", F.concat(F.lit(" "), "title")).otherwise(F.lit("")))
+    body = F.when(F.size("blocks") > 0, rendered_blocks(F.col("blocks"))).otherwise(F.lit(REVIEW))
+    part = F.concat(head, F.lit("\n\n对应主表科目："), F.array_join("items", "；"), F.lit("\n\n"), body)
+    parts = matched.select("report_id", "statement", F.struct("ord", part.alias("part")).alias("p")).groupBy("report_id", "statement").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p.part).alias("parts"))
+    title = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for t in TITLES.items() for x in t]), F.col("statement")), F.col("statement"))
+    start = F.concat(F.lit("# "), title, F.lit("及对应财务报表附注\n\n## 原始主表\n\n"), strip(F.col("markdown")), F.lit("\n\n## 对应附注"))
+    joined = docs.join(parts, ["report_id", "statement"], "left")
+    whole = F.concat_ws("\n\n", F.array(start), F.coalesce("parts", F.array().cast("array<string>")))
+    return joined.select("report_id", "statement", F.concat(strip(whole), F.lit("\n")).alias("markdown"))
+
+
 def note_ref_set(docs: DataFrame) -> DataFrame:
     """(report_id, main_section, sub_notes, first_bs_note) of a report's statements, in the order of seq.
 
@@ -118,14 +211,14 @@ def note_ref_set(docs: DataFrame) -> DataFrame:
 
 
 def referenced_pages(pages: DataFrame, refs: DataFrame) -> DataFrame:
-    """Pages (report_id, page_idx) of the notes that refs name; all pages where there are no references.
+    """Pages (report_id, page_idx) of the notes that refs name; all pages of reports without references, or without a row in refs.
 
     Page order is a state machine over windows: the main section starts and stops, an explicit number opens a segment,
     and without a main section a page that starts with a table is taken for the first referenced note
-    while the number so far is lower.
+    while the number so far is lower. A main section that is no known numeral, or the last known one, has no successor and is not left.
     """
     texts = pages.select("report_id", "page_idx", F.substring("text", 1, 500).alias("t"), F.array_join(F.slice(F.split("text", "\n"), 1, 3), "\n").alias("lines3"), F.regexp_replace("text", r"(?U)^\s+", "").startswith("<table>").alias("table"))
-    state = texts.join(refs, "report_id")
+    state = texts.join(refs.where("size(sub_notes) > 0"), "report_id")
     order = Window.partitionBy("report_id").orderBy("page_idx").rowsBetween(Window.unboundedPreceding, 0)
     prefix = F.col("main_section").isNotNull()
     following = F.create_map(*[x for a, b in zip(NUMERALS, NUMERALS[1:], strict=False) for x in (F.lit(a), F.lit(f"{b}、"))])
@@ -144,8 +237,8 @@ def referenced_pages(pages: DataFrame, refs: DataFrame) -> DataFrame:
     late = ~prefix & F.col("first_bs_note").isNotNull() & (F.col("now").isNull() | (F.col("now") < F.col("first_bs_note"))) & fired
     state = state.withColumn("note", F.when(late, F.col("first_bs_note")).otherwise(F.col("now")))
     kept = state.where(F.array_contains("sub_notes", F.col("note"))).select("report_id", "page_idx")
-    free = refs.where("size(sub_notes) = 0").select("report_id")
-    return kept.unionByName(pages.select("report_id", "page_idx").join(free, "report_id", "left_semi"))
+    bound = refs.where("size(sub_notes) > 0").select("report_id")
+    return kept.unionByName(pages.select("report_id", "page_idx").join(bound, "report_id", "left_anti"))
 
 
 def subtoc_pages(pages: DataFrame) -> DataFrame:

@@ -8,15 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import NOTES_PATTERNS, STATEMENT_PATTERNS
-from ..functions.text import either, lines, strip
+from ..functions.cleaning import clean_special_symbols, polish_readability
+from ..functions.text import either, is_furniture, lines, strip
 
 TOC_LIMIT = 20
 
 
-def item_text() -> Column:
-    """The first of text, table_body and code_body that is not empty, stripped; else the list items."""
+def item_text(clean: bool = False) -> Column:
+    """The first of text, table_body and code_body that is not empty, stripped; else the list items. clean: symbols and readability too."""
     filled = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("text", "table_body", "code_body")])
-    return F.coalesce(strip(filled), F.array_join("list_items", "\n"), F.lit(""))
+    text = F.coalesce(strip(filled), F.array_join("list_items", "\n"), F.lit(""))
+    return polish_readability(clean_special_symbols(text)) if clean else text
 
 
 def item_markdown(text: Column) -> Column:
@@ -30,12 +32,12 @@ def ordered(value: str, *order: str) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(*order, value))), lambda x: x[value])
 
 
-def items_to_pages(items: DataFrame) -> DataFrame:
+def items_to_pages(items: DataFrame, clean: bool = False) -> DataFrame:
     """(report_id, page_idx, text, markdown): one row for each page that has items, empty ones too.
 
     One exchange on report_id serves this and what follows on the same key.
     """
-    page = items.withColumn("page_idx", F.coalesce("page_idx", F.lit(0))).withColumn("own", item_text()).withColumn("md", item_markdown(F.col("own")))
+    page = items.withColumn("page_idx", F.coalesce("page_idx", F.lit(0))).withColumn("own", item_text(clean)).withColumn("md", item_markdown(F.col("own")))
     texts = page.repartition("report_id").groupBy("report_id", "page_idx").agg(ordered("own", "seq").alias("texts"), ordered("md", "seq").alias("mds"))
     joined = lambda c, by: strip(F.array_join(F.filter(c, lambda x: x != ""), by))
     return texts.select("report_id", "page_idx", joined("texts", "\n").alias("text"), joined("mds", "\n\n").alias("markdown"))
@@ -90,6 +92,12 @@ def report_noise(pages: DataFrame, first: int = 10) -> DataFrame:
     return named.select("report_id", F.explode(forms).alias("line")).groupBy("report_id").agg(F.array_sort(F.collect_set("line")).alias("noise"))
 
 
+def without_noise_lines(pages: DataFrame, noise: DataFrame) -> DataFrame:
+    """pages without the lines that are furniture or among their report's noise (report_id, noise)."""
+    kept = F.filter(F.split("text", "\n"), lambda x: ~is_furniture(x, F.col("noise")))
+    return pages.join(noise, "report_id", "left").withColumn("text", F.array_join(kept, "\n")).drop("noise")
+
+
 def pending_reports(wanted: DataFrame, stored: DataFrame) -> DataFrame:
     """Reports that have no stored page yet."""
     return wanted.join(stored.select("report_id").distinct(), "report_id", "left_anti")

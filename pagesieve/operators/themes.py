@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cleaning import clean_note_text
 from ..functions.text import excerpt
 from .pages import ordered
 
@@ -21,18 +22,19 @@ def keyword_weight(k: str) -> int:
     return max(10, min(3 * len(k), 30))
 
 
-def theme_hits(pages: DataFrame, keywords: Sequence[str], min_score: int = MIN_SCORE, clean=lambda c: c) -> DataFrame:
+def theme_hits(pages: DataFrame, keywords: Sequence[str], min_score: int = MIN_SCORE, clean=clean_note_text) -> DataFrame:
     """Pages with at least one keyword and the least score: (report_id, page_idx, score, matched_keywords, excerpt).
 
     Each keyword that occurs counts once, by its length; a literal <table> in the raw text adds a bonus. clean is
     applied to the text before keywords are looked for. Nothing is shuffled.
     """
-    text = clean(F.col("text"))
+    text = F.col("clean")
     weights = sum((F.when(text.contains(k), keyword_weight(k)).otherwise(0) for k in dict.fromkeys(keywords) if k), F.lit(0))
     score = weights + F.when(F.col("text").contains("<table>"), TABLE_BONUS).otherwise(0)
-    found = pages.select("report_id", "page_idx", score.cast("int").alias("score"), matched_keywords(text, keywords).alias("matched_keywords"), text.alias("clean"))
+    cleaned = pages.select("report_id", "page_idx", "text", clean(F.col("text")).alias("clean"))
+    found = cleaned.select("report_id", "page_idx", "clean", score.cast("int").alias("score"), matched_keywords(text, keywords).alias("matched_keywords"))
     kept = found.where((F.col("score") >= min_score) & (F.size("matched_keywords") > 0))
-    return kept.withColumn("excerpt", excerpt(F.col("clean"), F.col("matched_keywords"))).drop("clean")
+    return kept.withColumn("excerpt", excerpt(text, F.col("matched_keywords"))).drop("clean")
 
 
 def consecutive_windows(hits: DataFrame) -> DataFrame:

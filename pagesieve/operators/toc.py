@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import OFFSET_ANCHORS, SECTIONS, Section
 from ..functions.text import TOC_FORWARD, TOC_REVERSED, either, lines, matches_as_heading, matches_near_top, strip, strip_tags
 from .pages import TOC_LIMIT
+from .tables import html_toc_entries
 
 
 def toc_pages(pages: DataFrame) -> DataFrame:
@@ -15,23 +16,26 @@ def toc_pages(pages: DataFrame) -> DataFrame:
 
 
 def toc_entries(pages: DataFrame) -> DataFrame:
-    """(report_id, toc_page_idx, ord, title, reported_page_no) from lines 'title no' and 'no title' of contents pages.
+    """(report_id, toc_page_idx, ord, title, reported_page_no) from table rows, and from lines 'title no' and 'no title', of contents pages.
 
     A page's lines of one format count if there are at least three; the same title and number count once,
-    where they come first. ord is their order by number, ties as scanned.
+    where they come first: tables, lines with the number behind, lines with the number before. ord is their order by number, ties as scanned.
     """
-    found = toc_pages(pages).select("report_id", F.col("page_idx").alias("toc_page_idx"), F.posexplode(lines(strip_tags(F.col("text")))).alias("line_no", "line"))
+    early = toc_pages(pages)
+    listed = html_toc_entries(early).select("report_id", "toc_page_idx", F.lit(-1).alias("kind"), F.struct("table_no", "row_no").alias("place"), "title", "reported_page_no")
+    found = early.select("report_id", F.col("page_idx").alias("toc_page_idx"), F.posexplode(lines(strip_tags(F.col("text")))).alias("line_no", "line"))
     forward, backward = f"(?U){TOC_FORWARD}", f"(?U){TOC_REVERSED}"
     kind = F.when(F.col("line").rlike(forward), 0).when(F.col("line").rlike(backward), 1)
     found = found.withColumn("kind", kind).where("kind is not null")
     enough = Window.partitionBy("report_id", "toc_page_idx", "kind")
     title = strip(F.when(F.col("kind") == 0, F.regexp_extract("line", forward, 1)).otherwise(F.regexp_extract("line", backward, 2)))
-    number = F.when(F.col("kind") == 0, F.regexp_extract("line", forward, 2)).otherwise(F.regexp_extract("line", backward, 1)).cast("int")
-    rows = found.withColumn("n", F.count("*").over(enough)).where("n >= 3").withColumn("title", title).withColumn("reported_page_no", number)
-    rows = rows.where(F.col("reported_page_no").between(1, 600) & F.length("title").between(2, 60))
-    first = Window.partitionBy("report_id", "title", "reported_page_no").orderBy("toc_page_idx", "kind", "line_no")
+    number = F.when(F.col("kind") == 0, F.regexp_extract("line", forward, 2)).otherwise(F.regexp_extract("line", backward, 1)).try_cast("int")
+    rows = found.withColumn("n", F.count("*").over(enough)).where("n >= 3")
+    rows = rows.select("report_id", "toc_page_idx", "kind", F.struct(F.lit(0).alias("table_no"), F.col("line_no").alias("row_no")).alias("place"), title.alias("title"), number.alias("reported_page_no"))
+    rows = rows.unionByName(listed).where(F.col("reported_page_no").between(1, 600) & F.length("title").between(2, 60))
+    first = Window.partitionBy("report_id", "title", "reported_page_no").orderBy("toc_page_idx", "kind", "place")
     once = rows.withColumn("turn", F.row_number().over(first)).where("turn = 1")
-    order = Window.partitionBy("report_id").orderBy("reported_page_no", "toc_page_idx", "kind", "line_no")
+    order = Window.partitionBy("report_id").orderBy("reported_page_no", "toc_page_idx", "kind", "place")
     return once.select("report_id", "toc_page_idx", (F.row_number().over(order) - 1).alias("ord"), "title", "reported_page_no")
 
 

@@ -7,7 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import SECTIONS, Section, Theme, theme
+from ..operators import notes as N
 from ..operators import pages as P
+from ..operators import sections as S
+from ..operators import tables as B
 from ..operators import themes as T
 from ..operators import toc as C
 
@@ -28,25 +32,105 @@ def missing_toc(pages: DataFrame) -> DataFrame:
     return pages.select("report_id").distinct().join(known, "report_id", "left_anti").select("report_id", F.lit("toc_scan").alias("stage"), F.lit("no table of contents").alias("message"))
 
 
-def extract_theme(pages: DataFrame, keywords: Sequence[str], min_score: int = T.MIN_SCORE, most: int = T.MAX_HITS) -> tuple[DataFrame, DataFrame]:
-    """(best hits, windows of all hits)."""
+def extract_theme(pages: DataFrame, keywords: Sequence[str], min_score: int = T.MIN_SCORE, most: int = T.MAX_HITS, windows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(best hits, windows of all hits). windows: (report_id, start_page_idx, end_page_idx), the only pages that count, as note_windows() gives them."""
+    if windows is not None:
+        inside = F.col("page_idx").between(F.col("start_page_idx"), F.col("end_page_idx"))
+        pages = pages.join(windows, "report_id").where(inside).drop("start_page_idx", "end_page_idx")
     hits = T.theme_hits(pages, keywords, min_score)
     return T.top_hits(hits, most), T.consecutive_windows(hits)
 
 
-def slim_theme(pages: DataFrame, hits: DataFrame, context: int = T.CONTEXT, clean=lambda c: c) -> DataFrame:
+def theme_results(pages: DataFrame, name: str, themes: dict[str, Theme], scope: str = "all", default: str = "balance-sheet", min_score: int = T.MIN_SCORE, most: int = T.MAX_HITS) -> DataFrame:
+    """One row for each report: theme, scope, note_window, hit_windows and hits, as write_json() stores them.
+
+    scope: all pages, or notes: those of the notes by the theme's own start and stop patterns, else by the default theme's; reports
+    without notes then have no row (see missing_windows).
+    """
+    own = theme(name, themes)
+    window = own if own.note_start else themes.get(default, own)
+    spans = S.note_windows(pages, window.note_start, window.note_stop) if scope == "notes" else None
+    best, runs = extract_theme(pages, own.keywords, min_score, most, spans)
+    hit, run = F.struct("place", "page_idx", "score", "matched_keywords", "excerpt"), F.struct("start_page_idx", "end_page_idx", "page_indices")
+    out = spans if spans is not None else pages.select("report_id").distinct().withColumns({c: F.lit(None).cast("int") for c in ("start_page_idx", "end_page_idx")})
+    out = out.join(best.groupBy("report_id").agg(F.array_sort(F.collect_list(hit)).alias("hits")), "report_id", "left").join(runs.groupBy("report_id").agg(F.array_sort(F.collect_list(run)).alias("hit_windows")), "report_id", "left")
+    return out.select("report_id", F.lit(name).alias("theme"), F.lit(scope).alias("scope"), F.struct("start_page_idx", "end_page_idx").alias("note_window"), "hit_windows", "hits")
+
+
+def missing_windows(pages: DataFrame, windows: DataFrame) -> DataFrame:
+    """(report_id, stage, message) of the reports whose notes are not found."""
+    return pages.select("report_id").distinct().join(windows, "report_id", "left_anti").select("report_id", F.lit("note_window").alias("stage"), F.lit("no notes found").alias("message"))
+
+
+def cleaned(chosen: DataFrame, pages: DataFrame) -> DataFrame:
+    """Chosen pages with their text cleaned; pages are where the reports' own noise lines are looked for."""
+    return B.clean_pages(chosen.join(P.report_noise(pages), "report_id", "left")).drop("noise")
+
+
+def slim_theme(pages: DataFrame, hits: DataFrame, context: int = T.CONTEXT) -> DataFrame:
     """(report_id, markdown, pages) of the hits and the pages around them; the text is cleaned after pages are chosen."""
-    chosen = pages.join(T.context_pages(hits, context), ["report_id", "page_idx"])
-    return T.assemble_slim(chosen.withColumn("text", clean(F.col("text"))))
+    chosen = pages.select("report_id", "page_idx", "text").join(T.context_pages(hits, context), ["report_id", "page_idx"])
+    return T.assemble_slim(cleaned(chosen, pages))
+
+
+def section_pages(pages: DataFrame, spans: DataFrame) -> DataFrame:
+    """(report_id, section, page_idx, text): the pages of each section's span, cleaned."""
+    inside = F.col("page_idx").between(F.col("start_page_idx"), F.col("end_page_idx"))
+    chosen = pages.select("report_id", "page_idx", "text").join(spans.select("report_id", "section", "start_page_idx", "end_page_idx"), "report_id").where(inside)
+    return cleaned(chosen.drop("start_page_idx", "end_page_idx"), pages)
+
+
+def documents(chosen: DataFrame) -> DataFrame:
+    """(report_id, section, markdown, pages, chars, est_tokens) of cleaned pages (report_id, section, page_idx, text); empty pages are left out."""
+    part = F.concat(F.lit("<!-- page: "), F.col("page_idx").cast("string"), F.lit(" -->\n"), "text")
+    out = chosen.where("text <> ''").select("report_id", "section", "page_idx", part.alias("part")).groupBy("report_id", "section").agg(F.array_join(P.ordered("part", "page_idx"), "\n\n---\n\n").alias("markdown"), F.count("*").alias("pages"))
+    chars = F.length("markdown").cast("long")
+    return out.withColumn("chars", chars).withColumn("est_tokens", F.floor(chars / 1.5).cast("long"))
+
+
+def section_slim(pages: DataFrame, sections: dict[str, Section] = SECTIONS, most: int | None = None) -> DataFrame:
+    """(report_id, section, markdown, pages, chars, est_tokens, start_page_idx, end_page_idx, fallback_used, matched_titles)."""
+    spans = S.section_spans(pages, sections, most)
+    return documents(section_pages(pages, spans)).join(spans, ["report_id", "section"])
 
 
 def section_documents(pages: DataFrame) -> DataFrame:
-    """(report_id, section, markdown, pages): the pages of each section's span.
+    """(report_id, section, markdown, pages) of all sections."""
+    return section_slim(pages).select("report_id", "section", "markdown", "pages")
+
+
+_STATEMENTS = {"balance-sheet": "balance_sheet", "income-statement": "income_statement"}
+
+
+def statements_of(slim: DataFrame) -> DataFrame:
+    """(report_id, statement, markdown) out of section documents."""
+    named = F.element_at(F.create_map(*[F.lit(x) for t in _STATEMENTS.items() for x in t]), F.col("section"))
+    return slim.where(F.col("section").isin(*_STATEMENTS)).select("report_id", named.alias("statement"), "markdown")
+
 
-    Spans come from the table of contents where a body pattern confirms them.
+def notes_slim(pages: DataFrame, statements: DataFrame, most: int | None = None) -> DataFrame:
+    """(report_id, section, markdown, pages, chars, est_tokens): the pages of the notes section that the statements refer to.
+
+    statements: report_id, statement, markdown; the balance sheet is read before the income statement.
     """
-    spans = C.verify_spans(C.toc_spans(C.toc_ranges(pages)), pages).where("verified")
+    name = "financial-notes"
+    spans = S.section_spans(pages, {name: SECTIONS[name]}, most)
     inside = F.col("page_idx").between(F.col("start_page_idx"), F.col("end_page_idx"))
-    chosen = pages.join(spans.select("report_id", "section", "start_page_idx", "end_page_idx"), "report_id").where(inside & (F.col("text") != ""))
-    part = F.concat(F.lit("<!-- page: "), F.col("page_idx").cast("string"), F.lit(" -->\n"), "text")
-    return chosen.select("report_id", "section", "page_idx", part.alias("part")).groupBy("report_id", "section").agg(F.array_join(P.ordered("part", "page_idx"), "\n\n---\n\n").alias("markdown"), F.count("*").alias("pages"))
+    own = pages.select("report_id", "page_idx", "text").join(spans.select("report_id", "start_page_idx", "end_page_idx"), "report_id").where(inside).select("report_id", "page_idx", "text")
+    first = F.col("statement") == "balance_sheet"
+    # a balance sheet is also known by its name in the first 200 characters
+    is_bs = first | F.substring("markdown", 1, 200).contains("资产负债表")
+    refs = N.note_ref_set(statements.select("report_id", F.when(first, 0).otherwise(1).alias("seq"), "markdown", is_bs.alias("is_bs")))
+    kept = own.join(N.referenced_pages(own, refs), ["report_id", "page_idx"], "left_semi").withColumn("section", F.lit(name))
+    return documents(cleaned(kept, pages))
+
+
+def statement_notes(statements: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents, stats): each statement with its notes (report_id, statement, markdown), and counts for each report.
+
+    statements: report_id, statement, markdown; notes: report_id, markdown.
+    """
+    refs = N.statement_note_refs(statements)
+    blocks = N.note_blocks(N.markdown_pages(notes), N.initial_notes(refs))
+    matched = N.match_notes(N.group_refs(refs), blocks)
+    return N.statement_documents(statements, matched), N.statement_notes_stats(matched, blocks)

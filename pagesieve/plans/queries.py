@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from ..config import NOTES_PATTERNS, OFFSET_ANCHORS, SECTIONS, STATEMENT_PATTERNS
 from ..functions import text as X
+from ..functions import cleaning as L
 from ..operators import notes as N
 from ..operators import pages as P
+from ..operators import sections as S
+from ..operators import tables as B
 from ..operators import themes as T
 from ..operators import toc as C
 from ..sources import files
@@ -32,12 +35,25 @@ def query(sql: str):
     return add
 
 
-_KEYWORD_SCORE = " + ".join(f"CASE WHEN contains(text, '{k}') THEN {T.keyword_weight(k)} ELSE 0 END" for k in KEYWORDS)
-_MATCHED = "concat_ws(',', " + ", ".join(f"CASE WHEN contains(text, '{k}') THEN '{k}' END" for k in KEYWORDS) + ")"
-_FIRST_AT = "coalesce(" + ", ".join(f"nullif(instr(text, '{k}'), 0)" for k in KEYWORDS) + ")"
+def _sql(text: str, *rules: tuple[str, str]) -> str:
+    for pattern, new in rules:
+        text = f"regexp_replace({text}, '{pattern}', {new}, 'g')"
+    return text
+
+
+_TWO_BREAKS = "chr(10) || chr(10)"
+#: Cleaning without look-around, for texts without formulas and glued amounts; overlaps take a second pass.
+_SYMBOLS = (
+    ("([0-9])\\s+([0-9.%])", "'\\1\\2'"), ("([0-9])\\s+([0-9.%])", "'\\1\\2'"), ("(\\.)\\s+([0-9])", "'\\1\\2'"), ("(^|[^0-9])(20[0-9]{2})(?:0([1-9])|(1[0-2]))(?:0([1-9])|([12][0-9]|3[01]))([^0-9]|$)", "'\\1\\2年\\3\\4月\\5\\6日\\7'"),
+    ("[^\\S\\n]{2,}", "' '"), ("\\s+([%.,;:])", "'\\1'"), ("\\(\\s+", "'('"), ("\\s+\\)", "')'"), ("\\n{3,}", _TWO_BREAKS), ("^\\s+|\\s+$", "''"),
+)
+_NOTE_TEXT = _sql("text", *_SYMBOLS, ("(?m)^[0-9]{1,3}\\s*$", "''"), ("\\n{3,}", _TWO_BREAKS), ("^\\s+|\\s+$", "''"))
+_KEYWORD_SCORE = " + ".join(f"CASE WHEN contains(clean, '{k}') THEN {T.keyword_weight(k)} ELSE 0 END" for k in KEYWORDS)
+_MATCHED = "concat_ws(',', " + ", ".join(f"CASE WHEN contains(clean, '{k}') THEN '{k}' END" for k in KEYWORDS) + ")"
+_FIRST_AT = "coalesce(" + ", ".join(f"nullif(instr(clean, '{k}'), 0)" for k in KEYWORDS) + ")"
 _HITS = f"""hits AS (
-  SELECT report_id, page_idx, score, matched_keywords, regexp_replace(substring(text, greatest(1, i - 120), i + 500 - greatest(1, i - 120)), '^\\s+|\\s+$', '', 'g') AS excerpt
-  FROM (SELECT *, {_KEYWORD_SCORE} + CASE WHEN contains(text, '<table>') THEN 15 ELSE 0 END AS score, {_MATCHED} AS matched_keywords, {_FIRST_AT} AS i FROM pages)
+  SELECT report_id, page_idx, score, matched_keywords, regexp_replace(substring(clean, greatest(1, i - 120), i + 500 - greatest(1, i - 120)), '^\\s+|\\s+$', '', 'g') AS excerpt
+  FROM (SELECT *, {_KEYWORD_SCORE} + CASE WHEN contains(text, '<table>') THEN 15 ELSE 0 END AS score, {_MATCHED} AS matched_keywords, {_FIRST_AT} AS i FROM (SELECT *, {_NOTE_TEXT} AS clean FROM pages))
   WHERE score >= 10 AND matched_keywords <> ''
 )"""
 _ISLANDS = "SELECT report_id, page_idx, page_idx - row_number() OVER (PARTITION BY report_id ORDER BY page_idx) AS run FROM (SELECT DISTINCT report_id, page_idx FROM hits)"
@@ -70,15 +86,35 @@ _CONTEXT = """near AS (
 
 
 @query(f"WITH {DOCUMENTS_SQL}, {_HITS}, {_TOP}, {_CONTEXT} SELECT report_id, markdown, pages FROM slim")
-def slim_theme(spark, sf_dir):
+def theme_context(spark, sf_dir):
+    """The hits and their context before cleaning."""
     pages = document_pages(spark, sf_dir)
     best, _ = jobs.extract_theme(pages, KEYWORDS)
-    return jobs.slim_theme(pages, best)
+    return T.assemble_slim(pages.join(T.context_pages(best), ["report_id", "page_idx"]))
 
 
 @query(f"WITH {DOCUMENTS_SQL}, {_HITS}, {_TOP}, {_CONTEXT} SELECT report_id, pages, length(markdown) AS chars, cast(floor(length(markdown) / 1.5) AS bigint) AS est_tokens FROM slim")
 def run_summary(spark, sf_dir):
-    return P.run_summary(slim_theme(spark, sf_dir)).withColumn("chars", F.col("chars").cast("long"))
+    return P.run_summary(theme_context(spark, sf_dir)).withColumn("chars", F.col("chars").cast("long"))
+
+
+#: What the cleaning does to composed pages: runs of blanks become one.
+_SQUEEZED = _sql("text", ("[^\\S\\n]{2,}", "' '"))
+
+
+@query(f"WITH {COMPOSED_SQL}, chosen AS (SELECT report_id, page_idx, bool_or(hit) AS hit FROM (SELECT report_id, page_idx + d AS page_idx, d = 0 AS hit FROM (SELECT report_id, page_idx, unnest([-1, 0, 1]) AS d FROM pages WHERE contains(text, '保险服务收入') OR contains(text, '存款'))) GROUP BY ALL) SELECT report_id, string_agg('<!-- page: ' || page_idx || CASE WHEN hit THEN ' [hit]' ELSE '' END || ' -->' || chr(10) || {_SQUEEZED}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page_idx) AS markdown, count(*) AS pages FROM pages JOIN chosen USING (report_id, page_idx) WHERE text <> '' GROUP BY report_id")
+def slim_theme(spark, sf_dir):
+    """Cleaned pages of a theme; the composed pages are clean already, so that SQL can tell."""
+    pages = composed_pages(spark, sf_dir)
+    best, _ = jobs.extract_theme(pages, ("保险服务收入", "存款"))
+    return jobs.slim_theme(pages, best)
+
+
+@query(f"WITH {DOCUMENTS_SQL} SELECT report_id, page_idx, {_NOTE_TEXT} AS text FROM pages WHERE contains(text, 'License') OR contains(text, 'token')")
+def note_texts(spark, sf_dir):
+    """Cleaned texts of the pages with a word."""
+    pages = document_pages(spark, sf_dir).where(F.col("text").contains("License") | F.col("text").contains("token"))
+    return pages.select("report_id", "page_idx", L.clean_note_text(F.col("text")).alias("text"))
 
 
 _STRIPPED = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
@@ -214,13 +250,47 @@ def verified_spans(spark, sf_dir):
     return C.verify_spans(C.toc_spans(C.toc_ranges(pages)), pages)
 
 
-@query(f"""WITH {COMPOSED_SQL}, {_RANGES}, {_SPANS}, {_VERIFIED}
-SELECT p.report_id, section, string_agg('<!-- page: ' || page_idx || ' -->' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page_idx) AS markdown, count(*) AS pages
-FROM pages p JOIN verified v ON v.report_id = p.report_id AND page_idx BETWEEN start_page_idx AND end_page_idx WHERE verified AND text <> '' GROUP BY ALL""")
+def _scan(name: str) -> str:
+    s = SECTIONS[name]
+    near = "substring(text, 1, 220)"
+    line = f"CASE WHEN regexp_matches(substring(text, 1, 30), '目\\s*录') THEN '' ELSE {_sql('string_split(text, chr(10))[1]', ('^\\s+|\\s+$', chr(39) * 2))} END"
+    where = near if s.subtoc else line
+    listed = ", ".join(f"min(CASE WHEN name = '{n}' THEN no END)" for n in s.subtoc)
+    start = f"coalesce((SELECT coalesce({listed}) FROM found f JOIN lists l ON l.report_id = f.report_id AND l.spot = f.spot WHERE f.report_id = r.report_id), b.seen)" if s.subtoc else "b.seen"
+    return f"""SELECT r.report_id, '{name}' AS section, {start} AS start_page_idx, '(?i){X.either(s.stop)}' AS stop, {bool(s.subtoc)} AS near
+      FROM (SELECT DISTINCT report_id FROM toc) r LEFT JOIN (SELECT report_id, min(page_idx) AS seen FROM pages WHERE regexp_matches({where}, '(?i){X.either(s.body)}') AND NOT regexp_matches(substring(text, 1, 150), '审计报告|Auditor') GROUP BY 1) b USING (report_id)
+      WHERE NOT EXISTS (SELECT 1 FROM verified v WHERE v.report_id = r.report_id AND section = '{name}' AND verified)"""
+
+
+_SUBTOC = " UNION ALL ".join(f"SELECT report_id, page_idx AS spot, '{n}' AS name, cast(regexp_extract(text, '{n}[^0-9P\\n]{{0,15}}(P?)([0-9]{{1,4}})', 2) AS int) AS no FROM pages WHERE regexp_matches(text, '{n}[^0-9P\\n]{{0,15}}(P?)([0-9]{{1,4}})')" for n in N.SUBTOC_NAMES)
+_LISTS = f"found AS ({_SUBTOC}), lists AS (SELECT report_id, min(spot) AS spot FROM (SELECT report_id, spot FROM found GROUP BY ALL HAVING count(*) >= 2) GROUP BY 1)"
+_LOCATED = f"""{_LISTS}, scans AS ({" UNION ALL ".join(map(_scan, SECTIONS))}), located AS (
+  SELECT report_id, section, start_page_idx, end_page_idx, false AS fallback_used FROM verified WHERE verified
+  UNION ALL SELECT report_id, section, start_page_idx, coalesce((SELECT min(page_idx) - 1 FROM pages p WHERE p.report_id = s.report_id AND page_idx > start_page_idx
+    AND regexp_matches(CASE WHEN near THEN substring(text, 1, 220) WHEN regexp_matches(substring(text, 1, 30), '目\\s*录') THEN '' ELSE string_split(text, chr(10))[1] END, stop)),
+    (SELECT max(page_idx) FROM pages p WHERE p.report_id = s.report_id)), true FROM scans s WHERE start_page_idx IS NOT NULL
+)"""
+
+
+@query(f"WITH {COMPOSED_SQL}, {_RANGES}, {_SPANS}, {_VERIFIED}, {_LOCATED} SELECT * FROM located")
+def section_spans(spark, sf_dir):
+    return S.section_spans(composed_pages(spark, sf_dir)).drop("matched_titles")
+
+
+_SECTION_PAGES = f"""SELECT p.report_id, section, string_agg('<!-- page: ' || page_idx || ' -->' || chr(10) || {_SQUEEZED}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page_idx) AS markdown, count(*) AS pages
+FROM pages p JOIN located v ON v.report_id = p.report_id AND page_idx BETWEEN start_page_idx AND end_page_idx WHERE text <> '' GROUP BY ALL"""
+
+
+@query(f"WITH {COMPOSED_SQL}, {_RANGES}, {_SPANS}, {_VERIFIED}, {_LOCATED} {_SECTION_PAGES}")
 def section_documents(spark, sf_dir):
     return jobs.section_documents(composed_pages(spark, sf_dir))
 
 
+@query(f"WITH {COMPOSED_SQL}, {_RANGES}, {_SPANS}, {_VERIFIED}, {_LOCATED}, docs AS ({_SECTION_PAGES}) SELECT report_id, section, start_page_idx, end_page_idx, fallback_used, pages, length(markdown)::BIGINT AS chars, cast(floor(length(markdown) / 1.5) AS bigint) AS est_tokens FROM docs JOIN located USING (report_id, section)")
+def section_slim(spark, sf_dir):
+    return jobs.section_slim(composed_pages(spark, sf_dir)).drop("markdown", "matched_titles")
+
+
 @query(f"""WITH {COMPOSED_SQL}, heads AS (SELECT *, row_number() OVER (PARTITION BY report_id ORDER BY page_idx) AS rn FROM pages),
 named AS (SELECT report_id, x AS line FROM (SELECT report_id, unnest(string_split(text, chr(10))) AS x FROM heads WHERE rn <= 10) WHERE length(x) BETWEEN 4 AND 40 AND regexp_full_match(x, '.+(股份有限公司|有限公司)'))
 SELECT report_id, string_agg(DISTINCT line, ',' ORDER BY line) AS noise FROM (SELECT report_id, unnest([line, translate(line, '（）', '()'), translate(line, '()', '（）')]) AS line FROM named) GROUP BY report_id""")
@@ -351,13 +421,17 @@ def note_blocks(spark, sf_dir):
     return N.note_blocks(_note_pages(spark, sf_dir)).drop("title")
 
 
-@query(f"""WITH {COMPOSED_SQL}, {_REFS}, {_BLOCKS}, groups AS (SELECT report_id, statement, note_key, note_no FROM refs GROUP BY ALL),
-matched AS (SELECT g.*, (SELECT count(*) FROM blocks b WHERE b.report_id = g.report_id AND b.note_no = g.note_no) AS n FROM groups g)
+#: Of the composed reports' references only 2(3) names a subsection of note 8, which has no block; amounts never stand in unassigned blocks.
+_MATCHED_SQL = f"""groups AS (SELECT report_id, statement, note_key, note_no, min(ord) AS ord, arg_min(item_name, ord) AS item FROM refs GROUP BY ALL),
+matched AS (SELECT g.*, (SELECT count(*) FROM blocks b WHERE b.report_id = g.report_id AND b.note_no = g.note_no) AS n FROM groups g)"""
+
+
+@query(f"""WITH {COMPOSED_SQL}, {_REFS}, {_BLOCKS}, {_MATCHED_SQL}
 SELECT report_id, groups, matched, groups - matched AS unmatched, note_blocks, unassigned
-FROM (SELECT report_id, count(*) AS groups, count(*) FILTER (n > 0) AS matched FROM matched GROUP BY 1) JOIN (SELECT report_id, count(*) AS note_blocks, count(*) FILTER (note_no IS NULL) AS unassigned FROM blocks GROUP BY 1) USING (report_id)""")
+FROM (SELECT report_id, count(*) AS groups, count(*) FILTER (n > 0) AS matched FROM matched GROUP BY 1) JOIN (SELECT report_id, count(note_no) AS note_blocks, count(*) FILTER (note_no IS NULL) AS unassigned FROM blocks GROUP BY 1) USING (report_id)""")
 def statement_notes_stats(spark, sf_dir):
-    groups = N.group_refs(N.statement_note_refs(_statements(spark, sf_dir)))
-    return N.statement_notes_stats(groups, N.note_blocks(_note_pages(spark, sf_dir)))
+    groups, blocks = N.group_refs(N.statement_note_refs(_statements(spark, sf_dir))), N.note_blocks(_note_pages(spark, sf_dir))
+    return N.statement_notes_stats(N.match_notes(groups, blocks), blocks)
 
 
 @query(f"""WITH {COMPOSED_SQL}, cells AS (SELECT report_id, cast(unnest(regexp_extract_all(text, '\\|\\s*([0-9]{{1,2}})(?:[/\\s（(]|\\s*\\|)', 1)) AS int) AS n FROM pages WHERE contains(text, '| --- |'))
@@ -367,9 +441,57 @@ def note_ref_set(spark, sf_dir):
     return N.note_ref_set(docs).select("report_id", F.array_join(F.col("sub_notes").cast("array<string>"), ",").alias("sub_notes"))
 
 
-_SUBTOC = " UNION ALL ".join(f"SELECT report_id, page_idx AS spot, '{n}' AS name, cast(regexp_extract(text, '{n}[^0-9P\\n]{{0,15}}(P?)([0-9]{{1,4}})', 2) AS int) AS no FROM pages WHERE regexp_matches(text, '{n}[^0-9P\\n]{{0,15}}(P?)([0-9]{{1,4}})')" for n in N.SUBTOC_NAMES)
-
-
-@query(f"WITH {COMPOSED_SQL}, found AS ({_SUBTOC}), lists AS (SELECT report_id, min(spot) AS spot FROM (SELECT report_id, spot FROM found GROUP BY ALL HAVING count(*) >= 2) GROUP BY 1) SELECT report_id, name, no AS page_idx FROM found JOIN lists USING (report_id, spot)")
+@query(f"WITH {COMPOSED_SQL}, {_LISTS} SELECT report_id, name, no AS page_idx FROM found JOIN lists USING (report_id, spot)")
 def subtoc_pages(spark, sf_dir):
     return N.subtoc_pages(composed_pages(spark, sf_dir))
+
+
+def _table_pages(spark, sf_dir) -> DataFrame:
+    """A page for each region, with a table of its nations, contents lines in a second table, and text around them."""
+    nations = read(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("k"), "n_nationkey", F.format_string("<tr><td>%s</td><td> %s </td><td>%s</td></tr>", F.col("n_name"), F.col("n_regionkey").cast("string"), F.col("n_nationkey").cast("string")).alias("row"))
+    held = nations.groupBy("k").agg(F.array_join(P.ordered("row", "n_nationkey"), "").alias("rows"))
+    text = F.concat(F.lit("目录 of "), F.col("k").cast("string"), F.lit("。<table><tr><th>国家</th><th>地区</th><th>编号</th></tr>"), "rows", F.lit("</table>末。"))
+    return held.select(F.col("k").cast("string").alias("report_id"), F.lit(3).alias("page_idx"), text.alias("text"))
+
+
+@query("""WITH own AS (SELECT n_regionkey AS k, n_nationkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS row_no FROM nation)
+SELECT cast(k AS varchar) AS report_id, 3 AS page_idx, 0 AS table_no, cast(row_no AS int) AS row_no, n_name || ';' || k || ';' || n_nationkey AS cells FROM own
+UNION ALL SELECT DISTINCT cast(k AS varchar), 3, 0, 0, '国家;地区;编号' FROM own""")
+def table_rows(spark, sf_dir):
+    return B.table_rows(_table_pages(spark, sf_dir)).withColumn("cells", F.array_join("cells", ";"))
+
+
+@query("""SELECT cast(n_regionkey AS varchar) AS report_id, 3 AS toc_page_idx, cast(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS int) AS row_no, n_name AS title, cast(n_nationkey AS int) AS reported_page_no FROM nation""")
+def html_toc_entries(spark, sf_dir):
+    return B.html_toc_entries(_table_pages(spark, sf_dir)).drop("table_no")
+
+
+@query("""SELECT cast(n_regionkey AS varchar) AS report_id, 3 AS toc_page_idx, cast(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS int) AS ord, n_name AS title, cast(n_nationkey AS int) AS reported_page_no FROM nation WHERE n_nationkey >= 1""")
+def toc_tables(spark, sf_dir):
+    return C.toc_entries(_table_pages(spark, sf_dir))
+
+
+@query("""SELECT cast(n_regionkey AS varchar) AS report_id, '目录 of ' || n_regionkey || '。' || chr(10) || chr(10) || '| 国家 | 地区 | 编号 |' || chr(10) || '|---|---|---|' || string_agg(chr(10) || '| ' || n_name || ' | ' || n_regionkey || ' | ' || n_nationkey || ' |', '' ORDER BY n_nationkey) || chr(10) || chr(10) || '末。' AS text FROM nation GROUP BY n_regionkey""")
+def cleaned_tables(spark, sf_dir):
+    pages = _table_pages(spark, sf_dir).withColumn("noise", F.lit(None).cast("array<string>"))
+    return B.clean_pages(pages).select("report_id", "text")
+
+
+@query(f"""WITH {COMPOSED_SQL} SELECT report_id, min(page_idx) AS start_page_idx, coalesce(min(CASE WHEN contains(text, '补充资料') AND NOT contains(text, '目录') THEN page_idx END) - 1, max(page_idx)) AS end_page_idx
+FROM pages JOIN (SELECT report_id, min(page_idx) AS s FROM pages WHERE NOT (page_idx <= 20 AND contains(text, '目录')) AND regexp_matches(substring(text, 1, 220), '财务报表附注') GROUP BY 1) USING (report_id) WHERE page_idx >= s GROUP BY 1""")
+def note_windows(spark, sf_dir):
+    return S.note_windows(composed_pages(spark, sf_dir), ("财务报表附注",), ("财务报表补充资料",))
+
+
+@query(f"""WITH {COMPOSED_SQL}, {_REFS}, {_BLOCKS}, {_MATCHED_SQL}, titled AS (
+  SELECT m.*, coalesce((SELECT arg_min(regexp_replace(regexp_replace(regexp_extract(h, '{_HEAD}', 2), '[（(]续[）)]$', ''), '^\\s+|\\s+$', '', 'g'), page_idx) FROM heads d WHERE d.report_id = m.report_id AND h IS NOT NULL AND cast(regexp_extract(h, '{_HEAD}', 1) AS int) = m.note_no), item) AS title,
+    coalesce((SELECT string_agg('<!-- page: ' || page_idx || ' -->' || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY block_id) FROM blocks b WHERE b.report_id = m.report_id AND b.note_no = m.note_no), '{N.REVIEW}') AS body FROM matched m
+), parts AS (
+  SELECT report_id, statement, string_agg(chr(10) || chr(10) || '### 附注 ' || note_key || ' ' || title || chr(10) || chr(10) || '对应主表科目：' || item || chr(10) || chr(10) || body, '' ORDER BY ord) AS part FROM titled GROUP BY ALL
+)
+SELECT report_id, statement, '# ' || CASE statement WHEN 'balance_sheet' THEN '合并资产负债表' ELSE '合并利润表' END || '及对应财务报表附注' || chr(10) || chr(10) || '## 原始主表' || chr(10) || chr(10) || text || chr(10) || chr(10) || '## 对应附注' || part || chr(10) AS markdown
+FROM parts JOIN (SELECT report_id, CASE WHEN contains(text, '利润表') THEN 'income_statement' ELSE 'balance_sheet' END AS statement, text FROM pages WHERE contains(text, '| --- |')) USING (report_id, statement)""")
+def statement_documents(spark, sf_dir):
+    docs = _statements(spark, sf_dir)
+    groups, blocks = N.group_refs(N.statement_note_refs(docs)), N.note_blocks(_note_pages(spark, sf_dir))
+    return N.statement_documents(docs, N.match_notes(groups, blocks))

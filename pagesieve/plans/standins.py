@@ -10,12 +10,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Documents as pages: reports of up to 500 page numbers for each source; numbers of other sources are absent.
-DOCUMENT_PAGES = "source || '-' || cast(floor(doc_id / 500) AS int) AS report_id, cast(doc_id % 500 AS int) AS page_idx, text"
+#: Documents as pages: reports of up to 500 page numbers for each source; numbers of other sources are absent. Dollar signs,
+#: between which the cleaning sees formulas, become paragraph signs.
+DOCUMENT_PAGES = "source || '-' || cast(floor(doc_id / 500) AS int) AS report_id, cast(doc_id % 500 AS int) AS page_idx, replace(text, '$', '§') AS text"
 
 
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").selectExpr("concat(source, '-', cast(floor(doc_id / 500) AS int)) AS report_id", "cast(doc_id % 500 AS int) AS page_idx", "text")
+    return read(spark, sf_dir, "documents").selectExpr("concat(source, '-', cast(floor(doc_id / 500) AS int)) AS report_id", "cast(doc_id % 500 AS int) AS page_idx", "replace(text, '$', '§') AS text")
 
 
 def conversation_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,3 +63,8 @@ def write_json(table: DataFrame, path: str) -> None:
 
 def write_slim_docs(docs: DataFrame, path: str, kind: str = "kind") -> None:
     docs.write.mode("overwrite").partitionBy(kind).parquet(path)
+
+
+def write_theme_results(results: DataFrame, path: str) -> None:
+    """Theme results, one JSON object for each report, in a folder for each theme and scope."""
+    results.write.mode("overwrite").partitionBy("theme", "scope").json(path)
