@@ -10,13 +10,17 @@ A document's set holds its distinct word shingles. Two documents link when
    its empty parts count too). Sets that share a part form a cell, so no link crosses all cells. The number of
    parts grows with the set and with 100 - p; at lower limits, ``cover="minhash"`` takes cells of equal MinHash values
    instead, as many for every set, so many that a linked pair shares none with a chance of at most ``MISS``.
-3. Cells that hold different sets are joined to candidate clusters (connected components of leader links).
-4. Signature trees: each cluster is cut into blocks of at most ``BLOCK`` sets and the cluster's leader. The
-   nodes of a block's tree hold OR-combined shingle bitmaps and size ranges. A dual traversal drops
-   node pairs whose largest possible overlap is too small, and those already known to be connected; the
-   remaining pairs of sets are counted exactly.
-5. In clusters of several blocks, the sets outside the largest class found so far meet the trees of all other
-   blocks of their cluster. Links between members of one class cannot change the classes, so nothing is lost.
+3. Cells that hold different sets are joined to candidate clusters (connected components of leader links). A
+   cluster of at most ``BLOCK`` sets is one group; in a larger one, each set is grouped with the smallest of its cells'
+   leaders, and groups are dealt into blocks that all hold their leader.
+4. Signature trees: the nodes of a block's tree hold OR-combined shingle bitmaps and size ranges. A dual
+   traversal drops node pairs whose largest possible overlap is too small, and those already known to be
+   connected; the remaining pairs of sets are counted exactly. The links found give verified classes.
+5. In the larger clusters, only cells that hold sets of several classes are looked at again, first with their leaders,
+   and what is then still open as whole cells. Where more than ``BLOCK`` sets lie outside the main class of a cell, the cell is
+   split by the sets' second cells (linked sets share three parts; by MinHash all but 3e-9 of pairs at the limit share two
+   cells). What moves grows with the cells that sets share and not with the square of a cluster. Links between
+   members of one class cannot change the classes, so nothing is lost.
 
 Shingles and sets are compared by 64-bit hashes.
 """
@@ -29,7 +33,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import boxed, components, stage, unboxed
@@ -65,9 +69,12 @@ def _part_salt(band: int, parts: int) -> np.ndarray:
     return mix(np.arange(1, parts + 1, dtype=np.uint64) * _M1 + np.uint64(band))
 
 
-def signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """The cells of a set: one for each part, in its own band and in the next if a larger partner may be there."""
-    found = []
+def signatures(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of a set: one for each part, in its own band and in the next if a larger partner may be there.
+
+    The second array holds the cells of its empty parts that the first leaves out.
+    """
+    found, empty = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
     own, last = (int(np.searchsorted(BANDS, n)) for n in (len(s), len(s) * 100 // percent))
     for band in range(own, last + 1):
         k = parts_of(band, percent)
@@ -79,8 +86,10 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
         np.add.at(sums, part, s)
         filled = np.bincount(part, minlength=k) > 0
         cells = mix(sums + _part_salt(band, k))
-        found.append(cells if k - filled.sum() >= SPARE else cells[filled])
-    return np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
+        few = k - filled.sum() < SPARE
+        found.append(cells[filled] if few else cells)
+        empty.append(cells[~filled] if few else cells[:0])
+    return np.concatenate(found).view(np.int64), np.concatenate(empty).view(np.int64)
 
 
 @lru_cache(8)
@@ -94,8 +103,8 @@ def _bands(percent: int) -> tuple[np.ndarray, np.ndarray]:
     return (numbers[groups:] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), numbers[:groups]
 
 
-def minhash_signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """The cells of a set: one for each group of MinHash values, whatever its size."""
+def minhash_signatures(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of a set: one for each group of MinHash values, whatever its size; it has no empty parts."""
     factors, salt = _bands(percent)
     least = np.full(len(factors), 0xFFFFFFFF, np.uint32)
     short = (s >> np.uint64(32)).astype(np.uint32)[:, None]
@@ -105,7 +114,7 @@ def minhash_signatures(s: np.ndarray, percent: int) -> np.ndarray:
     cells = salt.copy()
     for row in rows.T:
         cells = mix(cells + row * _M1)
-    return cells.view(np.int64)
+    return cells.view(np.int64), np.empty(0, np.int64)
 
 
 class Tree:
@@ -201,20 +210,22 @@ COVERS = {"parts": signatures, "minhash": minhash_signatures}
 
 
 def document_sets(docs: DataFrame, width: int, percent: int, cover: str = "parts") -> DataFrame:
-    """(doc_id, n_shingles, set_key, cells) of every row; an empty set has neither key nor cells."""
+    """(doc_id, n_shingles, set_key, cells, empty) of every row; an empty set has neither key nor cells."""
     cells_of = COVERS[cover]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = list(shingle_sets(b["text"], width))
+            cells = [cells_of(s, percent) if len(s) else (None, None) for s in sets]
             yield pd.DataFrame({
                 "doc_id": b["doc_id"].astype("Int64"),
                 "n_shingles": [len(s) for s in sets],
                 "set_key": pd.array([set_key(s) for s in sets], "Int64"),
-                "cells": [cells_of(s, percent) if len(s) else None for s in sets],
+                "cells": [c for c, _ in cells],
+                "empty": [e for _, e in cells],
             })
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, set_key long, cells array<long>")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, set_key long, cells array<long>, empty array<long>")
 
 
 def _arrays(texts: DataFrame, width: int) -> DataFrame:
@@ -231,11 +242,15 @@ def _arrays(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInPandas(run, f"{schema}, shingles binary")
 
 
-def _block_links(percent: int):
+def _tree_links(percent: int):
+    """Links that join classes among the sets of one block, by its signature tree."""
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("set_key").sort_values("set_key")
         sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
-        keys, known = group["set_key"].to_numpy(), Classes(len(sets))
+        keys, known, first = group["set_key"].to_numpy(), Classes(len(sets)), {}
+        for i, c in enumerate(group["class"]):
+            known.join(first.setdefault(c, i), i)
         tree, at = Tree(sets, bitmap_bits(sets)), list(range(len(sets)))
         links = traverse(tree, tree, at, at, known, percent)
         return pd.DataFrame({"a": [keys[i] for i, _ in links], "b": [keys[j] for _, j in links]}, dtype="int64")
@@ -243,21 +258,17 @@ def _block_links(percent: int):
     return run
 
 
-def _cross_links(percent: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["side", "set_key"])
-        sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
-        keys, known, first = group["set_key"].to_numpy(), Classes(len(sets)), {}
-        for i, c in enumerate(group["class"]):
-            known.join(first.setdefault(c, i), i)
-        ia, ib = (list(np.flatnonzero(group["side"] == x)) for x in (0, 1))
-        links = []
-        if ia and ib:
-            bits = bitmap_bits(sets)
-            links = traverse(Tree([sets[i] for i in ia], bits), Tree([sets[i] for i in ib], bits), ia, ib, known, percent)
-        return pd.DataFrame({"a": [keys[i] for i, _ in links], "b": [keys[j] for _, j in links]}, dtype="int64")
+def _linked(dealt: DataFrame, percent: int) -> DataFrame:
+    """dealt: (unit, block, set_key, class, shingles): the links found in each block."""
+    return stage(dealt.groupBy("unit", "block").applyInPandas(_tree_links(percent), "a long, b long"))
 
-    return run
+
+def _blocks(n: Column) -> Column:
+    return F.ceil(n / BLOCK).cast("int")
+
+
+def _block_of(blocks: str | Column) -> Column:
+    return F.pmod(F.xxhash64("set_key"), F.col(blocks) if isinstance(blocks, str) else blocks).cast("int")
 
 
 def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, cover: str = "parts") -> DataFrame:
@@ -269,42 +280,97 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, cover: s
     and are their own class. Repeated rows and equal texts share a class; rows without doc_id take part but name
     a class only (as null) if none of its rows has one. An empty table gives an empty one.
     """
-    sets = stage(document_sets(docs, width, percent, cover))
-    cells = sets.select("set_key", F.explode("cells").alias("cell"))
-    sets = sets.drop("cells")
+    celled = stage(document_sets(docs, width, percent, cover))
+    cells = celled.select("set_key", F.explode("cells").alias("cell"))
+    sets = celled.select("doc_id", "n_shingles", "set_key")
     leaders = cells.groupBy("cell").agg(F.min("set_key").alias("leader"), F.max("set_key").alias("last")).where("leader <> last").select("cell", "leader")
-    star = cells.join(leaders, "cell").where("set_key <> leader").select(F.col("leader").alias("a"), F.col("set_key").alias("b"))
-    clusters = components(star)
-    blocks = clusters.groupBy("root").agg(F.count("*").alias("members")).select(F.col("root").alias("cluster"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    named = clusters.select(F.col("node").alias("set_key"), F.col("root").alias("cluster")).join(blocks, "cluster")
+    star = stage(cells.join(leaders, "cell").where("set_key <> leader").select(F.col("leader").alias("a"), F.col("set_key").alias("b")).distinct())
     firsts = sets.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
-    wanted = named.join(firsts, "set_key")
+    wanted = _seats(components(star), star).join(firsts, "set_key")
     # a set whose rows all lack a doc_id is found by a join that takes nulls as equal
-    texts = docs.select(F.col("doc_id").alias("own_id"), "text").join(wanted, F.col("own_id").eqNullSafe(F.col("doc_id"))).select("text", "set_key", "cluster", "blocks")
-    rows = stage(_arrays(texts, width).withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int")))
-    leader = (F.col("set_key") == F.col("cluster")) & (F.col("blocks") > 1)
-    dealt = rows.withColumn("block", F.explode(F.when(leader, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))))
-    local = stage(dealt.select("cluster", "block", "set_key", "shingles").groupBy("cluster", "block").applyInPandas(_block_links(percent), "a long, b long"))
-    large = rows.where("blocks > 1")
-    links = local
+    texts = docs.select(F.col("doc_id").alias("own_id"), "text").join(wanted, F.col("own_id").eqNullSafe(F.col("doc_id"))).drop("own_id", "doc_id")
+    rows = stage(_arrays(texts, width))
+    led = F.when(F.col("led") > 0, F.transform(F.sequence(F.lit(0), F.col("led") - 1), lambda b: F.struct(F.col("set_key").alias("unit"), b.alias("block")))).otherwise(F.array().cast("array<struct<unit:bigint,block:int>>"))
+    seats = F.explode(F.concat(F.array(F.struct("unit", "block")), led))
+    dealt = rows.select("set_key", F.col("set_key").alias("class"), "shingles", seats.alias("seat")).select("seat.*", "set_key", "class", "shingles")
+    links = _linked(dealt, percent)
+    large = rows.where("large").select("set_key", "shingles").dropDuplicates(["set_key"])
     if not large.isEmpty():
-        links = local.unionByName(stage(_across(large, components(local), percent)))
+        for found in _reopened(celled, large, links, percent):
+            links = links.unionByName(found)
     return _label(sets, components(links))
 
 
-def _across(large: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Links between blocks of one cluster that the trees of single blocks cannot see."""
-    large = large.dropDuplicates(["set_key"]).join(classes.select(F.col("node").alias("set_key"), F.col("root").alias("class")), "set_key", "left").withColumn("class", F.coalesce("class", "set_key"))
-    sizes = large.groupBy("cluster", "class").count()
-    most = sizes.groupBy("cluster").agg(F.max_by("class", F.struct("count", "class")).alias("main"))
-    large = stage(large.join(most, "cluster"))
-    minor = large.where("class <> main")
-    targets = minor.select("cluster", F.col("block").alias("minor_block")).distinct()
-    columns = ["cluster", "of_block", "minor_block", "side", "set_key", "class", "shingles"]
-    stay = large.join(targets, "cluster").select("cluster", F.col("block").alias("of_block"), "minor_block", F.lit(0).alias("side"), "set_key", "class", "shingles")
-    move = minor.withColumn("of_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("cluster", "of_block", F.col("block").alias("minor_block"), F.lit(1).alias("side"), "set_key", "class", "shingles")
-    pairs = stay.unionByName(move).where("of_block <> minor_block").select(columns)
-    return pairs.groupBy("cluster", "of_block", "minor_block").applyInPandas(_cross_links(percent), "a long, b long")
+def _seats(clusters: DataFrame, star: DataFrame) -> DataFrame:
+    """(set_key, unit, block, led, large) of every set in a cluster: its block, and how many blocks it leads besides."""
+    sizes = clusters.groupBy("root").agg((F.count("*") > BLOCK).alias("large"))
+    named = clusters.join(sizes, "root").select(F.col("node").alias("set_key"), "root", "large")
+    homes = star.groupBy(F.col("b").alias("set_key")).agg(F.min("a").alias("home"))
+    named = named.join(homes, "set_key", "left").select("set_key", "large", F.when(F.col("large"), F.coalesce("home", "set_key")).otherwise(F.col("root")).alias("unit"))
+    units = stage(named.groupBy("unit").agg(_blocks(F.count("*")).alias("blocks")))
+    led = units.select(F.col("unit").alias("set_key"), F.col("blocks").alias("led"))
+    seated = named.join(units, "unit").join(led, "set_key", "left")
+    return seated.select("set_key", "unit", _block_of("blocks").alias("block"), F.when(F.col("large"), F.coalesce("led", F.lit(0))).otherwise(0).alias("led"), "large")
+
+
+def _with_classes(held: DataFrame, links: DataFrame) -> DataFrame:
+    """held with the class of each set_key under the links."""
+    classes = components(links).select(F.col("node").alias("set_key"), "root")
+    return held.join(classes, "set_key", "left").withColumn("class", F.coalesce("root", "set_key")).drop("root")
+
+
+def _open(members: DataFrame, unit: str) -> DataFrame:
+    """Units that hold sets of several classes: (unit, leader, leader's class)."""
+    ends = members.groupBy(unit).agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.min(F.struct("set_key", "class")).alias("first"))
+    return ends.where("lo <> hi").select(unit, F.col("first.set_key").alias("leader"), F.col("first.class").alias("leader_class"))
+
+
+def leader_seats(held: DataFrame) -> DataFrame:
+    """held: (set_key, class, cell). (unit, block, set_key): every set beside the leaders, of other classes, of its cells."""
+    pairs = held.join(_open(held, "cell"), "cell").where("class <> leader_class").select(F.col("leader").alias("unit"), "set_key").distinct()
+    pairs = stage(pairs)
+    blocks = pairs.groupBy("unit").agg(_blocks(F.count("*")).alias("blocks"))
+    heads = blocks.select("unit", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("unit").alias("set_key"))
+    return pairs.join(blocks, "unit").select("unit", _block_of("blocks").alias("block"), "set_key").unionByName(heads)
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """members: (unit, set_key, class). With the class that holds most sets of each unit, the sets in it and those outside."""
+    counts = members.groupBy("unit", "class").count()
+    sizes = counts.groupBy("unit").agg(F.max_by("class", F.struct("count", "class")).alias("main"), F.max("count").alias("inside"), F.sum("count").alias("total"))
+    return members.join(sizes.withColumn("outside", F.col("total") - F.col("inside")).where("outside > 0"), "unit")
+
+
+def cell_seats(held: DataFrame, parts: DataFrame) -> DataFrame:
+    """held: (set_key, class, cell); parts: (set_key, part), all cells of a set. (unit, block, set_key) so that any two sets
+    of different classes that share a cell, and where it is split a part too, meet in a block."""
+    members = held.join(_open(held, "cell").select("cell"), "cell")
+    same = members.groupBy("cell").agg(F.sum(F.xxhash64("set_key").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64("set_key", F.lit(1))).alias("xor"), F.count("*").alias("n"))
+    once = same.groupBy("sum", "xor", "n").agg(F.min("cell").alias("cell")).select("cell")
+    first = stage(_dealt(members.join(once, "cell").withColumnRenamed("cell", "unit")))
+    split = first.where(F.col("outside") > BLOCK).select("unit", "set_key", "class").join(parts, "set_key").where("part <> unit")
+    again = _dealt(split.select(F.xxhash64("unit", "part").alias("unit"), "set_key", "class"))
+    both = first.where(F.col("outside") <= BLOCK).unionByName(again.select(first.columns))
+    outer, inner = _blocks(F.col("outside")), _blocks(F.col("inside"))
+    is_main = F.col("class") == F.col("main")
+    own = F.when(is_main, outer + _block_of(inner)).otherwise(_block_of(outer))
+    others = F.sequence(F.lit(0), F.when(is_main, outer - 1).otherwise(outer + inner - 1))
+    met = F.when(F.col("total") <= BLOCK, F.array(F.lit("0"))).otherwise(F.transform(others, lambda o: F.concat_ws(":", F.least(o, own), F.greatest(o, own))))
+    return both.select("unit", F.explode(met).alias("block"), "set_key")
+
+
+def _reopened(celled: DataFrame, large: DataFrame, links: DataFrame, percent: int) -> Iterator[DataFrame]:
+    """Links in the cells of larger clusters whose sets the links so far leave in several classes."""
+    one = celled.join(large.select("set_key"), "set_key", "left_semi").dropDuplicates(["set_key"]).select("set_key", "cells", "empty")
+    one = stage(one)
+    parts = one.select("set_key", F.explode(F.concat("cells", "empty")).alias("part"))
+    for seats_of in (leader_seats, lambda held: cell_seats(held, parts)):
+        held = stage(_with_classes(one.select("set_key", F.array_distinct("cells").alias("cells")), links))
+        seats = seats_of(held.select("set_key", "class", F.explode("cells").alias("cell")))
+        sets = large.join(held.select("set_key", "class"), "set_key")
+        found = _linked(seats.join(sets, "set_key").select("unit", "block", "set_key", "class", "shingles"), percent)
+        yield found
+        links = links.unionByName(found)
 
 
 def _label(sets: DataFrame, classes: DataFrame) -> DataFrame:

@@ -60,9 +60,9 @@ def test_minhash_cells_agree_as_often_as_sets_overlap(percent):
     for _ in range(40):
         pool = rng.integers(0, 1 << 63, 900).astype(np.uint64) * np.uint64(2)
         a, b = np.sort(pool[:850]), np.sort(pool[50:])
-        x, y = (signature_tree_join.minhash_signatures(s, percent) for s in (a, b))
+        x, y = (signature_tree_join.minhash_signatures(s, percent)[0] for s in (a, b))
         same, total = same + int((x == y).sum()), total + len(x)
-        assert np.array_equal(x, signature_tree_join.minhash_signatures(a.copy(), percent))
+        assert np.array_equal(x, signature_tree_join.minhash_signatures(a.copy(), percent)[0])
     assert abs(same / total - (800 / 900) ** signature_tree_join.MIN_ROWS) < 0.05
 
 
@@ -75,6 +75,34 @@ def test_jaccard_join_of_large_clusters(spark, monkeypatch):
     assert [r["component_id"] for r in out] == jaccard_classes(texts, 3, 90)[1]
 
 
+@pytest.mark.parametrize(("percent", "cover", "notice"), [(90, "parts", 12), (80, "parts", 30), (80, "minhash", 60)])
+def test_jaccard_join_of_texts_with_one_notice(spark, monkeypatch, percent, cover, notice):
+    """Texts that share a notice, in groups near the limit: cells of many sets in many classes."""
+    monkeypatch.setattr(signature_tree_join, "BLOCK", 4)
+    rng = np.random.default_rng(notice)
+    shared, texts = [f"s{i}" for i in range(notice)], []
+    for group in range(25):
+        own = [f"g{group}_{i}" for i in range(int(rng.integers(6, 40)))]
+        for _ in range(6):
+            copy = list(own)
+            for at in rng.integers(0, len(own), rng.integers(0, 3)):
+                copy[at] = f"n{rng.integers(0, 999)}"
+            texts.append(" ".join(shared + copy))
+    out = signature_tree_join.jaccard_classes(docs_of(spark, texts), 3, percent, cover).orderBy("doc_id").collect()
+    assert [r["component_id"] for r in out] == jaccard_classes(texts, 3, percent)[1]
+
+
+def test_sets_of_one_cluster_move_in_proportion(spark):
+    """20,000 sets in one cluster, a chain in which all share a cell and no two are linked: a few seats for each."""
+    seats = []
+    for n in (5_000, 20_000):
+        held = spark.range(n).selectExpr("id as set_key", "id as class", "explode(array(-1L, id * 10, (id + 1) * 10)) as cell")
+        parts = held.selectExpr("set_key", "cell as part")
+        seats.append([signature_tree_join.leader_seats(held).count(), signature_tree_join.cell_seats(held, parts).count()])
+    for few, many in zip(*seats, strict=True):
+        assert many < 4.1 * few and many < 5 * 20_000
+
+
 def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
     texts = ["a bb  ccc\n" * 50, None, "", "éé ü", "x" * 500 + " y"]
     whole = [h.tolist() for h in words.word_hashes(texts)]
