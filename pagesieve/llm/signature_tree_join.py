@@ -284,7 +284,8 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, cover: s
     cells = celled.select("set_key", F.explode("cells").alias("cell"))
     sets = celled.select("doc_id", "n_shingles", "set_key")
     leaders = cells.groupBy("cell").agg(F.min("set_key").alias("leader"), F.max("set_key").alias("last")).where("leader <> last").select("cell", "leader")
-    star = stage(cells.join(leaders, "cell").where("set_key <> leader").select(F.col("leader").alias("a"), F.col("set_key").alias("b")).distinct())
+    shared = stage(cells.join(leaders, "cell").select("cell", "set_key", "leader").distinct())
+    star = shared.where("set_key <> leader").select(F.col("leader").alias("a"), F.col("set_key").alias("b"))
     firsts = sets.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
     wanted = _seats(components(star), star).join(firsts, "set_key")
     # a set whose rows all lack a doc_id is found by a join that takes nulls as equal
@@ -296,7 +297,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, cover: s
     links = _linked(dealt, percent)
     large = rows.where("large").select("set_key", "shingles").dropDuplicates(["set_key"])
     if not large.isEmpty():
-        for found in _reopened(celled, large, links, percent):
+        for found in _reopened(celled, shared, large, links, percent):
             links = links.unionByName(found)
     return _label(sets, components(links))
 
@@ -342,15 +343,17 @@ def _dealt(members: DataFrame) -> DataFrame:
 
 
 def cell_seats(held: DataFrame, parts: DataFrame) -> DataFrame:
-    """held: (set_key, class, cell); parts: (set_key, part), all cells of a set. (unit, block, set_key) so that any two sets
+    """held: (set_key, class, cell); parts: (set_key, parts), all cells of a set. (unit, block, set_key) so that any two sets
     of different classes that share a cell, and where it is split a part too, meet in a block."""
     members = held.join(_open(held, "cell").select("cell"), "cell")
     same = members.groupBy("cell").agg(F.sum(F.xxhash64("set_key").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64("set_key", F.lit(1))).alias("xor"), F.count("*").alias("n"))
     once = same.groupBy("sum", "xor", "n").agg(F.min("cell").alias("cell")).select("cell")
     first = stage(_dealt(members.join(once, "cell").withColumnRenamed("cell", "unit")))
-    split = first.where(F.col("outside") > BLOCK).select("unit", "set_key", "class").join(parts, "set_key").where("part <> unit")
-    again = _dealt(split.select(F.xxhash64("unit", "part").alias("unit"), "set_key", "class"))
-    both = first.where(F.col("outside") <= BLOCK).unionByName(again.select(first.columns))
+    both, hot = first.where(F.col("outside") <= BLOCK), first.where(F.col("outside") > BLOCK).select("unit", "set_key", "class")
+    if not hot.isEmpty():
+        wide = parts.join(hot.select("set_key").distinct(), "set_key", "left_semi").dropDuplicates(["set_key"])
+        split = hot.join(wide, "set_key").select("unit", "set_key", "class", F.explode("parts").alias("part")).where("part <> unit")
+        both = both.unionByName(_dealt(split.select(F.xxhash64("unit", "part").alias("unit"), "set_key", "class")).select(both.columns))
     outer, inner = _blocks(F.col("outside")), _blocks(F.col("inside"))
     is_main = F.col("class") == F.col("main")
     own = F.when(is_main, outer + _block_of(inner)).otherwise(_block_of(outer))
@@ -359,16 +362,13 @@ def cell_seats(held: DataFrame, parts: DataFrame) -> DataFrame:
     return both.select("unit", F.explode(met).alias("block"), "set_key")
 
 
-def _reopened(celled: DataFrame, large: DataFrame, links: DataFrame, percent: int) -> Iterator[DataFrame]:
+def _reopened(celled: DataFrame, shared: DataFrame, large: DataFrame, links: DataFrame, percent: int) -> Iterator[DataFrame]:
     """Links in the cells of larger clusters whose sets the links so far leave in several classes."""
-    one = celled.join(large.select("set_key"), "set_key", "left_semi").dropDuplicates(["set_key"]).select("set_key", "cells", "empty")
-    one = stage(one)
-    parts = one.select("set_key", F.explode(F.concat("cells", "empty")).alias("part"))
+    parts = celled.select("set_key", F.array_distinct(F.concat("cells", "empty")).alias("parts"))
     for seats_of in (leader_seats, lambda held: cell_seats(held, parts)):
-        held = stage(_with_classes(one.select("set_key", F.array_distinct("cells").alias("cells")), links))
-        seats = seats_of(held.select("set_key", "class", F.explode("cells").alias("cell")))
-        sets = large.join(held.select("set_key", "class"), "set_key")
-        found = _linked(seats.join(sets, "set_key").select("unit", "block", "set_key", "class", "shingles"), percent)
+        classes = stage(_with_classes(large.select("set_key"), links))
+        seats = seats_of(shared.select("cell", "set_key").join(classes, "set_key"))
+        found = _linked(seats.join(large.join(classes, "set_key"), "set_key").select("unit", "block", "set_key", "class", "shingles"), percent)
         yield found
         links = links.unionByName(found)
 
