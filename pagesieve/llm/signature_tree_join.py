@@ -17,9 +17,9 @@ A document's set holds its distinct word shingles. Two documents link when
    traversal drops node pairs whose largest possible overlap is too small, and those already known to be
    connected; the remaining pairs of sets are counted exactly. The links found give verified classes.
 5. In the larger clusters, only cells that hold sets of several classes are looked at again, first with their leaders,
-   and what is then still open as whole cells. Where more than ``BLOCK`` sets lie outside the main class of a cell, the cell is
-   split by the sets' second cells (linked sets share three parts; by MinHash all but 3e-9 of pairs at the limit share two
-   cells). What moves grows with the cells that sets share and not with the square of a cluster. Links between
+   and what is then still open as whole cells. A cell with more than ``BLOCK`` sets outside its main class is crowded. Linked
+   sets share three parts (by MinHash all but 3e-9 of pairs at the limit share two cells): they meet in a cell that isn't
+   crowded, or share two crowded ones or one and an empty part, so crowded cells are split by pairs of these. What moves grows with the cells that sets share and not with the square of a cluster. Links between
    members of one class cannot change the classes, so nothing is lost.
 
 Shingles and sets are compared by 64-bit hashes.
@@ -72,7 +72,7 @@ def _part_salt(band: int, parts: int) -> np.ndarray:
 def signatures(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The cells of a set: one for each part, in its own band and in the next if a larger partner may be there.
 
-    The second array holds the cells of its empty parts that the first leaves out.
+    The second array holds the cells of its empty parts, whether the first has them or leaves them out.
     """
     found, empty = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
     own, last = (int(np.searchsorted(BANDS, n)) for n in (len(s), len(s) * 100 // percent))
@@ -86,9 +86,8 @@ def signatures(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
         np.add.at(sums, part, s)
         filled = np.bincount(part, minlength=k) > 0
         cells = mix(sums + _part_salt(band, k))
-        few = k - filled.sum() < SPARE
-        found.append(cells[filled] if few else cells)
-        empty.append(cells[~filled] if few else cells[:0])
+        found.append(cells[filled] if k - filled.sum() < SPARE else cells)
+        empty.append(cells[~filled])
     return np.concatenate(found).view(np.int64), np.concatenate(empty).view(np.int64)
 
 
@@ -342,18 +341,37 @@ def _dealt(members: DataFrame) -> DataFrame:
     return members.join(sizes.withColumn("outside", F.col("total") - F.col("inside")).where("outside > 0"), "unit")
 
 
+def _alike(members: DataFrame) -> DataFrame:
+    """(cell, unit) for the cells of members (cell, set_key, class) with several classes; cells of the same sets are one unit."""
+    same = members.groupBy("cell").agg(
+        F.sum(F.xxhash64("set_key").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64("set_key", F.lit(1))).alias("xor"), F.count("*").alias("n"),
+        F.min("class").alias("lo"), F.max("class").alias("hi"),
+    )
+    same = stage(same.where("lo <> hi"))
+    return same.join(same.groupBy("sum", "xor", "n").agg(F.min("cell").alias("unit")), ["sum", "xor", "n"]).select("cell", "unit")
+
+
+def _in_units(members: DataFrame, alike: DataFrame) -> DataFrame:
+    once = alike.where("cell = unit").select("cell")
+    return _dealt(members.join(once, "cell").select(F.col("cell").alias("unit"), "set_key", "class"))
+
+
 def cell_seats(held: DataFrame, parts: DataFrame) -> DataFrame:
-    """held: (set_key, class, cell); parts: (set_key, parts), all cells of a set. (unit, block, set_key) so that any two sets
-    of different classes that share a cell, and where it is split a part too, meet in a block."""
-    members = held.join(_open(held, "cell").select("cell"), "cell")
-    same = members.groupBy("cell").agg(F.sum(F.xxhash64("set_key").cast("decimal(20,0)")).alias("sum"), F.bit_xor(F.xxhash64("set_key", F.lit(1))).alias("xor"), F.count("*").alias("n"))
-    once = same.groupBy("sum", "xor", "n").agg(F.min("cell").alias("cell")).select("cell")
-    first = stage(_dealt(members.join(once, "cell").withColumnRenamed("cell", "unit")))
-    both, hot = first.where(F.col("outside") <= BLOCK), first.where(F.col("outside") > BLOCK).select("unit", "set_key", "class")
+    """held: (set_key, class, cell); parts: (set_key, parts), what a set may share besides its cells. (unit, block, set_key) so
+    that any two sets of different classes meet in a block if they share a cell that isn't split, or one that is and a
+    second that is too, or one that is and a part. Sets that share any cell that isn't split need no seat for the others."""
+    alike = stage(_alike(held))
+    first = stage(_in_units(held, alike))
+    both, hot = first.where(F.col("outside") <= BLOCK), first.where(F.col("outside") > BLOCK)
     if not hot.isEmpty():
-        wide = parts.join(hot.select("set_key").distinct(), "set_key", "left_semi").dropDuplicates(["set_key"])
-        split = hot.join(wide, "set_key").select("unit", "set_key", "class", F.explode("parts").alias("part")).where("part <> unit")
-        both = both.unionByName(_dealt(split.select(F.xxhash64("unit", "part").alias("unit"), "set_key", "class")).select(both.columns))
+        crowded = alike.join(hot.select("unit").distinct(), "unit").select("cell")
+        own = held.join(crowded, "cell").groupBy("set_key", "class").agg(F.sort_array(F.collect_set("cell")).alias("own"))
+        own = own.join(parts.dropDuplicates(["set_key"]), "set_key", "left")
+        apart = F.array_except(F.coalesce("parts", F.array().cast("array<bigint>")), "own")
+        other = lambda i: F.array_union(F.slice("own", i + 2, F.size("own")), apart)
+        pairs = F.flatten(F.transform("own", lambda p, i: F.transform(other(i), lambda q: F.xxhash64(F.least(p, q), F.greatest(p, q)))))
+        split = stage(own.select("set_key", "class", F.explode(pairs).alias("cell")))
+        both = both.unionByName(_in_units(split, _alike(split)))
     outer, inner = _blocks(F.col("outside")), _blocks(F.col("inside"))
     is_main = F.col("class") == F.col("main")
     own = F.when(is_main, outer + _block_of(inner)).otherwise(_block_of(outer))
@@ -364,7 +382,7 @@ def cell_seats(held: DataFrame, parts: DataFrame) -> DataFrame:
 
 def _reopened(celled: DataFrame, shared: DataFrame, large: DataFrame, links: DataFrame, percent: int) -> Iterator[DataFrame]:
     """Links in the cells of larger clusters whose sets the links so far leave in several classes."""
-    parts = celled.select("set_key", F.array_distinct(F.concat("cells", "empty")).alias("parts"))
+    parts = celled.select("set_key", F.col("empty").alias("parts")).where(F.size("parts") > 0)
     for seats_of in (leader_seats, lambda held: cell_seats(held, parts)):
         classes = stage(_with_classes(large.select("set_key"), links))
         seats = seats_of(shared.select("cell", "set_key").join(classes, "set_key"))
