@@ -385,7 +385,7 @@ def _reopened(celled: DataFrame, shared: DataFrame, large: DataFrame, links: Dat
     parts = celled.select("set_key", F.col("empty").alias("parts")).where(F.size("parts") > 0)
     for seats_of in (leader_seats, lambda held: cell_seats(held, parts)):
         classes = stage(_with_classes(large.select("set_key"), links))
-        seats = seats_of(shared.select("cell", "set_key").join(classes, "set_key"))
+        seats = seats_of(stage(shared.select("cell", "set_key").join(classes, "set_key")))
         found = _linked(seats.join(large.join(classes, "set_key"), "set_key").select("unit", "block", "set_key", "class", "shingles"), percent)
         yield found
         links = links.unionByName(found)
