@@ -103,6 +103,24 @@ def test_sets_of_one_cluster_move_in_proportion(spark):
         assert many < 4.1 * few and many < 5 * 20_000
 
 
+def test_sets_that_share_crowded_cells_meet(spark, monkeypatch):
+    """Any two sets of different classes that share three parts, empty ones counted, meet in a block."""
+    monkeypatch.setattr(signature_tree_join, "BLOCK", 4)
+    rng = np.random.default_rng(11)
+    cells = {k: sorted({int(c) for c in rng.integers(1, 9, 5)}) for k in range(40)}
+    empty = {k: sorted({int(c) for c in rng.integers(20, 22, 2)}) for k in range(40)}
+    held = spark.createDataFrame([(k, k % 25, c) for k, own in cells.items() for c in own], "set_key long, class long, cell long")
+    parts = spark.createDataFrame(list(empty.items()), "set_key long, parts array<long>")
+    blocks = {}
+    for r in signature_tree_join.cell_seats(held, parts).collect():
+        blocks.setdefault((r["unit"], r["block"]), set()).add(r["set_key"])
+    met = {pair for b in blocks.values() for pair in combinations(sorted(b), 2)}
+    for x, y in combinations(range(40), 2):
+        both = set(cells[x]) & set(cells[y])
+        if x % 25 != y % 25 and both and len(both) + len(set(empty[x]) & set(empty[y])) >= 3:
+            assert (x, y) in met
+
+
 def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
     texts = ["a bb  ccc\n" * 50, None, "", "éé ü", "x" * 500 + " y"]
     whole = [h.tolist() for h in words.word_hashes(texts)]
