@@ -26,6 +26,8 @@ LENGTH = 2048
 GRAIN = 16
 #: Relative raise of the demands in the linear program; it moves no rounded count.
 SLACK = 1e-9
+#: The simplex may take this many rounds for each length; it is known to need about eight.
+MOST_ROUNDS = 400
 
 
 def token_pieces(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, width: int = 0) -> DataFrame:
@@ -70,12 +72,31 @@ def best_pattern(price: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     return float(value[room]), pattern
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """The inverse by elimination with the largest pivots.
+
+    Not by LAPACK: the driver shares its cores with Spark's threads, where the spinning threads of a BLAS pool can stall for minutes.
+    """
+    n = len(matrix)
+    work = np.concatenate([matrix.astype(float), np.eye(n)], axis=1)
+    for i in range(n):
+        best = i + int(np.argmax(np.abs(work[i:, i])))
+        if work[best, i] == 0:
+            raise ArithmeticError("the basis of the patterns is singular")
+        work[[i, best]] = work[[best, i]]
+        work[i] /= work[i, i]
+        factor = work[:, i].copy()
+        factor[i] = 0
+        work -= factor[:, None] * work[i]
+    return work[:, n:]
+
+
 def column_generation(demand: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
     """Basic patterns (columns) and how often each is used, in the linear program that covers the demand.
 
     A simplex with the basis inverse: each round prices all patterns by one knapsack. It ends when no
     pattern's price exceeds the one sequence that it costs. The demand is raised by multiples of SLACK that differ by length, which
-    breaks the ties in which a simplex may go round in circles; if it does not end all the same, it raises ArithmeticError.
+    breaks the ties in which a simplex may go round in circles; after MOST_ROUNDS rounds a length it raises ArithmeticError.
     """
     wanted = np.flatnonzero(demand)
     n = len(wanted)
@@ -94,18 +115,18 @@ def column_generation(demand: np.ndarray, room: int) -> tuple[np.ndarray, np.nda
         change = (inverse * column).sum(1)  # not by BLAS, whose threads are of no use at this size
         limits = np.where(change > 1e-9, used / np.where(change > 1e-9, change, 1), np.inf)
         out = int(np.argmin(limits))
-        if not np.isfinite(limits[out]) or turn > 1_000_000:
-            raise ArithmeticError("the linear program of the patterns does not end")
+        if not np.isfinite(limits[out]) or turn > MOST_ROUNDS * n:
+            raise ArithmeticError(f"the linear program of the patterns does not end: {n} lengths, {turn} rounds, a pattern is worth {value:.9f} sequences")
         step = limits[out]
         used = used - step * change
         used[out] = step
         basis[:, out] = column
         row = inverse[out] / change[out]
-        inverse = inverse - np.outer(change, row)
+        inverse = inverse - change[:, None] * row
         inverse[out] = row
         turn += 1
         if turn % 256 == 0:  # rounding errors add up
-            inverse = np.linalg.inv(basis)
+            inverse = inverted(basis)
             used = np.maximum((inverse * raised).sum(1), 0)
     patterns = np.zeros((n, room), np.int64)
     patterns[:, wanted] = np.rint(basis.T).astype(np.int64)

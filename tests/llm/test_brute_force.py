@@ -2,9 +2,11 @@
 
 import hashlib
 import re
+import threading
 import zlib
 from functools import lru_cache
 from itertools import combinations
+from unittest import mock
 
 import numpy as np
 import pytest
@@ -231,6 +233,22 @@ def test_column_generation(demand):
     assert sum(n for _, n in rounded) <= np.ceil(used.sum() - 1e-6) + 1
 
 
+def test_column_generation_beside_spark(spark):
+    """More than 256 rounds in the driver of a session that is at work, so that the basis is inverted afresh."""
+    matrix = np.random.default_rng(5).random((90, 90))
+    assert np.allclose(cutting_stock.inverted(matrix) @ matrix, np.eye(90), atol=1e-9)
+    with pytest.raises(ArithmeticError):
+        cutting_stock.inverted(np.ones((3, 3)))
+    rounds, plain = [], cutting_stock.best_pattern
+    demand = (np.random.default_rng(1).pareto(1.1, 128) * 50).astype(np.int64) + 1
+    busy = threading.Thread(target=lambda: spark.range(40_000_000).selectExpr("sum(hash(id))").collect())
+    busy.start()
+    with mock.patch.object(cutting_stock, "best_pattern", lambda *a: rounds.append(1) or plain(*a)):
+        patterns, used = cutting_stock.column_generation(demand, 128)
+    busy.join()
+    assert len(rounds) > 256 and np.allclose(patterns.T @ used, demand, rtol=1e-6)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.floats(0, 1), min_size=6, max_size=6))
 def test_knapsack(price):
