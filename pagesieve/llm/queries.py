@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit_pack, cutting_stock, disclosure, domain_mix, jpeg_media, license_rules, line_rules, quality_ftrl, secret_models, signature_tree_join
+from . import best_fit_pack, cutting_stock, disclosure, domain_mix, jpeg_media, license_rules, line_rules, mask_search, merkle_manifest, projection_passes, quality_ftrl, secret_models, signature_tree_join
 from .common import table
 
 
@@ -50,8 +50,20 @@ def op10_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disclosure.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_passes.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_mask_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mask_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_line_rules, op2_domain_mix, op3_jpeg_media, op4_cutting_stock, op5_signature_tree_join, op6_secret_models, op7_quality_ftrl, op8_license_rules, op9_best_fit_pack, op10_disclosure)
+    own = (op1_line_rules, op2_domain_mix, op3_jpeg_media, op4_cutting_stock, op5_signature_tree_join, op6_secret_models, op7_quality_ftrl, op8_license_rules, op9_best_fit_pack, op10_disclosure, op11_merkle_manifest, op12_projection_passes, op13_mask_search)
     return {f.__name__: f for f in own}
 
 
@@ -104,5 +116,66 @@ FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS c
 """
 
 
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen(cast({c} AS varchar)) || ':' || cast({c} AS varchar), '-')" for c in merkle_manifest.FIELDS) + ")"
+_LOWERED = _LEAF.replace("cast(text AS varchar)", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+#: The checksum of doc_id, byte by byte and bit by bit, and its last inversion.
+_CRC = "xor(4294967295, list_reduce([ord(x) FOR x IN string_split(cast(doc_id AS varchar), '')], lambda c, x: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda a, i: xor(a >> 1, (a & 1) * 3988292384), xor(c, x)), 4294967295::BIGINT))"
+MERKLE_SQL = f"""
+WITH RECURSIVE leafs AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, {_LEAF} AS leaf, CASE WHEN {_CRC} % 3 = 0 AND text IS NOT NULL THEN {_LOWERED} END AS tampered FROM documents
+), pos AS (
+  SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM leafs
+), up AS (
+  SELECT tree, 0 AS level, idx, leaf AS hash, n FROM pos
+  UNION ALL SELECT tree, level + 1, idx // 8, sha256(string_agg(hash, '' ORDER BY idx)), max((n + 7) // 8) FROM up WHERE n > 1 GROUP BY tree, level, idx // 8
+), sub AS (SELECT tree, hash AS subroot FROM up WHERE n = 1),
+top AS (
+  SELECT 0 AS level, tree AS idx, subroot AS hash, count(*) OVER () AS n FROM sub
+  UNION ALL SELECT level + 1, idx // 8, sha256(string_agg(hash, '' ORDER BY idx)), max((n + 7) // 8) FROM top WHERE n > 1 GROUP BY level, idx // 8
+), runs AS (
+  SELECT tree, level, idx // 8 AS run, list(hash ORDER BY idx) AS h FROM up WHERE n > 1 GROUP BY ALL
+), top_runs AS (SELECT level, idx // 8 AS run, list(hash ORDER BY idx) AS h FROM top WHERE n > 1 GROUP BY ALL),
+climb AS (
+  SELECT r, tree, 0 AS level, idx, coalesce(tampered, leaf) AS cur, '' AS proof FROM pos
+  UNION ALL SELECT r, c.tree, c.level + 1, idx // 8, sha256(array_to_string(h[1:idx % 8], '') || cur || array_to_string(h[idx % 8 + 2:], '')), proof || array_to_string(h[1:idx % 8], '') || array_to_string(h[idx % 8 + 2:], '')
+  FROM climb c JOIN runs s ON s.tree = c.tree AND s.level = c.level AND s.run = idx // 8
+), crown AS (
+  SELECT r, 0 AS level, tree AS idx, cur, proof FROM climb QUALIFY row_number() OVER (PARTITION BY r ORDER BY level DESC) = 1
+  UNION ALL SELECT r, c.level + 1, idx // 8, sha256(array_to_string(h[1:idx % 8], '') || cur || array_to_string(h[idx % 8 + 2:], '')), proof || array_to_string(h[1:idx % 8], '') || array_to_string(h[idx % 8 + 2:], '')
+  FROM crown c JOIN top_runs s ON s.level = c.level AND s.run = idx // 8
+), ends AS (SELECT r, arg_max(cur, level) AS folded_root, sha256(arg_max(proof, level)) AS proof_sha256 FROM crown GROUP BY r)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM pos JOIN sub USING (tree) JOIN ends USING (r) CROSS JOIN (SELECT hash AS root FROM top WHERE n = 1)
+"""
+
+VECTORS_SQL = """
+WITH RECURSIVE own AS (
+  SELECT vec_id, label, cast(embedding AS double[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM own a JOIN own b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)) >= 0.93
+), reach AS (SELECT a AS vec_id, a AS other FROM links UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(c, e.vec_id)::BIGINT AS component_id, coalesce(c, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) x ON x.a = e.vec_id LEFT JOIN (SELECT vec_id, min(other) AS c FROM reach GROUP BY vec_id) m ON m.vec_id = e.vec_id
+"""
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+SEARCH_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS t FROM documents),
+sums AS (SELECT count(*)::BIGINT AS n_docs, sum(len(t))::BIGINT AS n_all FROM d WHERE len(t) > 0),
+tf AS (SELECT r, x, count(*)::BIGINT AS tf FROM (SELECT r, unnest(t) AS x FROM d) GROUP BY ALL),
+w AS (SELECT x, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf CROSS JOIN sums GROUP BY x, n_docs),
+q AS (SELECT item_id, x, count(*)::BIGINT AS c FROM (SELECT item_id, unnest({_TERMS}) AS x FROM benchmark) GROUP BY ALL),
+scored AS (
+  SELECT item_id, r, sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(t)::BIGINT * n_docs) // n_all))))::BIGINT AS score
+  FROM q JOIN tf USING (x) JOIN w USING (x) JOIN d USING (r) CROSS JOIN sums GROUP BY ALL
+)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT item_id, cast(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS int) AS rank, doc_id, score FROM scored JOIN d USING (r) WHERE score > 0
+) WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_rules": LINE_RULES_SQL, "op5_signature_tree_join": JACCARD_SQL}
+    return {"op1_line_rules": LINE_RULES_SQL, "op5_signature_tree_join": JACCARD_SQL, "op11_merkle_manifest": MERKLE_SQL, "op12_projection_passes": VECTORS_SQL, "op13_mask_search": SEARCH_SQL}
