@@ -7,10 +7,10 @@ import re
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import LINE_BREAKS, strip
 
 Rule = tuple[str, str]
 
@@ -28,13 +28,19 @@ _DATE = r"(?<!\d)(20\d{2})(?:0([1-9])|(1[0-2]))(?:0([1-9])|([12]\d|3[01]))"
 _DAY = "$1年$2$3月$4$5日"
 _AMOUNT = r"(\d{1,3}(?:,\d{3})+(?:\.\d+)?)"
 _WHOLE = r"(\d{1,3}(?:,\d{3})+)"
-#: One round over a line; three rounds are made.
-RESIDUE: tuple[Rule, ...] = (
-    (r"(?<!\d)(20\d{2})\1年", "$1年"), (rf"{_DATE}(?=\d)", f"{_DAY} "), (rf"{_DATE}(?!\d)", _DAY),
-    (rf"{_AMOUNT}(?=20\d{{2}}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01]))", "$1 / "), (rf"{_AMOUNT}(?=人民币)", "$1 / "),
-    (rf"{_WHOLE}(?=\d{{1,3}}(?:,\d{{3}})+)", "$1 / "), (rf"{_WHOLE}(?=\d{{1,3}}(?:,\d{{3}})+\.\d)", "$1 / "),
-    (r"(\d{1,3}(?:,\d{3})+\.\d+)(?=\d+(?:\.\d+)?%)", "$1 / "), (rf"{_WHOLE}(?=(?:\d{{1,3}}(?:,\d{{3}})+(?!\d)|\d+(?:\.\d+)?%))", "$1 / "),
-    (r"(?<!\d)(\d{1,2})\.(\d{3}\.\d{2})(?!\d)", "$1,$2"), (r"(?<=日)(?=\d)", " "), (rf"{_AMOUNT}(?=20\d{{2}}年)", "$1 / "), (r"(?<=%)(?=\d+-\d+年)", " / "),
+#: One round over a line, in groups: what a text must hold for a group's rules to find anything, and the rules. Three rounds are made.
+_GROUPED = r"\d,\d{3}"
+RESIDUE: tuple[tuple[str, tuple[Rule, ...]], ...] = (
+    (r"20\d{2}", ((r"(?<!\d)(20\d{2})\1年", "$1年"), (rf"{_DATE}(?=\d)", f"{_DAY} "), (rf"{_DATE}(?!\d)", _DAY))),
+    (_GROUPED, (
+        (rf"{_AMOUNT}(?=20\d{{2}}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01]))", "$1 / "), (rf"{_AMOUNT}(?=人民币)", "$1 / "),
+        (rf"{_WHOLE}(?=\d{{1,3}}(?:,\d{{3}})+)", "$1 / "), (rf"{_WHOLE}(?=\d{{1,3}}(?:,\d{{3}})+\.\d)", "$1 / "),
+        (r"(\d{1,3}(?:,\d{3})+\.\d+)(?=\d+(?:\.\d+)?%)", "$1 / "), (rf"{_WHOLE}(?=(?:\d{{1,3}}(?:,\d{{3}})+(?!\d)|\d+(?:\.\d+)?%))", "$1 / "),
+    )),
+    (r"\d\.\d{3}\.\d{2}", ((r"(?<!\d)(\d{1,2})\.(\d{3}\.\d{2})(?!\d)", "$1,$2"),)),
+    (r"日\d", ((r"(?<=日)(?=\d)", " "),)),
+    (_GROUPED, ((rf"{_AMOUNT}(?=20\d{{2}}年)", "$1 / "),)),
+    (r"%\d", ((r"(?<=%)(?=\d+-\d+年)", " / "),)),
 )
 LINE_END: tuple[Rule, ...] = ((r"(?<!\d)(\d{1,3}(?:,\d{3})+)(\d{2,3})(?=\n|\Z)", "$1"), (r"[^\S\n]{2,}", " "))
 SYMBOL_SPACES: tuple[Rule, ...] = ((r"\s+([%.,;:])", "$1"), (r"\(\s+", "("), (r"\s+\)", ")"), (r"\n{3,}", "\n\n"))
@@ -46,7 +52,10 @@ POLISH: tuple[Rule, ...] = (
 )
 #: Running headers that one company's notes carry on every page; others can be given.
 RUNNING_HEADERS = (r"\n?财务报表\s*\n?二零二五年年报\s*\n?中国平安保险（集团）股份有限公司\s*\n?", r"\n?二零二五年年报\s*\n?中国平安保险（集团）股份有限公司\s*\n?")
-LINE_BREAKS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+# What a text must hold for these rules to find anything; one look in place of all of them.
+RESIDUE_SIGNS = "|".join(dict.fromkeys(sign for sign, _ in RESIDUE))
+NUMBER_SIGNS, SYMBOL_SIGNS = r"\d\s+[\d.%]|\.\s+\d", r"\s[%.,;:)]|\(\s|\n{3}"
+POLISH_SIGNS = r"/|%\s|\d\s+[，。；：]|[（(]\s|\s[）)]|\s{2}"
 
 
 def _java(pattern: str) -> str:
@@ -62,6 +71,12 @@ def bound(c: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(c), f)[0]
 
 
+def made_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is made once for each row. A generator gives it, as filters on it then stay above; below they would make it again."""
+    rest = [c for c in df.columns if c != name]
+    return df.select(*rest, F.explode(F.array(value)).alias(name))
+
+
 def replace_each(c: Column, pattern: str, f: Callable[[Column], Column]) -> Column:
     """Every match of a pattern (never an empty one) replaced by a function of it; texts without a match are left as they are."""
 
@@ -73,9 +88,16 @@ def replace_each(c: Column, pattern: str, f: Callable[[Column], Column]) -> Colu
     return bound(c, replaced)
 
 
+def where_signs(c: Column, signs: str, f: Callable[[Column], Column]) -> Column:
+    """f of the texts that hold the signs; the others are left as they are."""
+    return bound(c, lambda x: F.when(x.rlike(_java(signs)), f(x)).otherwise(x))
+
+
 def unified_lines(c: Column) -> Column:
     """All line breaks as newlines; one at the end of the text goes."""
-    return F.regexp_replace(F.regexp_replace(c, LINE_BREAKS, "\n"), r"\n\z", "")
+    others = LINE_BREAKS.replace(r"\n", "")
+    same = where_signs(c, others, lambda x: F.regexp_replace(x, LINE_BREAKS, "\n"))
+    return bound(same, lambda x: F.when(x.endswith("\n"), F.substring(x, F.lit(1), F.length(x) - 1)).otherwise(x))
 
 
 def collapse_spaced_letters(c: Column) -> Column:
@@ -89,36 +111,67 @@ def normalize_formula(c: Column) -> Column:
     return strip(apply(collapse_spaced_letters(c), FORMULA_SPACES))
 
 
+def _residue_round(c: Column) -> Column:
+    return reduce(lambda x, group: where_signs(x, group[0], lambda y: apply(y, group[1])), RESIDUE, c)
+
+
+def _residue_rounds(c: Column, rounds: int = 3) -> Column:
+    """A round that changes nothing is the last."""
+    pair = lambda before, now: F.struct(before.alias("before"), now.alias("now"))
+    again = lambda at, _: F.when(at["before"].eqNullSafe(at["now"]), at).otherwise(pair(at["now"], _residue_round(at["now"])))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), pair(F.lit(None).cast("string"), c), again, lambda at: at["now"])
+
+
 def clean_ocr_residue(c: Column) -> Column:
     """Repeated years, compact dates, glued amounts and dangling page numbers of every line."""
     c = unified_lines(F.replace(c, F.lit("\uffa0"), F.lit(" ")))
-    return apply(c, (*RESIDUE, *RESIDUE, *RESIDUE, *LINE_END))
+    c = where_signs(c, RESIDUE_SIGNS, lambda x: apply(_residue_rounds(x), LINE_END[:1]))
+    return apply(c, LINE_END[1:])
 
 
 def clean_special_symbols(c: Column) -> Column:
     """Formulas as text, spaced numbers, residue, and blanks before signs; null counts as empty."""
-    c = F.regexp_replace(F.coalesce(c, F.lit("")), _java(CENTRE_DOT), "- ")
-    c = replace_each(c, FORMULA, lambda m: normalize_formula(F.substring(m, F.lit(2), F.length(m) - 2)))
-    return strip(apply(clean_ocr_residue(apply(c, SPACED_NUMBER)), SYMBOL_SPACES))
+
+    def formulas(x: Column) -> Column:
+        return replace_each(F.regexp_replace(x, _java(CENTRE_DOT), "- "), FORMULA, lambda m: normalize_formula(F.substring(m, F.lit(2), F.length(m) - 2)))
+
+    c = where_signs(F.coalesce(c, F.lit("")), r"\$", formulas)
+    c = clean_ocr_residue(where_signs(c, NUMBER_SIGNS, lambda x: apply(x, SPACED_NUMBER)))
+    return strip(where_signs(c, SYMBOL_SIGNS, lambda x: apply(x, SYMBOL_SPACES)))
 
 
 def polish_readability(c: Column) -> Column:
     """Signs between amounts and blanks in every line that is no table row; null counts as empty."""
 
     def line(x: Column) -> Column:
-        return bound(F.regexp_replace(x, r"(?U)\s+\z", ""), lambda y: F.when(y.startswith("|") & y.endswith("|"), y).otherwise(apply(y, POLISH)))
+        return bound(F.regexp_replace(x, r"(?U)\s+\z", ""), lambda y: F.when((y.startswith("|") & y.endswith("|")) | ~y.rlike(_java(POLISH_SIGNS)), y).otherwise(apply(y, POLISH)))
+
+    def text(x: Column) -> Column:
+        by_line = F.array_join(F.transform(F.split(x, "\n"), line), "\n")
+        return F.when(x.rlike(_java(POLISH_SIGNS)), by_line).otherwise(F.regexp_replace(x, r"(?U)[^\S\n]+(?=\n|\z)", ""))
 
-    joined = F.array_join(F.transform(F.split(unified_lines(F.coalesce(c, F.lit(""))), "\n"), line), "\n")
-    return strip(F.regexp_replace(joined, r"\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(bound(unified_lines(F.coalesce(c, F.lit(""))), text), r"\n{3,}", "\n\n"))
 
 
 def clean_note_text(c: Column, headers: Sequence[str] = RUNNING_HEADERS) -> Column:
     """Text in which keywords are looked for: symbols cleaned, running headers and lines of a bare number removed."""
-    c = apply(clean_special_symbols(c), [(h, "\n") for h in headers])
+    c = clean_special_symbols(c)
+    if headers:
+        c = where_signs(c, "|".join(f"(?:{h})" for h in headers), lambda x: apply(x, [(h, "\n") for h in headers]))
     c = F.regexp_replace(c, r"(?mdU)^\d{1,3}\s*$", "")
     return strip(F.regexp_replace(c, r"\n{3,}", "\n\n"))
 
 
+def may_appear(text: Column, word: str) -> Column:
+    """Whether clean_note_text() of a text may hold a word: where the text does, or where cleaning may make it.
+
+    Cleaning makes words of letters only in formulas; it may make others of digits, blanks, dates and signs anywhere.
+    """
+    if re.search(r"[\W\d_年月日x]", word):
+        return F.lit(True)
+    return text.contains(word) | text.contains("$")
+
+
 def normalize_lookup(c: Column) -> Column:
     """The form in which terms are looked for in blocks: no blanks, no separators, ASCII brackets, lower case."""
     c = F.translate(clean_note_text(c), "（）", "()")
@@ -145,4 +198,5 @@ def plain_special_symbols(text: str) -> str:
 
     text = re.sub(FORMULA, formula, plain(text, ((CENTRE_DOT, "- "),)))
     text = "\n".join(plain(text, SPACED_NUMBER).replace("\uffa0", " ").splitlines())
-    return plain(text, (*RESIDUE, *RESIDUE, *RESIDUE, *LINE_END, *SYMBOL_SPACES)).strip()
+    rounds = [rule for _, rules in RESIDUE for rule in rules] * 3
+    return plain(text, (*(rounds if re.search(RESIDUE_SIGNS, text) else ()), *LINE_END, *SYMBOL_SPACES)).strip()

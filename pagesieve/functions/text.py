@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import FURNITURE
 
+# Lines of a table of contents, with the number behind or before: fixed values.
 TOC_FORWARD = r"^(.{2,60}?)\s{1,}([0-9]{1,4})\s*$"
 TOC_REVERSED = r"^([0-9]{1,4})\s+(.{2,60}?)\s*$"
 
@@ -102,11 +103,17 @@ def matches_near_top(c: Column, patterns: Sequence[str], reach: int = 220) -> Co
     return F.substring(c, 1, reach).rlike(f"(?i){either(patterns)}")
 
 
+def heading_line(c: Column) -> Column:
+    """The first line of a page, or null if the page is a table of contents, main or small."""
+    heads = F.transform(F.slice(F.split(c, "\n", 7), 1, 6), strip)
+    toc_like = lambda x: F.filter(x, lambda y: y.rlike(f"(?U){TOC_FORWARD}") | y.rlike(f"(?U){TOC_REVERSED}"))
+    first = F.transform(F.array(heads), lambda x: F.when(F.size(toc_like(x)) < 2, F.element_at(x, 1)))[0]
+    return F.when(~F.substring(c, 1, 30).rlike(r"(?U)目\s*录"), first)
+
+
 def matches_as_heading(c: Column, patterns: Sequence[str]) -> Column:
     """A pattern in the first line of a page that is no table of contents, main or small."""
-    toc_like = F.filter(F.transform(F.slice(F.split(c, "\n"), 1, 6), strip), lambda x: x.rlike(f"(?U){TOC_FORWARD}") | x.rlike(f"(?U){TOC_REVERSED}"))
-    first = strip(F.element_at(F.split(c, "\n"), 1))
-    return ~F.substring(c, 1, 30).rlike(r"(?U)目\s*录") & (F.size(toc_like) < 2) & first.rlike(f"(?i){either(patterns)}")
+    return F.coalesce(heading_line(c).rlike(f"(?i){either(patterns)}"), F.lit(False))
 
 
 def excerpt(c: Column, keywords: Column, before: int = 120, after: int = 500) -> Column:

@@ -10,6 +10,8 @@ from ..functions.text import LINE_BREAKS, clean_item_name, either, is_furniture,
 
 # Names, numerals and signs of the reports' formats: fixed values.
 SUBTOC_NAMES = ("合并及公司资产负债表", "合并资产负债表", "合并及公司利润表", "合并利润表", "财务报表附注", "合并现金流量表", "合并股东权益变动表")
+#: What follows a name in a statement table.
+SUBTOC_TAIL = r"[^0-9P\n]{0,15}(P?)([0-9]{1,4})"
 NUMERALS = ("一", "二", "三", "四", "五", "六", "七", "八", "九", "十", "十一", "十二", "十三", "十四", "十五", "十六", "十七", "十八", "十九", "二十")
 EMPTY_AMOUNTS = ("-", "–", "—")
 NOISE_DEPTH = 8
@@ -243,7 +245,7 @@ def referenced_pages(pages: DataFrame, refs: DataFrame) -> DataFrame:
 
 def subtoc_pages(pages: DataFrame) -> DataFrame:
     """(report_id, name, page_idx): page numbers of the statements from the first page that lists at least two of them."""
-    tail = r"[^0-9P\n]{0,15}(P?)([0-9]{1,4})"
+    tail = SUBTOC_TAIL
     found = [F.when(F.col("text").rlike(n + tail), F.struct(F.lit(n).alias("name"), (F.regexp_extract("text", n + tail, 1) == "P").alias("relative"), F.regexp_extract("text", n + tail, 2).cast("int").alias("no"))) for n in SUBTOC_NAMES]
     lists = pages.select("report_id", F.col("page_idx").alias("at"), F.array_compact(F.array(*found)).alias("found")).where("size(found) >= 2")
     first = lists.groupBy("report_id").agg(F.min("at").alias("at"), F.min_by("found", "at").alias("found"))

@@ -78,18 +78,32 @@ def page_candidates(pages: DataFrame) -> DataFrame:
     return pages.groupBy("report_id").agg(of("statement:").alias("statement_pages"), of("notes:").alias("notes_pages"))
 
 
-def report_noise(pages: DataFrame, first: int = 10) -> DataFrame:
-    """(report_id, noise): company-name lines of a report's first pages, with both kinds of brackets.
+def company_lines(text: Column) -> Column:
+    """The lines of a text that are a company's name."""
+    return F.filter(lines(text), lambda x: F.length(x).between(4, 40) & x.rlike(r"^.+(?:股份有限公司|有限公司)\z"))
 
-    The first pages are found by a bounded sort of page numbers, so the text of later pages is not moved.
-    """
-    heads = pages.groupBy("report_id").agg(F.slice(F.array_sort(F.collect_list("page_idx")), 1, first).alias("heads"))
-    cut = heads.select("report_id", F.explode("heads").alias("page_idx"))
-    company = lines(F.col("text"))
-    found = pages.join(cut, ["report_id", "page_idx"]).select("report_id", F.explode(company).alias("line"))
-    named = found.where(F.length("line").between(4, 40) & F.col("line").rlike(r"^.+(?:股份有限公司|有限公司)\z"))
-    forms = F.array("line", F.translate("line", "（）", "()"), F.translate("line", "()", "（）"))
-    return named.select("report_id", F.explode(forms).alias("line")).groupBy("report_id").agg(F.array_sort(F.collect_set("line")).alias("noise"))
+
+def noise_forms(line: Column) -> Column:
+    """A name as it stands and with either kind of brackets."""
+    return F.array(line, F.translate(line, "（）", "()"), F.translate(line, "()", "（）"))
+
+
+def names_of(text: Column) -> Column:
+    """company_lines() of the texts that hold any; the others are not split."""
+    return F.when(text.contains("有限公司"), company_lines(text)).otherwise(F.array().cast("array<string>"))
+
+
+def noise_of(named: Column) -> Column:
+    """All forms of the names in an array of (page_idx, names), or null without any."""
+    names = F.flatten(F.transform(named, lambda p: p["names"]))
+    return F.nullif(F.array_sort(F.array_distinct(F.flatten(F.transform(names, noise_forms)))), F.array().cast("array<string>"))
+
+
+def report_noise(pages: DataFrame, first: int = 10) -> DataFrame:
+    """(report_id, noise): company-name lines of a report's first pages, with both kinds of brackets. Only these lines are moved, once."""
+    named = pages.select("report_id", "page_idx", names_of(F.coalesce("text", F.lit(""))).alias("names"))
+    heads = named.groupBy("report_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("page_idx", "names"))), 1, first).alias("heads"))
+    return heads.select("report_id", noise_of(F.col("heads")).alias("noise")).where("noise is not null")
 
 
 def without_noise_lines(pages: DataFrame, noise: DataFrame) -> DataFrame:

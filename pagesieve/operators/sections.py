@@ -4,85 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import NOTES_PATTERNS, SECTIONS, Section
-from ..functions.text import either, matches_as_heading, matches_near_top
-from .notes import subtoc_pages
+from ..functions.text import either, matches_near_top
+from .marks import page_marks, report_marks, rows_of, with_contents, with_noise, with_spans
 from .pages import TOC_LIMIT
 from .tables import html_toc_entries
-from .toc import section_entries, toc_ranges, toc_spans, verify_spans
-
-AUDIT, AUDIT_REACH = "审计报告|Auditor", 150
-
-
-def page_range(pages: DataFrame, start: int, end: int) -> DataFrame:
-    """Pages within inclusive bounds; absent numbers are passed over."""
-    return pages.where(F.col("page_idx").between(start, end))
-
-
-def cap_pages(spans: DataFrame, most: int | None) -> DataFrame:
-    """Spans of at most so many page numbers."""
-    if not most:
-        return spans
-    return spans.withColumn("end_page_idx", F.least("end_page_idx", F.col("start_page_idx") + most - 1))
-
-
-def _marks(pages: DataFrame, sections: dict[str, Section], patterns: str) -> DataFrame:
-    """(report_id, section, page_idx) of the pages that match a section's body or stop patterns; near the top for sections with a sub-table, else as heading."""
-
-    def test(s: Section) -> Column:
-        own = getattr(s, patterns)
-        found = matches_near_top(F.col("text"), own) if s.subtoc else matches_as_heading(F.col("text"), own)
-        return found & ~F.substring("text", 1, AUDIT_REACH).rlike(AUDIT) if patterns == "body" else found
-
-    tests = [F.when(test(s), F.lit(n)) for n, s in sections.items() if getattr(s, patterns)]
-    marks = F.array_compact(F.array(*tests)) if tests else F.array().cast("array<string>")
-    return pages.select("report_id", "page_idx", F.explode(marks).alias("section"))
-
-
-def subtoc_starts(pages: DataFrame, sections: dict[str, Section] = SECTIONS) -> DataFrame:
-    """(report_id, section, page_idx): the first of a section's names, in its own order, that the report's sub-table lists."""
-    named = [(n, i, name) for n, s in sections.items() for i, name in enumerate(s.subtoc)]
-    if not named:
-        return subtoc_pages(pages).select("report_id", F.lit("").alias("section"), "page_idx").limit(0)
-    names = F.array(*[F.struct(F.lit(n).alias("section"), F.lit(i).alias("turn"), F.lit(name).alias("name")) for n, i, name in named])
-    wanted = subtoc_pages(pages).select("report_id", "page_idx", F.explode(F.filter(names, lambda x: x["name"] == F.col("name"))).alias("x"))
-    return wanted.groupBy("report_id", "x.section").agg(F.min_by("page_idx", "x.turn").alias("page_idx"))
-
-
-def body_spans(pages: DataFrame, wanted: DataFrame, sections: dict[str, Section] = SECTIONS) -> DataFrame:
-    """(report_id, section, start_page_idx, end_page_idx) of the wanted (report_id, section) by a scan of all pages.
-
-    A section starts where the sub-table says, else on the first page with a body pattern that is no audit report; it
-    ends before the first later page with a stop pattern, else with the last page. Sections that are not found have no row.
-    """
-    seen = _marks(pages, sections, "body").groupBy("report_id", "section").agg(F.min("page_idx").alias("seen"))
-    listed = subtoc_starts(pages, sections).withColumnRenamed("page_idx", "listed")
-    starts = wanted.select("report_id", "section").join(listed, ["report_id", "section"], "left").join(seen, ["report_id", "section"], "left")
-    starts = starts.withColumn("start_page_idx", F.coalesce("listed", "seen")).where("start_page_idx is not null").drop("listed", "seen")
-    stops = _marks(pages, sections, "stop").withColumnRenamed("page_idx", "stop")
-    last = pages.groupBy("report_id").agg(F.max("page_idx").alias("last"))
-    ended = starts.join(stops, ["report_id", "section"], "left").groupBy("report_id", "section", "start_page_idx").agg(F.min(F.when(F.col("stop") > F.col("start_page_idx"), F.col("stop"))).alias("stop"))
-    return ended.join(last, "report_id").select("report_id", "section", "start_page_idx", F.coalesce(F.col("stop") - 1, F.col("last")).alias("end_page_idx"))
-
 
 def section_spans(pages: DataFrame, sections: dict[str, Section] = SECTIONS, most: int | None = None, require_toc: bool = True) -> DataFrame:
-    """(report_id, section, start_page_idx, end_page_idx, fallback_used, matched_titles) of all sections that are found.
-
-    The span of the table of contents where a body pattern confirms it (or there is none to confirm), else a scan of the body.
-    Reports without contents entries have no row, unless require_toc is off. most: see cap_pages.
-    """
-    toc = toc_ranges(pages)
-    titles = section_entries(toc, sections).groupBy("report_id", "section").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "title"))), lambda x: x.title).alias("matched_titles"))
-    good = verify_spans(toc_spans(toc, sections), pages, sections).where("verified").drop("verified").withColumn("fallback_used", F.lit(False))
-    scanned = [n for n, s in sections.items() if s.body]
-    reports = (toc if require_toc else pages).select("report_id").distinct()
-    wanted = reports.withColumn("section", F.explode(F.array(*map(F.lit, scanned)).cast("array<string>"))).join(good, ["report_id", "section"], "left_anti")
-    found = good.unionByName(body_spans(pages, wanted, sections).withColumn("fallback_used", F.lit(True)))
-    none = F.array().cast("array<string>")
-    return cap_pages(found.join(titles, ["report_id", "section"], "left").withColumn("matched_titles", F.coalesce("matched_titles", none)), most)
+    """(report_id, section, start_page_idx, end_page_idx, fallback_used, matched_titles) of all sections that are found; see with_spans()."""
+    reports = with_spans(with_contents(report_marks(page_marks(pages, sections))), sections, most, require_toc)
+    return rows_of(reports, "spans", "section", "report_id")
+
+
+def section_page_numbers(pages: DataFrame, sections: dict[str, Section] = SECTIONS, most: int | None = None, require_toc: bool = True) -> DataFrame:
+    """(report_id, page_idx, noise, section, and the columns of section_spans()): a row for each page of a span that exists, so that
+    texts join by report and page. noise: the report's own noise lines, or null."""
+    reports = with_noise(with_spans(with_contents(report_marks(page_marks(pages, sections))), sections, most, require_toc))
+    spans = rows_of(reports, "spans", "section", "report_id", "noise", "page_list")
+    inside = F.filter("page_list", lambda p: p.between(F.col("start_page_idx"), F.col("end_page_idx")))
+    return spans.withColumn("page_idx", F.explode(inside)).drop("page_list")
 
 
 def missing_sections(pages: DataFrame, spans: DataFrame, sections: dict[str, Section] = SECTIONS) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-from ..functions.cleaning import clean_special_symbols, plain_special_symbols, polish_readability
+from ..functions.cleaning import bound, clean_special_symbols, made_once, plain_special_symbols, polish_readability
 from ..functions.text import strip_tags
 from .notes import strip_noise
 
@@ -168,7 +168,7 @@ def table_markdown(source: str) -> str:
 
 
 @F.pandas_udf(ArrayType(ArrayType(ArrayType(CELL))))
-def _grids(tables: pd.Series) -> pd.Series:
+def grids(tables: pd.Series) -> pd.Series:
     return pd.Series([[[[c._asdict() for c in row] for row in table_grid(x)] for x in own] for own in tables], dtype=object)
 
 
@@ -184,18 +184,25 @@ def tables_of(text: Column) -> Column:
 
 def table_rows(pages: DataFrame) -> DataFrame:
     """(report_id, page_idx, table_no, row_no, cells): the grids' rows as stripped texts. Tables without rows are left out and not counted."""
-    held = pages.where(F.col("text").rlike(r"(?i)<table")).select("report_id", "page_idx", F.filter(_grids(tables_of(F.col("text"))), lambda g: F.size(g) > 0).alias("grids"))
+    held = pages.where(F.col("text").rlike(r"(?i)<table")).select("report_id", "page_idx", F.filter(grids(tables_of(F.col("text"))), lambda g: F.size(g) > 0).alias("grids"))
     tables = held.select("report_id", "page_idx", F.posexplode("grids").alias("table_no", "grid"))
     return tables.select("report_id", "page_idx", "table_no", F.posexplode("grid").alias("row_no", "row")).select("report_id", "page_idx", "table_no", "row_no", F.transform("row", lambda c: c["text"]).alias("cells"))
 
 
 def table_cells(pages: DataFrame) -> DataFrame:
     """(report_id, page_idx, table_no, row_no, col_no, text, rowspan, colspan, is_header, is_anchor)."""
-    held = pages.where(F.col("text").rlike(r"(?i)<table")).select("report_id", "page_idx", F.posexplode(_grids(tables_of(F.col("text")))).alias("table_no", "grid"))
+    held = pages.where(F.col("text").rlike(r"(?i)<table")).select("report_id", "page_idx", F.posexplode(grids(tables_of(F.col("text")))).alias("table_no", "grid"))
     rows = held.select("report_id", "page_idx", "table_no", F.posexplode("grid").alias("row_no", "row"))
     return rows.select("report_id", "page_idx", "table_no", "row_no", F.posexplode("row").alias("col_no", "c")).select("report_id", "page_idx", "table_no", "row_no", "col_no", "c.*")
 
 
+def contents_rows(found: Column) -> Column:
+    """array<struct<title, no>> of the rows of a text's grids that have a title and end in a page number."""
+    rows = F.filter(F.transform(F.flatten(found), lambda row: F.transform(row, lambda c: c["text"])), lambda c: F.size(c) >= 2)
+    entries = F.filter(rows, lambda c: (c[0] != "") & F.element_at(c, -1).rlike(r"^[0-9]{1,4}\z"))
+    return F.transform(entries, lambda c: F.struct(c[0].alias("title"), F.element_at(c, -1).try_cast("int").alias("no")))
+
+
 def html_toc_entries(pages: DataFrame, limit: int = 20) -> DataFrame:
     """(report_id, toc_page_idx, table_no, row_no, title, reported_page_no): table rows of early pages that end in a page number."""
     rows = table_rows(pages.where(F.col("page_idx") <= limit)).where(F.size("cells") >= 2)
@@ -212,7 +219,6 @@ def clean_pages(pages: DataFrame) -> DataFrame:
     joined = F.array_join(F.zip_with(parts, F.col("_md"), lambda a, b: F.concat(a, F.coalesce(F.concat(F.lit("\n\n"), b, F.lit("\n\n")), F.lit("")))), "")
     marked = held.withColumn("text", F.when(F.size("_md") > 0, joined).otherwise(F.coalesce("text", F.lit("")))).drop("_md")
     clean = polish_readability(clean_special_symbols(strip_tags(F.col("text"))))
-    # each step is a column of its own, so that none is made twice
-    out = marked.withColumn("text", clean).withColumn("text", strip_noise(F.col("text"), F.col("noise")))
-    out = out.withColumn("text", strip_noise(F.col("text"), F.col("noise"), footer=True))
-    return out.withColumn("text", F.regexp_replace("text", r"\n{3,}", "\n\n"))
+    noise = F.col("noise")
+    stripped = bound(bound(clean, lambda x: strip_noise(x, noise)), lambda x: strip_noise(x, noise, footer=True))
+    return made_once(marked, "text", F.regexp_replace(stripped, r"\n{3,}", "\n\n"))

@@ -2,39 +2,87 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cleaning import clean_note_text
+from ..functions.cleaning import bound, clean_note_text, may_appear
 from ..functions.text import excerpt
 from .pages import ordered
 
 MIN_SCORE, MAX_HITS, CONTEXT, TABLE_BONUS = 10, 30, 1, 15
 
 
-def matched_keywords(text: Column, keywords: Sequence[str]) -> Column:
-    return F.array_compact(F.array(*[F.when(text.contains(k), F.lit(k)) for k in dict.fromkeys(keywords) if k]))
+def keyword_weight(k: Column) -> Column:
+    return F.greatest(F.lit(10), F.least(3 * F.length(k), F.lit(30)))
 
 
-def keyword_weight(k: str) -> int:
-    return max(10, min(3 * len(k), 30))
+def any_of(words: Sequence[str]) -> str:
+    """A pattern for the longest of the words at a place, as a tree of their letters, so that a place is read once for all words."""
+    tree: dict = {}
+    for w in words:
+        at = tree
+        for c in w:
+            at = at.setdefault(c, {})
+        at[""] = {}
 
+    def pattern(at: dict) -> str:
+        ends, more = "" in at, {c: below for c, below in at.items() if c}
+        if not more:
+            return ""
+        branches = [f"{re.sub(r'(\W)', r'\\\1', c)}{pattern(below)}" for c, below in more.items()]
+        return f"(?:{'|'.join(branches)}){'?' if ends else ''}" if len(branches) > 1 or ends else branches[0]
+
+    return pattern(tree)
+
+
+def found_words(text: Column, words: Sequence[str]) -> Column:
+    """The distinct words that a text holds, overlapping ones too. Every place where a word starts gives the longest one there; those inside it are known."""
+    words = sorted({w for w in words if w})
+    inside = {w: [v for v in words if v != w and v in w] for w in words}
+    longest = F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({any_of(words)}))"), F.lit(1)))
+    if not any(inside.values()):
+        return longest
+    more = F.create_map(*[x for w, v in inside.items() if v for x in (F.lit(w), F.array(*map(F.lit, v)))])
+    return F.array_distinct(F.concat(longest, F.flatten(F.array_compact(F.transform(longest, lambda w: F.try_element_at(more, w))))))
 
-def theme_hits(pages: DataFrame, keywords: Sequence[str], min_score: int = MIN_SCORE, clean=clean_note_text) -> DataFrame:
-    """Pages with at least one keyword and the least score: (report_id, page_idx, score, matched_keywords, excerpt).
 
+def hits_of_themes(pages: DataFrame, themes: Mapping[str, Sequence[str]], min_score: int = MIN_SCORE, clean=clean_note_text) -> DataFrame:
+    """(report_id, page_idx, theme, score, matched_keywords, excerpt): pages with at least one of a theme's keywords and the least score.
+
+    A page is cleaned once and read once for the keywords of all themes together; pages that cannot hold any are left out before.
     Each keyword that occurs counts once, by its length; a literal <table> in the raw text adds a bonus. clean is
-    applied to the text before keywords are looked for. Nothing is shuffled.
+    applied to the text before keywords are looked for. Keywords stand in their theme's order. Nothing is shuffled.
     """
-    text = F.col("clean")
-    weights = sum((F.when(text.contains(k), keyword_weight(k)).otherwise(0) for k in dict.fromkeys(keywords) if k), F.lit(0))
-    score = weights + F.when(F.col("text").contains("<table>"), TABLE_BONUS).otherwise(0)
-    cleaned = pages.select("report_id", "page_idx", "text", clean(F.col("text")).alias("clean"))
-    found = cleaned.select("report_id", "page_idx", "clean", score.cast("int").alias("score"), matched_keywords(text, keywords).alias("matched_keywords"))
-    kept = found.where((F.col("score") >= min_score) & (F.size("matched_keywords") > 0))
-    return kept.withColumn("excerpt", excerpt(text, F.col("matched_keywords"))).drop("clean")
+    named = {n: [k for k in dict.fromkeys(words) if k] for n, words in themes.items()}
+    words = list(dict.fromkeys(k for own in named.values() for k in own))
+    text = F.col("text")
+    if not words:
+        return pages.where(F.lit(False)).select("report_id", "page_idx", F.lit("").alias("theme"), F.lit(0).alias("score"), F.array().cast("array<string>").alias("matched_keywords"), F.lit("").alias("excerpt"))
+    possible = pages
+    if clean is clean_note_text:
+        possible = pages.where(reduce(Column.__or__, [may_appear(text, k) for k in words]))
+    bonus = F.when(text.contains("<table>"), TABLE_BONUS).otherwise(0)
+    known = F.array(*[F.struct(F.lit(n).alias("theme"), F.array(*map(F.lit, own)).cast("array<string>").alias("keywords")) for n, own in named.items()])
+
+    def hits(page: Column) -> Column:
+        own = lambda t: F.array_intersect(t["keywords"], page["words"])
+        matched = F.filter(F.transform(known, lambda t: F.struct(t["theme"].alias("theme"), own(t).alias("matched"))), lambda h: F.size(h["matched"]) > 0)
+        scored = F.transform(matched, lambda h: F.struct(h["theme"].alias("theme"), F.aggregate(h["matched"], bonus, lambda s, k: s + keyword_weight(k)).alias("score"), h["matched"].alias("matched_keywords")))
+        kept = F.filter(scored, lambda h: h["score"] >= min_score)
+        return F.transform(kept, lambda h: F.struct(h["theme"].alias("theme"), h["score"].alias("score"), h["matched_keywords"].alias("matched_keywords"), excerpt(page["clean"], h["matched_keywords"]).alias("excerpt")))
+
+    page = bound(clean(text), lambda c: F.struct(c.alias("clean"), found_words(c, words).alias("words")))
+    # a generator takes the array as it is made; a filter on a column of it would be pushed below and clean again
+    return possible.select("report_id", "page_idx", F.inline(bound(page, hits)))
+
+
+def theme_hits(pages: DataFrame, keywords: Sequence[str], min_score: int = MIN_SCORE, clean=clean_note_text) -> DataFrame:
+    """(report_id, page_idx, score, matched_keywords, excerpt) of one theme; see hits_of_themes()."""
+    return hits_of_themes(pages, {"": keywords}, min_score, clean).drop("theme")
 
 
 def consecutive_windows(hits: DataFrame) -> DataFrame:
@@ -45,9 +93,9 @@ def consecutive_windows(hits: DataFrame) -> DataFrame:
     return grouped.drop("run")
 
 
-def top_hits(hits: DataFrame, most: int = MAX_HITS) -> DataFrame:
-    """The report's best hits: by score, then page."""
-    order = Window.partitionBy("report_id").orderBy(F.desc("score"), "page_idx")
+def top_hits(hits: DataFrame, most: int = MAX_HITS, by: Sequence[str] = ("report_id",)) -> DataFrame:
+    """The report's best hits: by score, then page. by: with theme, those of each theme."""
+    order = Window.partitionBy(*by).orderBy(F.desc("score"), "page_idx")
     return hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 

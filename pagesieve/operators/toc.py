@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import OFFSET_ANCHORS, SECTIONS, Section
+from ..config import SECTIONS, Section
 from ..functions.text import TOC_FORWARD, TOC_REVERSED, either, lines, matches_as_heading, matches_near_top, strip, strip_tags
+from .marks import page_marks, report_marks, rows_of, with_contents
 from .pages import TOC_LIMIT
 from .tables import html_toc_entries
 
@@ -39,32 +40,13 @@ def toc_entries(pages: DataFrame) -> DataFrame:
     return once.select("report_id", "toc_page_idx", (F.row_number().over(order) - 1).alias("ord"), "title", "reported_page_no")
 
 
-def toc_offset(entries: DataFrame, pages: DataFrame) -> DataFrame:
-    """(report_id, toc_page_offset): page index minus printed number at the first anchor that both sides have, else 0.
-
-    Of titles that repeat, the last number counts at the place of the first.
-    """
-    titles = entries.groupBy("report_id", "title").agg(F.min("ord").alias("ord"), F.max_by("reported_page_no", "ord").alias("no"))
-    named = [F.min_by("no", F.when(F.col("title").contains(a), F.col("ord"))).alias(f"no{i}") for i, (a, _) in enumerate(OFFSET_ANCHORS)]
-    head = F.substring("text", 1, 300)
-    bodies = pages.where(F.col("page_idx") > TOC_LIMIT).select("report_id", "page_idx", head.alias("head"))
-    spots = [F.min(F.when(F.col("head").rlike(p), F.col("page_idx"))).alias(f"at{i}") for i, (_, p) in enumerate(OFFSET_ANCHORS)]
-    found = titles.groupBy("report_id").agg(*named).join(bodies.groupBy("report_id").agg(*spots), "report_id", "left")
-    return found.select("report_id", F.coalesce(*[F.col(f"at{i}") - F.col(f"no{i}") for i in range(len(OFFSET_ANCHORS))], F.lit(0)).alias("toc_page_offset"))
-
-
 def toc_ranges(pages: DataFrame) -> DataFrame:
-    """(report_id, pos, title, reported_page_no, start_page_idx, end_page_idx, toc_page_offset) of every entry.
+    """(report_id, pos, title, reported_page_no, start_page_idx, end_page_idx, toc_page_offset, last_page_idx) of every entry, in one scan and one exchange.
 
-    An entry ends before the next one starts, the last one with the last page. Reports without entries have no row.
+    See with_contents(). Reports without entries have no row.
     """
-    entries = toc_entries(pages)
-    last = pages.groupBy("report_id").agg(F.max("page_idx").alias("last_page_idx"))
-    placed = entries.join(toc_offset(entries, pages), "report_id").join(last, "report_id")
-    following = F.lead("reported_page_no").over(Window.partitionBy("report_id").orderBy("ord"))
-    start = F.col("reported_page_no") + F.col("toc_page_offset")
-    end = F.coalesce(following + F.col("toc_page_offset") - 1, F.col("last_page_idx"))
-    return placed.select("report_id", F.col("ord").alias("pos"), "title", "reported_page_no", start.alias("start_page_idx"), end.alias("end_page_idx"), "toc_page_offset", "last_page_idx")
+    reports = with_contents(report_marks(page_marks(pages, {})))
+    return rows_of(reports, "toc", "pos", "report_id", "toc_page_offset", "last_page_idx")
 
 
 def section_entries(toc: DataFrame, sections: dict[str, Section] = SECTIONS) -> DataFrame:

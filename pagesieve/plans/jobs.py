@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SECTIONS, Section, Theme, theme
+from ..operators import marks as M
 from ..operators import notes as N
 from ..operators import pages as P
 from ..operators import sections as S
@@ -28,8 +29,8 @@ def toc_scan(pages: DataFrame) -> DataFrame:
 
 def missing_toc(pages: DataFrame) -> DataFrame:
     """(report_id, stage, message) of the reports that have no entries, so that one report does not end a job."""
-    known = C.toc_entries(pages).select("report_id").distinct()
-    return pages.select("report_id").distinct().join(known, "report_id", "left_anti").select("report_id", F.lit("toc_scan").alias("stage"), F.lit("no table of contents").alias("message"))
+    reports = M.with_contents(M.report_marks(M.page_marks(pages, {}))).where("size(toc) = 0")
+    return reports.select("report_id", F.lit("toc_scan").alias("stage"), F.lit("no table of contents").alias("message"))
 
 
 def extract_theme(pages: DataFrame, keywords: Sequence[str], min_score: int = T.MIN_SCORE, most: int = T.MAX_HITS, windows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -73,25 +74,29 @@ def slim_theme(pages: DataFrame, hits: DataFrame, context: int = T.CONTEXT) -> D
     return T.assemble_slim(cleaned(chosen, pages))
 
 
-def section_pages(pages: DataFrame, spans: DataFrame) -> DataFrame:
-    """(report_id, section, page_idx, text): the pages of each section's span, cleaned."""
-    inside = F.col("page_idx").between(F.col("start_page_idx"), F.col("end_page_idx"))
-    chosen = pages.select("report_id", "page_idx", "text").join(spans.select("report_id", "section", "start_page_idx", "end_page_idx"), "report_id").where(inside)
-    return cleaned(chosen.drop("start_page_idx", "end_page_idx"), pages)
+_SPAN = ("start_page_idx", "end_page_idx", "fallback_used", "matched_titles")
 
 
-def documents(chosen: DataFrame) -> DataFrame:
-    """(report_id, section, markdown, pages, chars, est_tokens) of cleaned pages (report_id, section, page_idx, text); empty pages are left out."""
+def section_pages(pages: DataFrame, numbers: DataFrame) -> DataFrame:
+    """numbers (report_id, page_idx, noise and more, as section_page_numbers() gives them) with the cleaned text in place of noise."""
+    return B.clean_pages(pages.select("report_id", "page_idx", "text").join(numbers, ["report_id", "page_idx"])).drop("noise")
+
+
+def documents(chosen: DataFrame, *more: str) -> DataFrame:
+    """(report_id, section, markdown, pages, chars, est_tokens, more) of cleaned pages (report_id, section, page_idx, text); empty pages are left out.
+
+    more: further columns, which are equal for all pages of a section."""
     part = F.concat(F.lit("<!-- page: "), F.col("page_idx").cast("string"), F.lit(" -->\n"), "text")
-    out = chosen.where("text <> ''").select("report_id", "section", "page_idx", part.alias("part")).groupBy("report_id", "section").agg(F.array_join(P.ordered("part", "page_idx"), "\n\n---\n\n").alias("markdown"), F.count("*").alias("pages"))
+    out = chosen.where("text <> ''").select("report_id", "section", *more, "page_idx", part.alias("part")).groupBy("report_id", "section", *more).agg(F.array_join(P.ordered("part", "page_idx"), "\n\n---\n\n").alias("markdown"), F.count("*").alias("pages"))
     chars = F.length("markdown").cast("long")
     return out.withColumn("chars", chars).withColumn("est_tokens", F.floor(chars / 1.5).cast("long"))
 
 
 def section_slim(pages: DataFrame, sections: dict[str, Section] = SECTIONS, most: int | None = None) -> DataFrame:
-    """(report_id, section, markdown, pages, chars, est_tokens, start_page_idx, end_page_idx, fallback_used, matched_titles)."""
-    spans = S.section_spans(pages, sections, most)
-    return documents(section_pages(pages, spans)).join(spans, ["report_id", "section"])
+    """(report_id, section, markdown, pages, chars, est_tokens, start_page_idx, end_page_idx, fallback_used, matched_titles).
+
+    Pages are read twice, for their marks and for their texts, and moved three times in all: marks, texts, documents."""
+    return documents(section_pages(pages, S.section_page_numbers(pages, sections, most)), *_SPAN)
 
 
 def section_documents(pages: DataFrame) -> DataFrame:
@@ -114,15 +119,14 @@ def notes_slim(pages: DataFrame, statements: DataFrame, most: int | None = None)
     statements: report_id, statement, markdown; the balance sheet is read before the income statement.
     """
     name = "financial-notes"
-    spans = S.section_spans(pages, {name: SECTIONS[name]}, most)
-    inside = F.col("page_idx").between(F.col("start_page_idx"), F.col("end_page_idx"))
-    own = pages.select("report_id", "page_idx", "text").join(spans.select("report_id", "start_page_idx", "end_page_idx"), "report_id").where(inside).select("report_id", "page_idx", "text")
+    numbers = S.section_page_numbers(pages, {name: SECTIONS[name]}, most).select("report_id", "page_idx", "noise", "section")
+    own = pages.select("report_id", "page_idx", "text").join(numbers, ["report_id", "page_idx"])
     first = F.col("statement") == "balance_sheet"
     # a balance sheet is also known by its name in the first 200 characters
     is_bs = first | F.substring("markdown", 1, 200).contains("资产负债表")
     refs = N.note_ref_set(statements.select("report_id", F.when(first, 0).otherwise(1).alias("seq"), "markdown", is_bs.alias("is_bs")))
-    kept = own.join(N.referenced_pages(own, refs), ["report_id", "page_idx"], "left_semi").withColumn("section", F.lit(name))
-    return documents(cleaned(kept, pages))
+    kept = own.join(N.referenced_pages(own, refs), ["report_id", "page_idx"], "left_semi")
+    return documents(B.clean_pages(kept).drop("noise"))
 
 
 def statement_notes(statements: DataFrame, notes: DataFrame) -> tuple[DataFrame, DataFrame]:

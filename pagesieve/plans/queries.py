@@ -48,7 +48,7 @@ _SYMBOLS = (
     ("[^\\S\\n]{2,}", "' '"), ("\\s+([%.,;:])", "'\\1'"), ("\\(\\s+", "'('"), ("\\s+\\)", "')'"), ("\\n{3,}", _TWO_BREAKS), ("^\\s+|\\s+$", "''"),
 )
 _NOTE_TEXT = _sql("text", *_SYMBOLS, ("(?m)^[0-9]{1,3}\\s*$", "''"), ("\\n{3,}", _TWO_BREAKS), ("^\\s+|\\s+$", "''"))
-_KEYWORD_SCORE = " + ".join(f"CASE WHEN contains(clean, '{k}') THEN {T.keyword_weight(k)} ELSE 0 END" for k in KEYWORDS)
+_KEYWORD_SCORE = " + ".join(f"CASE WHEN contains(clean, '{k}') THEN {max(10, min(3 * len(k), 30))} ELSE 0 END" for k in KEYWORDS)
 _MATCHED = "concat_ws(',', " + ", ".join(f"CASE WHEN contains(clean, '{k}') THEN '{k}' END" for k in KEYWORDS) + ")"
 _FIRST_AT = "coalesce(" + ", ".join(f"nullif(instr(clean, '{k}'), 0)" for k in KEYWORDS) + ")"
 _HITS = f"""hits AS (
