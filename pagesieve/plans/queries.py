@@ -495,3 +495,13 @@ def statement_documents(spark, sf_dir):
     docs = _statements(spark, sf_dir)
     groups, blocks = N.group_refs(N.statement_note_refs(docs)), N.note_blocks(_note_pages(spark, sf_dir))
     return N.statement_documents(docs, N.match_notes(groups, blocks))
+
+
+RANGES_SQL, SPANS_SQL, VERIFIED_SQL, LOCATED_SQL = _RANGES, _SPANS, _VERIFIED, _LOCATED
+
+
+def stripped_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+from . import ledger  # noqa: E402, F401  (its queries use the SQL above)

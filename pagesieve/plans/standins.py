@@ -66,3 +66,60 @@ ITEMS_SQL = """items AS (
   SELECT cast(conv_id AS varchar) AS report_id, cast(turn AS int) AS seq, cast(floor(turn / 2) AS int) AS page_idx,
          CASE role WHEN 'user' THEN 'title' ELSE 'text' END AS type, coalesce(text, '') AS text FROM conversations
 )"""
+
+
+def _grouped(n: str) -> str:
+    """A whole number below 10**12 with commas, as an expression."""
+    part = lambda i: f"cast(floor({n} / {1000**i}) AS bigint)"
+    three = lambda i: f"lpad(cast({part(i)} % 1000 AS string), 3, '0')"
+    out = f"cast({part(0)} AS string)"
+    for i in (1, 2, 3):
+        tail = " || ',' || ".join(three(j) for j in reversed(range(i)))
+        out = f"CASE WHEN {n} >= {1000**i} THEN cast({part(i)} AS string) || ',' || {tail} ELSE {out} END"
+    return out
+
+
+#: Ledger reports: a report for each supplier with a note for each of eleven groups of its line items. Styles by k % 3: notes in a main section
+#: (0), without one (1, 2); the statements of k % 9 = 2 have no references; the contents of k % 4 = 1 name no statements. A note's page comes in five forms,
+#: by (k + i) % 5: with a heading, without one, with the end of the note before, with subsections, and as an HTML table.
+_NOTE_NAME = "CASE i WHEN 4 THEN '货币资金' WHEN 5 THEN '交易资产' WHEN 6 THEN '衍生资产（净额）' WHEN 7 THEN '存出保证金' WHEN 8 THEN '定期存款' WHEN 9 THEN '投资资产' WHEN 10 THEN '保险收入' WHEN 11 THEN '利息收入' WHEN 12 THEN '分红收入' WHEN 13 THEN '其他收益' ELSE '业务费用' END"
+_NOTE_REF = "CASE WHEN k % 9 = 2 THEN '' WHEN i = 6 THEN '6/2(3)' WHEN i = 7 THEN '7(2)' WHEN i = 8 THEN '8(5)' WHEN i = 12 THEN '12（2）' WHEN i = 5 AND k % 2 = 0 THEN '4' ELSE cast(i AS string) END"
+LEDGER_NOTES = f"""SELECT *, {_NOTE_NAME} AS item, {_NOTE_REF} AS ref, {_grouped('cents')} AS cur, {_grouped('units')} AS prior FROM (
+  SELECT cast(l_suppkey AS int) AS k, cast(l_partkey % 11 + 4 AS int) AS i, cast(sum(round(l_extendedprice * 100)) AS bigint) AS cents, cast(sum(l_quantity) * 100 + 7 AS bigint) AS units FROM {{lineitem}} GROUP BY l_suppkey, l_partkey % 11 + 4
+)"""
+_TWO = "chr(10) || chr(10)"
+_NOTE_PAGE = f"""CASE WHEN i = 4 AND k % 3 = 0 THEN '七、合并项目注释' || {_TWO} ELSE '' END || CASE (k + i) % 5
+ WHEN 0 THEN i || '、' || item || {_TWO} || 'Opening ' || cur || ' of the item.' || {_TWO} || 'Closing ' || prior || '.'
+ WHEN 1 THEN 'Balance ' || cur || ' and ' || prior || ' without a heading, beside 保险收入.'
+ WHEN 2 THEN 'The end of the note before' || {_TWO} || i || '. ' || item || {_TWO} || '（1）甲' || {_TWO} || 'Text ' || cur
+ WHEN 3 THEN i || ' ' || item || '（续）' || {_TWO} || '（1）Part one' || {_TWO} || '（2）Part two ' || cur || {_TWO} || '（5）Part five ' || prior || {_TWO} || 'More of five'
+ ELSE '<table><tr><td>项目</td><td>2025</td></tr><tr><td>' || item || '</td><td>' || cur || '</td></tr></table>' END"""
+_STATEMENT = f"""CASE WHEN i < 10 THEN '合并资产负债表' ELSE '合并利润表' END || chr(10) || '| 项目 | 附注' || CASE WHEN k % 3 = 0 THEN '七' ELSE '' END || ' | 2025 | 2024 |' || chr(10) || '| --- | --- | --- | --- |'"""
+_STATEMENT_ROW = "chr(10) || '| ' || CASE WHEN i = 9 THEN '其中：' ELSE '' END || item || ' | ' || ref || ' | ' || cur || ' | ' || CASE WHEN i = 13 THEN '-' ELSE prior END || ' |'"
+_CONTENTS = """'目录' || chr(10) || '管理层讨论与分析 3' || chr(10) || '公司治理 5' || CASE WHEN k % 4 = 1 THEN '' ELSE chr(10) || '合并资产负债表 7' || chr(10) || '合并利润表 9' END || chr(10) || '财务报表附注 11' || chr(10) || '财务报表补充资料 24'"""
+#: Page n of a report without notes: its texts by n.
+_PLAIN_PAGES = {
+    0: "'示例' || k || '保险股份有限公司' || chr(10) || 'Ledger of ' || name",
+    1: _CONTENTS,
+    2: "'管理层讨论与分析' || chr(10) || 'Business of ' || name",
+    3: "CASE WHEN k % 5 = 0 THEN '' ELSE 'More of it.' END",
+    4: "'公司治理' || chr(10) || 'The board of ' || name",
+    5: "CASE WHEN k % 4 = 1 THEN '合并及公司资产负债表 ' || (28 + k % 3) || chr(10) || '合并利润表 ' || (30 + k % 3) ELSE 'A page between.' END",
+    7: "'资产续表'",
+    9: "'利润续表'",
+    10: f"'财务报表附注' || {_TWO} || CASE WHEN k % 3 = 0 THEN '六、会计政策' || {_TWO} ELSE '' END || '2. 会计估计' || {_TWO} || 'Policies of ' || name",
+    22: f"CASE WHEN k % 3 = 0 THEN '八、其他披露' || {_TWO} || '14. 业务费用' WHEN k % 2 = 0 THEN '（续）14. 业务费用' || {_TWO} || 'More on costs' ELSE '3. 关联方' || {_TWO} || 'Related to ' || name END",
+    23: "'财务报表补充资料'",
+    24: "'End of ' || name",
+}
+LEDGER_PAGES = f"""SELECT cast(k AS string) AS report_id, cast(CASE WHEN n < 2 THEN n ELSE n + 22 + k % 3 END AS int) AS page_idx, text FROM (
+  {" UNION ALL ".join(f"SELECT k, {n} AS n, {text} AS text FROM (SELECT cast(s_suppkey AS int) AS k, s_name AS name FROM {{supplier}})" for n, text in _PLAIN_PAGES.items())}
+  UNION ALL SELECT k, i + 7, {_NOTE_PAGE} FROM ({LEDGER_NOTES})
+  UNION ALL SELECT k, n, min(head) || {{joined}} FROM (SELECT k, i, CASE WHEN i < 10 THEN 6 ELSE 8 END AS n, {_STATEMENT} AS head, {_STATEMENT_ROW} AS line FROM ({LEDGER_NOTES})) GROUP BY k, n
+)"""
+LEDGER_SQL = "pages AS (" + LEDGER_PAGES.format(lineitem="lineitem", supplier="supplier", joined="string_agg(line, '' ORDER BY i)") + ")"
+
+
+def ledger_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger reports, from all line items."""
+    return spark.sql(LEDGER_PAGES.replace("{joined}", "array_join(transform(array_sort(collect_list(struct(i, line))), x -> x.line), '')"), lineitem=read(spark, sf_dir, "lineitem"), supplier=read(spark, sf_dir, "supplier"))
