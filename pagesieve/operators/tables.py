@@ -1,6 +1,6 @@
 """HTML tables of pages: grids, Markdown and cleaned pages.
 
-Spark finds the tables and moves the rows; one vectorised helper parses a table at a time, and only tables reach it.
+Spark finds the tables and renders their grids by array functions; one vectorised helper parses a table at a time, and only tables reach it.
 """
 
 from __future__ import annotations
@@ -13,10 +13,10 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from ..functions.cleaning import bound, clean_special_symbols, made_once, plain_special_symbols, polish_readability
-from ..functions.text import strip_tags
+from ..functions.text import is_value_like, strip, strip_tags
 from .notes import strip_noise
 
 TABLE = r"(?is)<table.*?</table>"
@@ -93,88 +93,100 @@ def table_grid(source: str) -> list[list[Cell]]:
     return [row + [Cell()] * (width - len(row)) for row in grid] if width else []
 
 
-def _value_like(text: str) -> bool:
-    return re.fullmatch(r"[-—]|\(?-?\d+(?:\.\d+)?%?\)?", text.strip().replace(",", "")) is not None
-
-
-def _header_rows(grid: list[list[Cell]], merged: bool) -> int:
-    """One row; with merged cells the rows before the first row of values, or two if there is none."""
-    if not merged or len(grid) == 1:
-        return 1
-    width = len(grid[0])
-    enough = max(2, min(width - 1, max(1, width // 2)))
-    values = (i for i, row in enumerate(grid) if sum(_value_like(c.text) for c in row[1:]) >= enough)
-    rows = max(1, next(values, min(2, len(grid) - 1)))
-    return rows if rows < len(grid) else 1
-
-
-def _pipe(text: str) -> str:
-    return re.sub(r"\s{2,}", " ", re.sub(r"\s*\n\s*", " / ", text.replace("|", "\\|"))).strip()
-
-
-def _spread(row: list[Cell], at: int) -> str:
-    """The text over a column: its own, or that of a merged cell to its left that reaches it."""
-    reach = (c.text.strip() for i, c in reversed(list(enumerate(row[:at]))) if c.is_anchor and c.text.strip() and i + c.colspan > at)
-    return row[at].text.strip() or next(reach, "")
-
-
-def cleaned_rows(body: list[list[str]]) -> list[list[str]]:
-    """Blank rows go; rows without a label are totals, or go if they have no values or values seen before in the table."""
-    out, seen = [], set()
-    for label, *values in body:
-        filled = any(values)
-        if not label and (not filled or tuple(values) in seen):
-            continue
-        out.append([label or TOTAL, *values])
-        if filled:
-            seen.add(tuple(values))
-    return out
-
-
-def table_markdown(source: str) -> str:
-    """A Markdown table; with at least two section rows one titled table for each section."""
-    grid = table_grid(source)
-    if not grid:
-        return ""
-    merged = any(c.is_anchor and (c.rowspan > 1 or c.colspan > 1) for row in grid for c in row)
-    top = _header_rows(grid, merged)
-    header = []
-    for at in range(len(grid[0])):
-        parts = [_pipe(_spread(row, at)) for row in grid[:top]] if merged else [_pipe(grid[0][at].text)]
-        header.append(" / ".join(p for i, p in enumerate(filled) if i == 0 or filled[i - 1] != p) if (filled := [p for p in parts if p]) else "")
-    body = [[_pipe(c.text) for c in row] for row in grid[top:]]
-    if not header[0] and sum(bool(row[0]) for row in body) >= max(2, len(body) // 3):
-        header[0] = CORNER
-    body = cleaned_rows(body)
-    line = lambda cells: f"| {' | '.join(cells)} |"
-    head = [line(header), f"|{'|'.join(['---'] * len(header))}|"]
-    is_section = lambda row: bool(row[0]) and not any(row[1:])
-    if sum(map(is_section, body)) < 2:
-        return "\n".join(head + [line(row) for row in body])
-    parts: list[list[str]] = []
-    title: list[str] = []
-    for row in body:
-        if is_section(row):
-            title = [f"**{row[0]}**"]
-            parts.append([])
-            continue
-        if not parts:
-            parts.append([])
-        if not parts[-1]:
-            parts[-1] = [*title, *head]
-        parts[-1].append(line(row))
-    blocks = ["\n".join(p) for p in parts if p]
-    return "\n\n".join(blocks) or "\n".join(head + [line(row) for row in body])
-
-
 @F.pandas_udf(ArrayType(ArrayType(ArrayType(CELL))))
 def grids(tables: pd.Series) -> pd.Series:
     return pd.Series([[[[c._asdict() for c in row] for row in table_grid(x)] for x in own] for own in tables], dtype=object)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _markdowns(tables: pd.Series) -> pd.Series:
-    return pd.Series([[table_markdown(x) for x in own] for own in tables], dtype=object)
+def _shown(text: Column) -> Column:
+    """A cell's text within a table row: line breaks as slashes, bars escaped."""
+    return strip(F.regexp_replace(F.regexp_replace(F.replace(text, F.lit("|"), F.lit("\\|")), r"(?U)\s*\n\s*", " / "), r"(?U)\s{2,}", " "))
+
+
+def _row_line(cells: Column) -> Column:
+    return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+
+
+def header_depth(grid: Column) -> Column:
+    """How many rows of a grid are its header: one; with merged cells the rows before the first row of values, or two if there is none."""
+    width, height = F.size(grid[0]), F.size(grid)
+    enough = F.greatest(F.lit(2), F.least(width - 1, F.greatest(F.lit(1), F.floor(width / 2).cast("int"))))
+    with_values = F.transform(grid, lambda row: F.size(F.filter(F.slice(row, F.lit(2), F.size(row)), lambda c: is_value_like(c["text"]))) >= enough)
+    first = F.coalesce(F.nullif(F.array_position(with_values, True), F.lit(0)) - 1, F.least(F.lit(2), height - 1))
+    merged = F.exists(F.flatten(grid), lambda c: c["is_anchor"] & ((c["rowspan"] > 1) | (c["colspan"] > 1)))
+    return F.when(merged & (height > 1) & (first > 1) & (first < height), first.cast("int")).otherwise(1)
+
+
+def header_cells(grid: Column, depth: Column) -> Column:
+    """The header of each column: what stands over it from top to bottom, once where it repeats. A merged cell stands over all its columns."""
+    placed = F.transform(grid, lambda row: F.transform(row, lambda c, i: F.struct(i.alias("i"), strip(c["text"]).alias("text"), F.when(c["is_anchor"], i + c["colspan"]).otherwise(0).alias("until"))))
+
+    def over(row: Column, at: Column) -> Column:
+        # the nearest filled cell to the left that reaches this column; the column's own is the nearest of all
+        reaching = F.filter(row, lambda c: (c["text"] != "") & (c["i"] <= at) & ((c["i"] == at) | (c["until"] > at)))
+        return F.when(F.size(reaching) > 0, _shown(F.element_at(reaching, -1)["text"])).otherwise(F.lit(""))
+
+    def column(at: Column) -> Column:
+        parts = F.filter(F.transform(F.slice(placed, F.lit(1), depth), lambda row: over(row, at)), lambda x: x != "")
+        return F.array_join(bound(parts, lambda p: F.filter(F.transform(p, lambda x, i: F.when((i == 0) | (F.get(p, i - 1) != x), x)), lambda x: x.isNotNull())), " / ")
+
+    return F.transform(F.sequence(F.lit(0), F.size(grid[0]) - 1), column)
+
+
+def cleaned_rows(body: Column) -> Column:
+    """Rows of texts, the label first: blank ones go; those without a label are totals, or go if they have no values or values that some row before has.
+
+    A table's rows are at hand as one array, so the first row with the same values is looked up there and nothing is shuffled.
+    """
+
+    def rows(marked: Column) -> Column:
+        values = F.transform(marked, lambda m: m["values"])
+        first = lambda m: (m["filled"]) & (F.array_position(values, m["values"]) - 1 == m["i"])
+        kept = F.filter(marked, lambda m: (m["label"] != "") | first(m))
+        return F.transform(kept, lambda m: F.concat(F.array(F.when(m["label"] != "", m["label"]).otherwise(TOTAL)), m["values"]))
+
+    rest = lambda row: F.slice(row, F.lit(2), F.size(row))
+    return bound(F.transform(body, lambda row, i: F.struct(row[0].alias("label"), rest(row).alias("values"), F.exists(rest(row), lambda x: x != "").alias("filled"), i.alias("i"))), rows)
+
+
+def _sectioned(head: Column, body: Column) -> Column:
+    """Header lines and rows as Markdown; with at least two section rows one titled table for each section that has rows."""
+    is_title = lambda row: (row[0] != "") & F.forall(F.slice(row, F.lit(2), F.size(row)), lambda x: x == "")
+
+    def text(rows: Column) -> Column:
+        whole = F.concat_ws("\n", head, F.transform(rows, lambda r: _row_line(r["row"])))
+        titles = F.filter(rows, lambda r: r["title"])
+
+        def part(n: Column) -> Column:
+            own = F.filter(rows, lambda r: ~r["title"] & (r["section"] == n))
+            named = F.when(n > 0, F.concat(F.lit("**"), F.get(titles, n - 1)["row"][0], F.lit("**")))
+            return F.when(F.size(own) > 0, F.concat_ws("\n", named, head, F.transform(own, lambda r: _row_line(r["row"]))))
+
+        parts = F.array_join(F.transform(F.sequence(F.lit(0), F.size(titles)), part), "\n\n")
+        return F.when((F.size(titles) < 2) | (parts == ""), whole).otherwise(parts)
+
+    flagged = F.transform(body, lambda row: F.struct(row.alias("row"), is_title(row).alias("title")))
+    counted = bound(flagged, lambda f: F.transform(f, lambda r, i: F.struct(r["row"].alias("row"), r["title"].alias("title"), F.size(F.filter(F.slice(f, F.lit(1), i + 1), lambda x: x["title"])).alias("section"))))
+    return bound(counted, text)
+
+
+def grid_markdown(grid: Column) -> Column:
+    """The Markdown of a grid, or an empty text for one without rows."""
+
+    def rendered(t: Column) -> Column:
+        body = F.transform(F.slice(t["grid"], t["depth"] + 1, F.size(t["grid"])), lambda row: F.transform(row, lambda c: _shown(c["text"])))
+        labels = lambda b: F.size(F.filter(b, lambda row: row[0] != "")) >= F.greatest(F.lit(2), F.floor(F.size(b) / 3).cast("int"))
+
+        def whole(x: Column) -> Column:
+            corner = F.when((x["header"][0] == "") & labels(x["body"]), F.lit(CORNER)).otherwise(x["header"][0])
+            header = F.concat(F.array(corner), F.slice(x["header"], F.lit(2), F.size(x["header"])))
+            rule = F.concat(F.lit("|"), F.array_join(F.transform(header, lambda _: F.lit("---")), "|"), F.lit("|"))
+            return _sectioned(F.concat(_row_line(header), F.lit("\n"), rule), cleaned_rows(x["body"]))
+
+        return bound(F.struct(header_cells(t["grid"], t["depth"]).alias("header"), body.alias("body")), whole)
+
+    made = bound(F.struct(grid.alias("grid"), header_depth(grid).alias("depth")), rendered)
+    return F.when(F.size(grid) > 0, made).otherwise(F.lit(""))
 
 
 def tables_of(text: Column) -> Column:
@@ -215,7 +227,7 @@ def clean_pages(pages: DataFrame) -> DataFrame:
     """pages (report_id, page_idx, text, noise and more) with the text as short documents show it: tables in Markdown, tags dropped,
     symbols and residue cleaned, headers and footers stripped. noise: the report's own noise lines, or null."""
     parts = F.split(F.col("text"), TABLE, -1)
-    held = pages.withColumn("_md", _markdowns(tables_of(F.col("text"))))
+    held = pages.withColumn("_md", F.transform(grids(tables_of(F.col("text"))), grid_markdown))
     joined = F.array_join(F.zip_with(parts, F.col("_md"), lambda a, b: F.concat(a, F.coalesce(F.concat(F.lit("\n\n"), b, F.lit("\n\n")), F.lit("")))), "")
     marked = held.withColumn("text", F.when(F.size("_md") > 0, joined).otherwise(F.coalesce("text", F.lit("")))).drop("_md")
     clean = polish_readability(clean_special_symbols(strip_tags(F.col("text"))))

@@ -18,7 +18,7 @@ from ..operators import themes as T
 from ..operators import toc as C
 from ..sources import files
 from . import jobs
-from .standins import COMPOSED_SQL, DOCUMENTS_SQL, ITEMS_SQL, composed_pages, conversation_items, document_pages, read
+from .standins import COMPOSED_SQL, DOCUMENTS_SQL, ITEMS_SQL, SEGMENTS_SQL, composed_pages, conversation_items, document_pages, read, spanned_pages
 
 KEYWORDS = ("License", "Apache", "token", "worthless")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +93,23 @@ def theme_context(spark, sf_dir):
     return T.assemble_slim(pages.join(T.context_pages(best), ["report_id", "page_idx"]))
 
 
+#: Ten themes; some keywords lie within others, some are shared.
+THEMES = {
+    "licence": ("License", "Licensed", "Apache License", "Apache"), "rights": ("rights", "All rights reserved", "reserved"), "tone": ("worthless", "stupid", "pathetic"), "secrets": ("token", "password", "secret"), "code": ("api_key", "AKIA", "token"),
+    "terms": ("Terms", "Public License", "General Public License"), "mail": ("example", "mail"), "copy": ("Copyright", "copy", "right"), "none": ("no such word at all", "absent"), "cards": ("card", "phone"),
+}
+_THEME_WORDS = ", ".join(f"('{n}', {i}, '{k}')" for n, own in THEMES.items() for i, k in enumerate(own))
+
+
+@query(f"""WITH {DOCUMENTS_SQL}, words AS (SELECT * FROM (VALUES {_THEME_WORDS}) v(theme, i, word)), cleaned AS (SELECT *, {_NOTE_TEXT} AS clean FROM pages),
+found AS (SELECT report_id, page_idx, theme, text, clean, sum(greatest(10, least(3 * length(word), 30))) AS score, string_agg(word, ',' ORDER BY i) AS matched_keywords, arg_min(instr(clean, word), i) AS first FROM cleaned JOIN words ON contains(clean, word) GROUP BY ALL)
+SELECT report_id, page_idx, theme, cast(score + CASE WHEN contains(text, '<table>') THEN 15 ELSE 0 END AS int) AS score, matched_keywords, regexp_replace(substring(clean, greatest(1, first - 120), first + 500 - greatest(1, first - 120)), '^\\s+|\\s+$', '', 'g') AS excerpt FROM found""")
+def hits_of_themes(spark, sf_dir):
+    """Ten themes in one pass over the pages."""
+    hits = T.hits_of_themes(document_pages(spark, sf_dir), THEMES)
+    return hits.withColumn("matched_keywords", F.array_join("matched_keywords", ","))
+
+
 @query(f"WITH {DOCUMENTS_SQL}, {_HITS}, {_TOP}, {_CONTEXT} SELECT report_id, pages, length(markdown) AS chars, cast(floor(length(markdown) / 1.5) AS bigint) AS est_tokens FROM slim")
 def run_summary(spark, sf_dir):
     return P.run_summary(theme_context(spark, sf_dir)).withColumn("chars", F.col("chars").cast("long"))
@@ -477,6 +494,42 @@ def cleaned_tables(spark, sf_dir):
     return B.clean_pages(pages).select("report_id", "text")
 
 
+_HEAD_LINES = "'| 项目 | 2025年 / 户数 | 2025年 / 余额 |' || chr(10) || '|---|---|---|'"
+#: The rows that stay, with the section that they stand in: a total by its own values, unless a row has them, then one without a balance.
+_STAYING = f"""segments AS ({SEGMENTS_SQL}), totals AS (SELECT k, min(m) AS m, min(n) AS n, min(cents) AS cents FROM segments GROUP BY k), staying AS (
+  SELECT k, row_no AS place, CASE WHEN k % 2 = 1 OR m < 4 OR row_no < 2 THEN 0 WHEN row_no < 4 THEN 1 ELSE 2 END AS part, name || CASE WHEN row_no = 3 THEN ' / a\\|b' ELSE '' END AS label, n, cents FROM segments
+  UNION ALL SELECT k, 100, CASE WHEN k % 2 = 1 OR m < 4 THEN 0 ELSE 2 END, '合计', n, cents FROM totals t WHERE NOT EXISTS (SELECT 1 FROM segments s WHERE s.k = t.k AND s.n = t.n AND s.cents = t.cents)
+  UNION ALL SELECT k, 101, CASE WHEN k % 2 = 1 OR m < 4 THEN 0 ELSE 2 END, '合计', n, '-' FROM totals
+), blocks AS (
+  SELECT k, part, CASE part WHEN 1 THEN '**甲部**' || chr(10) WHEN 2 THEN '**乙部**' || chr(10) ELSE '' END || {_HEAD_LINES} || string_agg(chr(10) || '| ' || label || ' | ' || n || ' | ' || cents || ' |', '' ORDER BY place) AS block FROM staying GROUP BY k, part
+)"""
+
+
+@query(f"WITH {_STAYING} SELECT cast(k AS varchar) AS report_id, 'Before.' || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY part) || chr(10) || chr(10) || 'After.' AS text FROM blocks GROUP BY k")
+def spanned_tables(spark, sf_dir):
+    """Tables with merged header cells, line breaks, blank labels, repeated totals and section rows, in cleaned pages."""
+    pages = spanned_pages(spark, sf_dir).withColumn("noise", F.lit(None).cast("array<string>"))
+    return B.clean_pages(pages).select("report_id", "text")
+
+
+@query(f"""WITH {_STAYING} SELECT cast(k AS varchar) AS report_id, cast(row_number() OVER (PARTITION BY k ORDER BY place, part) - 1 AS int) AS row_no, label || ';' || n || ';' || cents AS cells
+FROM (SELECT k, place, 1 AS part, replace(replace(label, ' / a', chr(10) || 'a'), '\\|', '|') AS label, n, cents FROM staying UNION ALL SELECT DISTINCT k, 2, 0, '甲部', '', '' FROM staying WHERE part = 2 UNION ALL SELECT DISTINCT k, 4, 0, '乙部', '', '' FROM staying WHERE part = 2)""")
+def table_row_cleanup(spark, sf_dir):
+    """The rows of each table below its header, without blank and repeated ones."""
+    rows = B.table_rows(spanned_pages(spark, sf_dir)).where("row_no >= 2")
+    body = rows.groupBy("report_id", "page_idx", "table_no").agg(P.ordered("cells", "row_no").alias("body"))
+    cleaned = body.select("report_id", F.posexplode(B.cleaned_rows(F.col("body"))).alias("row_no", "cells"))
+    return cleaned.withColumn("cells", F.array_join("cells", ";"))
+
+
+@query(f"""WITH segments AS ({SEGMENTS_SQL}), heads AS (SELECT DISTINCT k FROM segments)
+SELECT cast(k AS varchar) AS report_id, row_no, col_no, text, rowspan, colspan, is_anchor FROM heads CROSS JOIN (VALUES (0, 0, '项目', 2, 1, true), (0, 1, '2025年', 1, 2, true), (0, 2, '', 1, 2, false), (1, 0, '', 2, 1, false), (1, 1, '户数', 1, 1, true), (1, 2, '余额', 1, 1, true)) v(row_no, col_no, text, rowspan, colspan, is_anchor)""")
+def header_grid(spark, sf_dir):
+    """Header cells with what they cover."""
+    cells = B.table_cells(spanned_pages(spark, sf_dir)).where("is_header")
+    return cells.select("report_id", "row_no", "col_no", "text", "rowspan", "colspan", "is_anchor")
+
+
 @query(f"""WITH {COMPOSED_SQL} SELECT report_id, min(page_idx) AS start_page_idx, coalesce(min(CASE WHEN contains(text, '补充资料') AND NOT contains(text, '目录') THEN page_idx END) - 1, max(page_idx)) AS end_page_idx
 FROM pages JOIN (SELECT report_id, min(page_idx) AS s FROM pages WHERE NOT (page_idx <= 20 AND contains(text, '目录')) AND regexp_matches(substring(text, 1, 220), '财务报表附注') GROUP BY 1) USING (report_id) WHERE page_idx >= s GROUP BY 1""")
 def note_windows(spark, sf_dir):

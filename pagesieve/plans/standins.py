@@ -123,3 +123,20 @@ LEDGER_SQL = "pages AS (" + LEDGER_PAGES.format(lineitem="lineitem", supplier="s
 def ledger_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger reports, from all line items."""
     return spark.sql(LEDGER_PAGES.replace("{joined}", "array_join(transform(array_sort(collect_list(struct(i, line))), x -> x.line), '')"), lineitem=read(spark, sf_dir, "lineitem"), supplier=read(spark, sf_dir, "supplier"))
+
+
+#: A page for each nation with a table of its customers by segment: a header of two rows with merged cells, line breaks, bars, labels left blank,
+#: repeated totals, a blank row; for nations with an even number and four segments section rows that split it.
+_SEGMENTS = f"""SELECT k, row_no, m, name, {_grouped('n')} AS n, {_grouped('cents')} AS cents FROM (
+  SELECT cast(c_nationkey AS int) AS k, cast(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS int) AS row_no, cast(count(*) OVER (PARTITION BY c_nationkey) AS int) AS m, c_mktsegment AS name, count(*) AS n, cast(sum(abs(round(c_acctbal * 100))) AS bigint) AS cents FROM {{customer}} GROUP BY c_nationkey, c_mktsegment
+)"""
+_TR = "'<tr><td>' || {0} || '</td><td>' || {1} || '</td><td>' || {2} || '</td></tr>'"
+_SEGMENT_ROW = f"CASE WHEN k % 2 = 0 AND m >= 4 AND row_no = 2 THEN {_TR.format("'甲部'", "''", "''")} WHEN k % 2 = 0 AND m >= 4 AND row_no = 4 THEN {_TR.format("'乙部'", "''", "''")} ELSE '' END || CASE WHEN row_no = 3 THEN '<tr><td>' || name || '<br>a|b</td><td>' || n || '</td><td>' || cents || '</td></tr>' ELSE {_TR.format('name', 'n', 'cents')} END"
+_SPANNED_HEAD = "'<table><tr><th rowspan=\"2\">项目</th><th colspan=\"2\">2025年</th></tr><tr><th>户数</th><th>余额</th></tr>'"
+_SPANNED_TAIL = f"{_TR.format(chr(39) * 2, 'min(n)', 'min(cents)')} || {_TR.format(chr(39) * 2, 'min(n)', chr(39) + '-' + chr(39))} || {_TR.format(chr(39) * 2, 'min(n)', chr(39) + '-' + chr(39))} || {_TR.format(chr(39) * 2, chr(39) * 2, chr(39) * 2)}"
+SPANNED_PAGES = f"SELECT cast(k AS string) AS report_id, cast(30 AS int) AS page_idx, 'Before.' || {_SPANNED_HEAD} || {{joined}} || {_SPANNED_TAIL} || '</table>After.' AS text FROM (SELECT *, {_SEGMENT_ROW} AS line FROM ({_SEGMENTS})) GROUP BY k"
+SEGMENTS_SQL = _SEGMENTS.format(customer="customer")
+
+
+def spanned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(SPANNED_PAGES.replace("{joined}", "array_join(transform(array_sort(collect_list(struct(row_no, line))), x -> x.line), '')"), customer=read(spark, sf_dir, "customer"))
