@@ -19,7 +19,8 @@ A document's set holds its distinct word shingles. Two documents link when
 5. In the larger clusters, only cells that hold sets of several classes are looked at again, first with their leaders,
    and what is then still open as whole cells. A cell with more than ``BLOCK`` sets outside its main class is crowded. Linked
    sets share three parts (by MinHash all but 3e-9 of pairs at the limit share two cells): they meet in a cell that isn't
-   crowded, or share two crowded ones or one and an empty part, so crowded cells are split by pairs of these. What moves grows with the cells that sets share and not with the square of a cluster. Links between
+   crowded, or share two crowded ones or one and an empty part, so crowded cells are split by pairs of these. What moves grows with the cells that sets share and not with the square of a cluster;
+   where the blocks of a whole cluster, in pairs, are fewer seats still, they are taken. Links between
    members of one class cannot change the classes, so nothing is lost.
 
 Shingles and sets are compared by 64-bit hashes.
@@ -294,7 +295,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, cover: s
     seats = F.explode(F.concat(F.array(F.struct("unit", "block")), led))
     dealt = rows.select("set_key", F.col("set_key").alias("class"), "shingles", seats.alias("seat")).select("seat.*", "set_key", "class", "shingles")
     links = _linked(dealt, percent)
-    large = rows.where("large").select("set_key", "shingles").dropDuplicates(["set_key"])
+    large = rows.where("large").select("set_key", "cluster", "shingles").dropDuplicates(["set_key"])
     if not large.isEmpty():
         for found in _reopened(celled, shared, large, links, percent):
             links = links.unionByName(found)
@@ -302,15 +303,15 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, cover: s
 
 
 def _seats(clusters: DataFrame, star: DataFrame) -> DataFrame:
-    """(set_key, unit, block, led, large) of every set in a cluster: its block, and how many blocks it leads besides."""
+    """(set_key, cluster, unit, block, led, large) of every set in a cluster: its block, and how many blocks it leads besides."""
     sizes = clusters.groupBy("root").agg((F.count("*") > BLOCK).alias("large"))
     named = clusters.join(sizes, "root").select(F.col("node").alias("set_key"), "root", "large")
     homes = star.groupBy(F.col("b").alias("set_key")).agg(F.min("a").alias("home"))
-    named = named.join(homes, "set_key", "left").select("set_key", "large", F.when(F.col("large"), F.coalesce("home", "set_key")).otherwise(F.col("root")).alias("unit"))
+    named = named.join(homes, "set_key", "left").select("set_key", F.col("root").alias("cluster"), "large", F.when(F.col("large"), F.coalesce("home", "set_key")).otherwise(F.col("root")).alias("unit"))
     units = stage(named.groupBy("unit").agg(_blocks(F.count("*")).alias("blocks")))
     led = units.select(F.col("unit").alias("set_key"), F.col("blocks").alias("led"))
     seated = named.join(units, "unit").join(led, "set_key", "left")
-    return seated.select("set_key", "unit", _block_of("blocks").alias("block"), F.when(F.col("large"), F.coalesce("led", F.lit(0))).otherwise(0).alias("led"), "large")
+    return seated.select("set_key", "cluster", "unit", _block_of("blocks").alias("block"), F.when(F.col("large"), F.coalesce("led", F.lit(0))).otherwise(0).alias("led"), "large")
 
 
 def _with_classes(held: DataFrame, links: DataFrame) -> DataFrame:
@@ -356,10 +357,29 @@ def _in_units(members: DataFrame, alike: DataFrame) -> DataFrame:
     return _dealt(members.join(once, "cell").select(F.col("cell").alias("unit"), "set_key", "class"))
 
 
+def _cheaper(dealt: DataFrame, clusters: DataFrame) -> DataFrame:
+    """dealt (as _dealt() gives it), where the units of a cluster would seat its sets more often than all its blocks in pairs do, with the cluster as one unit.
+
+    Sets of one unit are of one cluster, so no two of them miss each other. clusters: (set_key, cluster). Seats are counted from the
+    sizes of the units; none is made for it.
+    """
+    outer, inner = _blocks(F.col("outside")), _blocks(F.col("inside"))
+    own = F.when(F.col("total") <= BLOCK, 1).when(F.col("class") == F.col("main"), outer).otherwise(outer + inner)
+    seated = dealt.groupBy("set_key").agg(F.sum(own).alias("seats")).join(clusters, "set_key")
+    costs = seated.groupBy("cluster").agg(F.sum("seats").alias("seats"), F.count("*").alias("sets"))
+    dense = stage(costs.where(F.col("seats") > F.col("sets") * _blocks(F.col("sets"))).select("cluster"))
+    if dense.isEmpty():
+        return dealt
+    named = dealt.join(clusters.join(dense, "cluster"), "set_key", "left")
+    whole = _dealt(stage(named.where("cluster is not null").select(F.col("cluster").alias("unit"), "set_key", "class").distinct()))
+    return named.where("cluster is null").drop("cluster").unionByName(whole)
+
+
 def cell_seats(held: DataFrame, parts: DataFrame) -> DataFrame:
-    """held: (set_key, class, cell); parts: (set_key, parts), what a set may share besides its cells. (unit, block, set_key) so
+    """held: (set_key, class, cell, cluster); parts: (set_key, parts), what a set may share besides its cells. (unit, block, set_key) so
     that any two sets of different classes meet in a block if they share a cell that isn't split, or one that is and a
-    second that is too, or one that is and a part. Sets that share any cell that isn't split need no seat for the others."""
+    second that is too, or one that is and a part. Sets that share any cell that isn't split need no seat for the others.
+    In a cluster whose sets share so many cells that pairs of blocks of all its sets are fewer seats, those are taken."""
     alike = stage(_alike(held))
     first = stage(_in_units(held, alike))
     both, hot = first.where(F.col("outside") <= BLOCK), first.where(F.col("outside") > BLOCK)
@@ -372,6 +392,7 @@ def cell_seats(held: DataFrame, parts: DataFrame) -> DataFrame:
         pairs = F.flatten(F.transform("own", lambda p, i: F.transform(other(i), lambda q: F.xxhash64(F.least(p, q), F.greatest(p, q)))))
         split = stage(own.select("set_key", "class", F.explode(pairs).alias("cell")))
         both = both.unionByName(_in_units(split, _alike(split)))
+    both = _cheaper(stage(both), held.select("set_key", "cluster").distinct())
     outer, inner = _blocks(F.col("outside")), _blocks(F.col("inside"))
     is_main = F.col("class") == F.col("main")
     own = F.when(is_main, outer + _block_of(inner)).otherwise(_block_of(outer))
@@ -384,9 +405,9 @@ def _reopened(celled: DataFrame, shared: DataFrame, large: DataFrame, links: Dat
     """Links in the cells of larger clusters whose sets the links so far leave in several classes."""
     parts = celled.select("set_key", F.col("empty").alias("parts")).where(F.size("parts") > 0)
     for seats_of in (leader_seats, lambda held: cell_seats(held, parts)):
-        classes = stage(_with_classes(large.select("set_key"), links))
+        classes = stage(_with_classes(large.select("set_key", "cluster"), links))
         seats = seats_of(stage(shared.select("cell", "set_key").join(classes, "set_key")))
-        found = _linked(seats.join(large.join(classes, "set_key"), "set_key").select("unit", "block", "set_key", "class", "shingles"), percent)
+        found = _linked(seats.join(large.select("set_key", "shingles").join(classes, "set_key"), "set_key").select("unit", "block", "set_key", "class", "shingles"), percent)
         yield found
         links = links.unionByName(found)
 

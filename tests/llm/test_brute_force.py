@@ -98,7 +98,7 @@ def test_sets_of_one_cluster_move_in_proportion(spark):
     """20,000 sets in one cluster, a chain in which all share a cell and no two are linked: a few seats for each."""
     seats = []
     for n in (5_000, 20_000):
-        held = spark.range(n).selectExpr("id as set_key", "id as class", "explode(array(-1L, id * 10, (id + 1) * 10)) as cell")
+        held = spark.range(n).selectExpr("id as set_key", "id as class", "explode(array(-1L, id * 10, (id + 1) * 10)) as cell", "0L as cluster")
         parts = held.groupBy("set_key").agg(F.collect_list("cell").alias("parts"))
         seats.append([signature_tree_join.leader_seats(held).count(), signature_tree_join.cell_seats(held, parts).count()])
     for few, many in zip(*seats, strict=True):
@@ -111,7 +111,7 @@ def test_sets_that_share_crowded_cells_meet(spark, monkeypatch):
     rng = np.random.default_rng(11)
     cells = {k: sorted({int(c) for c in rng.integers(1, 9, 5)}) for k in range(40)}
     empty = {k: sorted({int(c) for c in rng.integers(20, 22, 2)}) for k in range(40)}
-    held = spark.createDataFrame([(k, k % 25, c) for k, own in cells.items() for c in own], "set_key long, class long, cell long")
+    held = spark.createDataFrame([(k, k % 25, c) for k, own in cells.items() for c in own], "set_key long, class long, cell long").withColumn("cluster", F.lit(1))
     parts = spark.createDataFrame(list(empty.items()), "set_key long, parts array<long>")
     blocks = {}
     for r in signature_tree_join.cell_seats(held, parts).collect():
@@ -123,6 +123,21 @@ def test_sets_that_share_crowded_cells_meet(spark, monkeypatch):
             assert (x, y) in met
 
 
+def test_sets_of_a_dense_cluster_meet_in_its_blocks(spark, monkeypatch):
+    """300 sets, each in many of 40 cells: no more seats than all blocks in pairs, and each two sets of different classes meet. A sparse cluster keeps its cells."""
+    monkeypatch.setattr(signature_tree_join, "BLOCK", 10)
+    rng = np.random.default_rng(4)
+    rows = [(k, k, int(c), 0) for k in range(300) for c in rng.choice(40, 25, replace=False)] + [(k, k, 1000 + k // 2, 1) for k in range(300, 340)] + [(k, k, 1000 + (k + 1) // 2, 1) for k in range(300, 340)]
+    held = spark.createDataFrame(rows, "set_key long, class long, cell long, cluster long")
+    seats = signature_tree_join.cell_seats(held, held.groupBy("set_key").agg(F.array().cast("array<bigint>").alias("parts"))).collect()
+    assert sum(r["set_key"] < 300 for r in seats) <= 300 * 31 and sum(r["set_key"] >= 300 for r in seats) <= 80
+    blocks = {}
+    for r in seats:
+        blocks.setdefault((r["unit"], r["block"]), set()).add(r["set_key"])
+    met = {pair for b in blocks.values() for pair in combinations(sorted(b), 2)}
+    assert all(pair in met for pair in combinations(range(300), 2)) and (300, 301) in met and (301, 302) in met
+
+
 def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
     texts = ["a bb  ccc\n" * 50, None, "", "éé ü", "x" * 500 + " y"]
     whole = [h.tolist() for h in words.word_hashes(texts)]
