@@ -30,10 +30,6 @@ def is_separator_row(cells: Column) -> Column:
     return (F.size(cells) > 0) & F.forall(cells, lambda c: c.rlike(r"^:?-{3,}:?\z"))
 
 
-def is_section_row(cells: Column) -> Column:
-    return (F.get(cells, F.lit(0)) != "") & F.forall(F.slice(cells, 2, F.greatest(F.size(cells), F.lit(1))), lambda c: c == "")
-
-
 def statement_note_refs(docs: DataFrame) -> DataFrame:
     """(report_id, statement, ord, item_name, note_key, note_no, note_subref, current_amount, prior_amount).
 

@@ -61,6 +61,12 @@ def find_pages(pages: DataFrame, patterns: Sequence[str], start: int | None = No
     return pages.where(hit)
 
 
+def page_range(pages: DataFrame, spans: DataFrame) -> DataFrame:
+    """The pages within their report's span (report_id, start_page_idx, end_page_idx), bounds included; absent numbers are passed over."""
+    inside = F.col("page_idx").between(F.col("start_page_idx"), F.col("end_page_idx"))
+    return pages.join(spans.select("report_id", "start_page_idx", "end_page_idx"), "report_id").where(inside).drop("start_page_idx", "end_page_idx")
+
+
 def find_first_page(pages: DataFrame, patterns: Sequence[str]) -> DataFrame:
     return find_pages(pages, patterns, skip_toc=True).groupBy("report_id").agg(F.min("page_idx").alias("page_idx"))
 

@@ -103,6 +103,11 @@ def _shown(text: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(F.replace(text, F.lit("|"), F.lit("\\|")), r"(?U)\s*\n\s*", " / "), r"(?U)\s{2,}", " "))
 
 
+def is_section_row(cells: Column) -> Column:
+    """A label and nothing else."""
+    return (cells[0] != "") & F.forall(F.slice(cells, F.lit(2), F.size(cells)), lambda x: x == "")
+
+
 def _row_line(cells: Column) -> Column:
     return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
 
@@ -151,8 +156,6 @@ def cleaned_rows(body: Column) -> Column:
 
 def _sectioned(head: Column, body: Column) -> Column:
     """Header lines and rows as Markdown; with at least two section rows one titled table for each section that has rows."""
-    is_title = lambda row: (row[0] != "") & F.forall(F.slice(row, F.lit(2), F.size(row)), lambda x: x == "")
-
     def text(rows: Column) -> Column:
         whole = F.concat_ws("\n", head, F.transform(rows, lambda r: _row_line(r["row"])))
         titles = F.filter(rows, lambda r: r["title"])
@@ -165,7 +168,7 @@ def _sectioned(head: Column, body: Column) -> Column:
         parts = F.array_join(F.transform(F.sequence(F.lit(0), F.size(titles)), part), "\n\n")
         return F.when((F.size(titles) < 2) | (parts == ""), whole).otherwise(parts)
 
-    flagged = F.transform(body, lambda row: F.struct(row.alias("row"), is_title(row).alias("title")))
+    flagged = F.transform(body, lambda row: F.struct(row.alias("row"), is_section_row(row).alias("title")))
     counted = bound(flagged, lambda f: F.transform(f, lambda r, i: F.struct(r["row"].alias("row"), r["title"].alias("title"), F.size(F.filter(F.slice(f, F.lit(1), i + 1), lambda x: x["title"])).alias("section"))))
     return bound(counted, text)
 

@@ -36,8 +36,7 @@ def missing_toc(pages: DataFrame) -> DataFrame:
 def extract_theme(pages: DataFrame, keywords: Sequence[str], min_score: int = T.MIN_SCORE, most: int = T.MAX_HITS, windows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(best hits, windows of all hits). windows: (report_id, start_page_idx, end_page_idx), the only pages that count, as note_windows() gives them."""
     if windows is not None:
-        inside = F.col("page_idx").between(F.col("start_page_idx"), F.col("end_page_idx"))
-        pages = pages.join(windows, "report_id").where(inside).drop("start_page_idx", "end_page_idx")
+        pages = P.page_range(pages, windows)
     hits = T.theme_hits(pages, keywords, min_score)
     return T.top_hits(hits, most), T.consecutive_windows(hits)
 

@@ -329,6 +329,26 @@ def report_names(spark, sf_dir):
     return named.select("report_id", files.report_id_from_path(F.concat(F.lit("/in/"), "name")).alias("stem"), files.classify_report(F.col("name")).alias("kind"))
 
 
+_COMPANY = "'示例' || report_id || '保险股份有限公司'"
+#: Blanks within numbers go, line breaks too; then runs of blanks.
+_HEADED = _sql(f"({_COMPANY} || chr(10) || text || chr(10) || page_idx)", *_SYMBOLS[:3], ("[^\\S\\n]{2,}", "' '"))
+_STAYS = "trim(x) <> '' AND trim(x) <> company AND NOT regexp_full_match(trim(x), '[0-9]{1,4}|财务报表|审计报告|关于我们') AND (starts_with(trim(x), '|') OR length(trim(x)) > 14 OR regexp_matches(x, '[，。；：？！,.%()（）]') OR regexp_matches(x, '[A-Za-z]{3,}'))"
+
+
+def _cut(lines: str) -> str:
+    return f"{lines}[coalesce(nullif(list_position(list_transform({lines}[1:8], lambda x: {_STAYS}), true), 0), least(8, len({lines})) + 1):]"
+
+
+@query(f"""WITH {COMPOSED_SQL}, headed AS (SELECT report_id, page_idx, {_COMPANY} AS company, string_split({_HEADED}, chr(10)) AS l FROM pages WHERE page_idx > 20),
+topped AS (SELECT report_id, page_idx, company, list_reverse({_cut("l")}) AS l FROM headed)
+SELECT report_id, page_idx, regexp_replace(array_to_string(list_reverse({_cut("l")}), chr(10)), '^\\s+|\\s+$', '', 'g') AS text FROM topped""")
+def page_headers(spark, sf_dir):
+    """Pages under their company's name and over their number: both go, with the short lines beside them."""
+    pages = composed_pages(spark, sf_dir)
+    body = pages.where("page_idx > 20").selectExpr("report_id", "page_idx", "concat('示例', report_id, '保险股份有限公司', chr(10), text, chr(10), page_idx) AS text")
+    return jobs.cleaned(body, pages).select("report_id", "page_idx", "text")
+
+
 _LINES = "rows AS (SELECT report_id, page_idx, cast(unnest(range(0, len(l))) AS int) AS line_no, unnest(l) AS line FROM (SELECT report_id, page_idx, string_split(text, chr(10)) AS l FROM pages))"
 
 
@@ -414,10 +434,10 @@ def statement_note_refs(spark, sf_dir):
 
 
 @query(f"""WITH {COMPOSED_SQL}, {_REFS} SELECT report_id, statement, note_key, note_no, note_subref, min(ord) AS ord, string_agg(item_name, ';' ORDER BY ord) AS items,
- string_agg(concat_ws(';', nullif(current_amount, '-'), CASE WHEN prior_amount <> current_amount THEN nullif(prior_amount, '-') END), ';' ORDER BY ord) AS amounts FROM refs GROUP BY ALL""")
+ string_agg(item_name || CASE WHEN contains(item_name, '（') THEN ';' || regexp_replace(item_name, '（[^（）]*）', '') ELSE '' END, ';' ORDER BY ord) AS terms, string_agg(concat_ws(';', nullif(current_amount, '-'), CASE WHEN prior_amount <> current_amount THEN nullif(prior_amount, '-') END), ';' ORDER BY ord) AS amounts FROM refs GROUP BY ALL""")
 def ref_groups(spark, sf_dir):
     groups = N.group_refs(N.statement_note_refs(_statements(spark, sf_dir)))
-    return groups.select("report_id", "statement", "note_key", "note_no", "note_subref", "ord", F.array_join("items", ";").alias("items"), F.array_join("amounts", ";").alias("amounts"))
+    return groups.select("report_id", "statement", "note_key", "note_no", "note_subref", "ord", *[F.array_join(c, ";").alias(c) for c in ("items", "terms", "amounts")])
 
 
 def _note_pages(spark, sf_dir) -> DataFrame:

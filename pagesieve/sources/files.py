@@ -51,6 +51,32 @@ def write_pages(pages: DataFrame, path: str) -> None:
     pages.write.mode("overwrite").parquet(path)
 
 
+#: Buckets of a stored page table; each holds some reports whole.
+BUCKETS = 64
+
+
+def stored_pages(spark: SparkSession, name: str) -> DataFrame | None:
+    """A page table as store_pages() keeps it, or None. Groups and joins on report_id need no exchange."""
+    return spark.table(name) if spark.catalog.tableExists(name) else None
+
+
+def store_pages(pages: DataFrame, name: str, buckets: int = BUCKETS, **options: str) -> int:
+    """Adds the reports that a page table does not hold yet, and returns how many; stored reports are not written again.
+
+    The table is bucketed by report_id. A report lies in one file of its bucket, which appears whole or not at all, so a run that broke
+    off is taken up by the next. Where nothing is pending, nothing is written. options: of the writer, such as path.
+    """
+    spark = pages.sparkSession
+    known = stored_pages(spark, name)
+    if known is not None:
+        pages = pages.join(known.select("report_id").distinct(), "report_id", "left_anti")
+    added = pages.select("report_id").distinct().count()
+    if added:
+        dealt = pages.select("report_id", *[c for c in pages.columns if c != "report_id"]).repartition(buckets, "report_id")
+        dealt.write.mode("append").bucketBy(buckets, "report_id").sortBy("report_id", "page_idx").options(**options).saveAsTable(name)
+    return added
+
+
 def toc_documents(toc: DataFrame) -> DataFrame:
     """One row for each report: offset, number of entries, entries in order."""
     entry = F.struct("pos", "title", "reported_page_no", "start_page_idx", "end_page_idx")

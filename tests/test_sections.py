@@ -1,5 +1,7 @@
 """Hand-made reports for sections, notes and the documents made of them."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from pagesieve.config import SECTIONS, Theme, section
@@ -136,3 +138,70 @@ def test_files_of_documents(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/pages").count() == 2
     noise = P.report_noise(pages(spark, ("r", [(0, "某保险股份有限公司")])))
     assert P.without_noise_lines(pages(spark, ("r", [(5, "某保险股份有限公司\n正文\n12")])), noise).first()["text"] == "正文"
+
+
+def test_stored_reports_are_not_written_again(spark, tmp_path):
+    """A second run writes only what is pending, and nothing if nothing is; groups and joins on report_id need no exchange."""
+    frame = pages(spark, *[(f"r{i}", [(0, "某某保险股份有限公司"), (1, TOC), (6, f"合并资产负债表 {i}")]) for i in range(12)])
+    name, where = "stored_reports", f"{tmp_path}/stored"
+    written = lambda: sorted(p.name for p in (tmp_path / "stored").iterdir())
+    assert files.stored_pages(spark, name) is None
+    assert files.store_pages(frame.where("report_id < 'r5'"), name, 4, path=where) == 7
+    first = written()
+    assert files.store_pages(frame.where("report_id < 'r5'"), name, 4, path=where) == 0 and written() == first
+    assert files.store_pages(frame, name, 4, path=where) == 5 and set(first) < set(written())
+    stored = files.stored_pages(spark, name)
+    assert sorted(map(tuple, stored.select(*frame.columns).collect())) == sorted(map(tuple, frame.collect()))
+    docs = stored.groupBy("report_id").agg(F.count("*").alias("n")).join(stored.select("report_id", "text"), "report_id")
+    assert "Exchange" not in docs.hint("shuffle_hash")._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+    assert P.pending_reports(frame.select("report_id").distinct(), stored).count() == 0
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_page_range(spark):
+    frame = pages(spark, ("a", [(1, "x"), (3, "y"), (9, "z")]), ("b", [(2, "x")]))
+    spans = spark.createDataFrame([("a", 2, 9)], "report_id string, start_page_idx int, end_page_idx int")
+    assert sorted((r["report_id"], r["page_idx"]) for r in P.page_range(frame, spans).collect()) == [("a", 3), ("a", 9)]
+
+
+def test_mixed_contents_page(spark):
+    """Lines of both kinds and table rows on one page: each format counts by itself, repeated entries once."""
+    table = "<table><tr><td>公司简介</td><td>4</td></tr><tr><td>合并利润表</td><td>8</td></tr></table>"
+    text = f"目录\n管理层讨论与分析 3\n合并资产负债表 6\n合并利润表 8\n10 财务报表附注\n12 补充资料\n14 附录\n{table}"
+    frame = pages(spark, ("m", [(1, text), (40, "合并利润表"), (60, "末")]))
+    toc = [(r["title"], r["reported_page_no"], r["start_page_idx"], r["end_page_idx"]) for r in jobs.toc_scan(frame).orderBy("pos").collect()]
+    assert toc == [("管理层讨论与分析", 3, 35, 35), ("公司简介", 4, 36, 37), ("合并资产负债表", 6, 38, 39), ("合并利润表", 8, 40, 41), ("财务报表附注", 10, 42, 43), ("补充资料", 12, 44, 45), ("附录", 14, 46, 60)]
+
+
+def test_spans_are_repaired(spark):
+    """Two entries on one page give a span that ends before it starts; later entries mend it."""
+    merged = [(1, "目录\n经营业绩 3\n经营分析 5\n公司治理 5\n其他 9"), (3, "经营业绩回顾与分析"), (5, "公司治理"), (20, "末")]
+    single = [(1, "目录\n合并资产负债表 6\n合并利润表 6\n其他 9"), (6, "合并资产负债表"), (20, "末")]
+    found = spans(pages(spark, ("m", merged), ("s", single)))
+    assert found["m", "management-discussion"] == (3, 4, False) and found["s", "balance-sheet"] == (6, 8, False)
+
+
+def test_section_plan_reads_pages_twice(spark, tmp_path):
+    """Two scans, at most three exchanges, one join, and each cleaning rule once."""
+    pages(spark, ("r", [(1, TOC), (6, "合并资产负债表")])).write.parquet(f"{tmp_path}/pages")
+    plan = jobs.section_documents(spark.read.parquet(f"{tmp_path}/pages"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and plan.count("Exchange hashpartitioning") <= 3 and len(re.findall(r"[+:]- .*Join", plan)) == 1
+    assert plan.count(r"(20\d{2})\1年") == 1
+
+
+def test_theme_plan_cleans_once(spark, tmp_path):
+    from pagesieve.operators import themes as T
+
+    pages(spark, ("r", [(1, TOC)])).write.parquet(f"{tmp_path}/pages")
+    hits = T.hits_of_themes(spark.read.parquet(f"{tmp_path}/pages"), {f"t{i}": (f"词{i}", "共同") for i in range(10)})
+    plan = T.top_hits(hits, by=("report_id", "theme"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(r"(20\d{2})\1年") == 1 and plan.count("FileScan") == 1
+
+
+def test_words_within_words(spark):
+    from pagesieve.operators import themes as T
+
+    words = ("保险", "保险服务", "保险服务收入", "服务", "收入", "a.b", "b")
+    rows = spark.createDataFrame([("保险服务收入",), ("保险收入",), ("服务a.b",), ("axb",), ("",)], "t string")
+    found = [sorted(r["w"]) for r in rows.select(T.found_words(F.col("t"), words).alias("w")).collect()]
+    assert found == [sorted(w for w in words if w in t["t"]) for t in rows.collect()]
