@@ -5,10 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import Theme
+from ..functions import cleaning as L
 from ..operators import notes as N
 from . import jobs
 from .queries import LOCATED_SQL, RANGES_SQL, SPANS_SQL, VERIFIED_SQL, query, stripped_sql
-from .standins import LEDGER_SQL, ledger_pages
+from .standins import LEDGER_SQL, grouped, ledger_pages, read
 from .store import stored
 
 _BREAK = "chr(10) || chr(10) || '---' || chr(10) || chr(10)"
@@ -150,3 +152,38 @@ def statement_notes(spark, sf_dir):
 FROM (SELECT report_id, count(*) AS groups, count(body) AS matched FROM titled GROUP BY 1) FULL JOIN (SELECT report_id, count(note_no) AS note_blocks, count(*) FILTER (note_no IS NULL) AS unassigned FROM ruled GROUP BY 1) USING (report_id)""")
 def ledger_note_stats(spark, sf_dir):
     return _matched(spark, sf_dir)[1]
+
+
+#: Two amounts of each line item as a parser leaves them, by form: glued, glued to a share, in a formula, a compact date behind an amount, letters apart.
+_AMOUNTS = f"SELECT l_orderkey, l_linenumber, {grouped('a')} AS a, {grouped('b')} AS b, b % 90 + 10 AS share, b % 28 + 1 AS day, 2000 + b % 99 AS year, f FROM (SELECT l_orderkey, l_linenumber, cast(round(l_extendedprice * 100) AS bigint) + 1000 AS a, cast(l_partkey AS bigint) * 7919 + 1000 AS b, (l_orderkey + l_linenumber) % 5 AS f FROM {{lineitem}})"
+_GLUED = "CASE f WHEN 0 THEN 'Sum ' || a || b || ' in all' WHEN 1 THEN a || share || '.5%' WHEN 2 THEN 'of $' || substring(cast(share AS string), 1, 1) || ' ' || substring(cast(share AS string), 2, 1) || ' . 5 \\\\%$ now' WHEN 3 THEN a || cast(year AS string) || '12' || lpad(cast(day AS string), 2, '0') || ' x' ELSE '$T o t a l$ ' || a END"
+_FREED = "CASE f WHEN 0 THEN 'Sum ' || a || '，' || b || ' in all' WHEN 1 THEN a || '，' || share || '.5%' WHEN 2 THEN 'of ' || share || '.5% now' WHEN 3 THEN a || '，' || year || '年12月' || day || '日 x' ELSE 'Total ' || a END"
+
+
+@query(f"WITH amounts AS ({_AMOUNTS.format(lineitem='lineitem')}) SELECT l_orderkey, l_linenumber, {_FREED} AS text FROM amounts")
+def ocr_residue(spark, sf_dir):
+    """Amounts that were glued, apart or in formulas, cleaned and polished, one text for each line item."""
+    rows = spark.sql(_AMOUNTS, lineitem=read(spark, sf_dir, "lineitem")).selectExpr("l_orderkey", "l_linenumber", f"{_GLUED} AS text")
+    return rows.select("l_orderkey", "l_linenumber", L.polish_readability(L.clean_special_symbols(F.col("text"))).alias("text"))
+
+
+_THEMES = {"income": Theme(("保险收入", "利息收入", "heading")), "balance-sheet": Theme(("货币资金",), ("财务报表附注",), ("财务报表补充资料",))}
+
+
+@query(f"""WITH {LEDGER_SQL}, bounds AS (
+  SELECT p.report_id, s, coalesce(min(CASE WHEN page_idx > s AND contains(text, '财务报表补充资料') AND NOT (page_idx <= 20 AND contains(text, '目录')) THEN page_idx END) - 1, max(page_idx)) AS e
+  FROM pages p JOIN (SELECT report_id, min(page_idx) AS s FROM pages WHERE NOT (page_idx <= 20 AND contains(text, '目录')) AND contains(substring(text, 1, 220), '财务报表附注') GROUP BY 1) USING (report_id) GROUP BY ALL
+), scored AS (
+  SELECT p.report_id, page_idx, CASE WHEN contains(text, '保险收入') THEN 12 ELSE 0 END + CASE WHEN contains(text, '利息收入') THEN 12 ELSE 0 END + CASE WHEN contains(text, 'heading') THEN 21 ELSE 0 END AS words, CASE WHEN contains(text, '<table>') THEN 15 ELSE 0 END AS bonus
+  FROM pages p JOIN bounds b ON b.report_id = p.report_id AND page_idx BETWEEN s AND e
+), hits AS (SELECT report_id, page_idx, words + bonus AS score, page_idx - row_number() OVER (PARTITION BY report_id ORDER BY page_idx) AS run FROM scored WHERE words > 0),
+best AS (SELECT report_id, string_agg(page_idx || ':' || score, ',' ORDER BY score DESC, page_idx) AS hits FROM hits GROUP BY 1),
+runs AS (SELECT report_id, string_agg(a || '-' || z, ',' ORDER BY a) AS windows FROM (SELECT report_id, min(page_idx) AS a, max(page_idx) AS z FROM hits GROUP BY report_id, run) GROUP BY 1)
+SELECT report_id, 'income' AS theme, s AS start_page_idx, e AS end_page_idx, hits, windows FROM bounds LEFT JOIN best USING (report_id) LEFT JOIN runs USING (report_id)""")
+def theme_in_notes(spark, sf_dir):
+    """A theme's hits and their windows within the notes, whose bounds the default theme gives."""
+    found = jobs.theme_results(_pages(spark, sf_dir), "income", _THEMES, scope="notes")
+    text = lambda c, f: F.array_join(F.transform(c, f), ",")
+    hits = text("hits", lambda h: F.concat_ws(":", h["page_idx"].cast("string"), h["score"].cast("string")))
+    windows = text("hit_windows", lambda w: F.concat_ws("-", w["start_page_idx"].cast("string"), w["end_page_idx"].cast("string")))
+    return found.select("report_id", "theme", "note_window.start_page_idx", "note_window.end_page_idx", hits.alias("hits"), windows.alias("windows"))

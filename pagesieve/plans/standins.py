@@ -68,7 +68,7 @@ ITEMS_SQL = """items AS (
 )"""
 
 
-def _grouped(n: str) -> str:
+def grouped(n: str) -> str:
     """A whole number below 10**12 with commas, as an expression."""
     part = lambda i: f"cast(floor({n} / {1000**i}) AS bigint)"
     three = lambda i: f"lpad(cast({part(i)} % 1000 AS string), 3, '0')"
@@ -84,7 +84,7 @@ def _grouped(n: str) -> str:
 #: by (k + i) % 5: with a heading, without one, with the end of the note before, with subsections, and as an HTML table.
 _NOTE_NAME = "CASE i WHEN 4 THEN '货币资金' WHEN 5 THEN '交易资产' WHEN 6 THEN '衍生资产（净额）' WHEN 7 THEN '存出保证金' WHEN 8 THEN '定期存款' WHEN 9 THEN '投资资产' WHEN 10 THEN '保险收入' WHEN 11 THEN '利息收入' WHEN 12 THEN '分红收入' WHEN 13 THEN '其他收益' ELSE '业务费用' END"
 _NOTE_REF = "CASE WHEN k % 9 = 2 THEN '' WHEN i = 6 THEN '6/2(3)' WHEN i = 7 THEN '7(2)' WHEN i = 8 THEN '8(5)' WHEN i = 12 THEN '12（2）' WHEN i = 5 AND k % 2 = 0 THEN '4' ELSE cast(i AS string) END"
-LEDGER_NOTES = f"""SELECT *, {_NOTE_NAME} AS item, {_NOTE_REF} AS ref, {_grouped('cents')} AS cur, {_grouped('units')} AS prior FROM (
+LEDGER_NOTES = f"""SELECT *, {_NOTE_NAME} AS item, {_NOTE_REF} AS ref, {grouped('cents')} AS cur, {grouped('units')} AS prior FROM (
   SELECT cast(l_suppkey AS int) AS k, cast(l_partkey % 11 + 4 AS int) AS i, cast(sum(round(l_extendedprice * 100)) AS bigint) AS cents, cast(sum(l_quantity) * 100 + 7 AS bigint) AS units FROM {{lineitem}} GROUP BY l_suppkey, l_partkey % 11 + 4
 )"""
 _TWO = "chr(10) || chr(10)"
@@ -127,7 +127,7 @@ def ledger_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: A page for each nation with a table of its customers by segment: a header of two rows with merged cells, line breaks, bars, labels left blank,
 #: repeated totals, a blank row; for nations with an even number and four segments section rows that split it.
-_SEGMENTS = f"""SELECT k, row_no, m, name, {_grouped('n')} AS n, {_grouped('cents')} AS cents FROM (
+_SEGMENTS = f"""SELECT k, row_no, m, name, {grouped('n')} AS n, {grouped('cents')} AS cents FROM (
   SELECT cast(c_nationkey AS int) AS k, cast(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS int) AS row_no, cast(count(*) OVER (PARTITION BY c_nationkey) AS int) AS m, c_mktsegment AS name, count(*) AS n, cast(sum(abs(round(c_acctbal * 100))) AS bigint) AS cents FROM {{customer}} GROUP BY c_nationkey, c_mktsegment
 )"""
 _TR = "'<tr><td>' || {0} || '</td><td>' || {1} || '</td><td>' || {2} || '</td></tr>'"
