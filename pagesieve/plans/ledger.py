@@ -155,7 +155,7 @@ def ledger_note_stats(spark, sf_dir):
 
 
 #: Two amounts of each line item as a parser leaves them, by form: glued, glued to a share, in a formula, a compact date behind an amount, letters apart.
-_AMOUNTS = f"SELECT l_orderkey, l_linenumber, {grouped('a')} AS a, {grouped('b')} AS b, b % 90 + 10 AS share, b % 28 + 1 AS day, 2000 + b % 99 AS year, f FROM (SELECT l_orderkey, l_linenumber, cast(round(l_extendedprice * 100) AS bigint) + 1000 AS a, cast(l_partkey AS bigint) * 7919 + 1000 AS b, (l_orderkey + l_linenumber) % 5 AS f FROM {{lineitem}})"
+_AMOUNTS = f"SELECT l_orderkey, l_linenumber, {grouped('a')} AS a, {grouped('b')} AS b, b % 90 + 10 AS share, b % 28 + 1 AS day, 2000 + b % 99 AS year, f FROM (SELECT l_orderkey, l_linenumber, cast(floor(l_extendedprice) AS bigint) * 1000 + 1511 AS a, cast(l_partkey AS bigint) * 7919 + 1000 AS b, (l_orderkey + l_linenumber) % 5 AS f FROM {{lineitem}})"
 _GLUED = "CASE f WHEN 0 THEN 'Sum ' || a || b || ' in all' WHEN 1 THEN a || share || '.5%' WHEN 2 THEN 'of $' || substring(cast(share AS string), 1, 1) || ' ' || substring(cast(share AS string), 2, 1) || ' . 5 \\\\%$ now' WHEN 3 THEN a || cast(year AS string) || '12' || lpad(cast(day AS string), 2, '0') || ' x' ELSE '$T o t a l$ ' || a END"
 _FREED = "CASE f WHEN 0 THEN 'Sum ' || a || '，' || b || ' in all' WHEN 1 THEN a || '，' || share || '.5%' WHEN 2 THEN 'of ' || share || '.5% now' WHEN 3 THEN a || '，' || year || '年12月' || day || '日 x' ELSE 'Total ' || a END"
 
