@@ -15,7 +15,7 @@ A document's set holds its distinct word shingles. Two documents link when
    leaders, and groups are dealt into blocks that all hold their leader.
 4. Signature trees: the nodes of a block's tree hold OR-combined shingle bitmaps and size ranges. A dual
    traversal drops node pairs whose largest possible overlap is too small, and those already known to be
-   connected; the remaining pairs of sets are counted exactly. The links found give verified classes.
+   connected; the remaining sets are counted exactly, each with all of the other node at once. The links found give verified classes.
 5. In the larger clusters, only cells that hold sets of several classes are looked at again, first with their leaders,
    and what is then still open as whole cells. A cell with more than ``BLOCK`` sets outside its main class is crowded. Linked
    sets share three parts (by MinHash all but 3e-9 of pairs at the limit share two cells): they meet in a cell that isn't
@@ -43,6 +43,8 @@ from .words import mix, windows, word_hashes
 SPARE = 3
 BLOCK = 128
 FANOUT = 4
+#: Level of the nodes whose sets are counted together (FANOUT ** LEAVES sets), and words of exact bit rows in a block.
+LEAVES, MOST_WORDS = 2, 1 << 22
 #: MinHash values in a cell of the second cover, and the greatest chance that it misses a pair at the limit.
 MIN_ROWS, MISS = 6, 1e-10
 #: Sizes up to which a cover has its own number of parts; each is about 1.35 times the one before.
@@ -176,36 +178,66 @@ def _may_link(a, b, percent: int) -> bool:
     return most * (100 + percent) >= percent * (loa + lob)
 
 
-def traverse(a: Tree, b: Tree, ia: list[int], ib: list[int], known: Classes, percent: int) -> list[tuple[int, int]]:
-    """Links that join classes, from a dual traversal of two trees (or one tree with itself).
+def traverse(tree: Tree, known: Classes, percent: int) -> list[tuple[int, int]]:
+    """Links that join classes, from a dual traversal of a tree with itself; the tree's sets have the same places in known.
 
-    ia, ib: places of the trees' sets in known.
+    Pairs of nodes above few sets are counted set by set, each with all that the other node holds of other classes.
     """
-    found, same = [], a is b
-    todo = [(len(a.levels) - 1, 0, len(b.levels) - 1, 0)]
+    found, overlaps = [], Overlaps(tree.sets)
+    todo = [(len(tree.levels) - 1, 0, len(tree.levels) - 1, 0)]
     while todo:
         la, i, lb, j = todo.pop()
-        if la == lb == 0:
-            x, y = a.members[i][0], b.members[j][0]
-            if (same and i >= j) or known.find(ia[x]) == known.find(ib[y]) or not _may_link(a.node(0, i), b.node(0, j), percent):
-                continue
-            sx, sy = a.sets[x], b.sets[y]
-            both = len(np.intersect1d(sx, sy, assume_unique=True))
-            if 100 * both >= percent * (len(sx) + len(sy) - both) and known.join(ia[x], ib[y]):
-                found.append((ia[x], ib[y]))
+        own = la == lb and i == j
+        if not own and not _may_link(tree.node(la, i), tree.node(lb, j), percent):
             continue
-        if not (same and la == lb and i == j) and not _may_link(a.node(la, i), b.node(lb, j), percent):
+        left, right = tree.below(la, i), tree.below(lb, j)
+        if len({known.find(x) for x in left} | {known.find(y) for y in right}) == 1:
             continue
-        if len({known.find(ia[x]) for x in a.below(la, i)} | {known.find(ib[y]) for y in b.below(lb, j)}) == 1:
+        if max(la, lb) <= LEAVES:
+            for n, x in enumerate(left):
+                top = known.find(x)
+                others = [y for y in (right[n + 1 :] if own else right) if known.find(y) != top]
+                for y in overlaps.linked(x, np.array(others, np.int64), percent).tolist() if others else ():
+                    if known.join(x, y):
+                        found.append((x, y))
             continue
-        widen = lambda level, at, tree: [(level - 1, c) for c in range(at * FANOUT, min((at + 1) * FANOUT, len(tree.levels[level - 1][0])))] if level else [(0, at)]
-        for la2, i2 in widen(la, i, a):
-            for lb2, j2 in widen(lb, j, b):
-                if not (same and la2 == lb2 and i2 > j2):
+        widen = lambda level, at: [(level - 1, c) for c in range(at * FANOUT, min((at + 1) * FANOUT, len(tree.levels[level - 1][0])))] if level else [(0, at)]
+        for la2, i2 in widen(la, i):
+            for lb2, j2 in widen(lb, j):
+                if not (own and i2 > j2):
                     todo.append((la2, i2, lb2, j2))
     return found
 
 
+class Overlaps:
+    """Exact sizes of intersections among the sets of one block.
+
+    The block's distinct shingles are numbered, so each set is a row of bits without collisions; a row meets many at once. Where these rows would
+    take more than MOST_WORDS words in all, two sets are intersected as they are.
+    """
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets, self.rows = sets, None
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        known = np.unique(np.concatenate(sets))
+        words = -(-len(known) // 64)
+        if words * len(sets) <= MOST_WORDS:
+            self.rows = np.zeros((len(sets), words), np.uint64)
+            for row, s in zip(self.rows, sets, strict=True):
+                at = np.searchsorted(known, s)
+                np.bitwise_or.at(row, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+
+    def of(self, x: int, others: np.ndarray) -> np.ndarray:
+        if self.rows is None:
+            return np.array([len(np.intersect1d(self.sets[x], self.sets[y], assume_unique=True)) for y in others], np.int64)
+        return np.bitwise_count(self.rows[others] & self.rows[x]).sum(1, dtype=np.int64)
+
+    def linked(self, x: int, others: np.ndarray, percent: int) -> np.ndarray:
+        """Those of others that link with set x."""
+        both = self.of(x, others)
+        return others[100 * both >= percent * (self.sizes[x] + self.sizes[others] - both)]
+
+
 COVERS = {"parts": signatures, "minhash": minhash_signatures}
 
 
@@ -251,8 +283,7 @@ def _tree_links(percent: int):
         keys, known, first = group["set_key"].to_numpy(), Classes(len(sets)), {}
         for i, c in enumerate(group["class"]):
             known.join(first.setdefault(c, i), i)
-        tree, at = Tree(sets, bitmap_bits(sets)), list(range(len(sets)))
-        links = traverse(tree, tree, at, at, known, percent)
+        links = traverse(Tree(sets, bitmap_bits(sets)), known, percent)
         return pd.DataFrame({"a": [keys[i] for i, _ in links], "b": [keys[j] for _, j in links]}, dtype="int64")
 
     return run

@@ -94,6 +94,28 @@ def test_jaccard_join_of_texts_with_one_notice(spark, monkeypatch, percent, cove
     assert [r["component_id"] for r in out] == jaccard_classes(texts, 3, percent)[1]
 
 
+@pytest.mark.parametrize("words_allowed", [0, 1 << 22])
+def test_trees_find_all_links(monkeypatch, words_allowed):
+    """Classes of a block against all pairs, by rows of bits and by plain intersection, from single sets and from known classes."""
+    monkeypatch.setattr(signature_tree_join, "MOST_WORDS", words_allowed)
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 17, 90):
+        bases = [np.unique(rng.integers(0, 2**63, rng.integers(1, 120)).astype(np.uint64)) for _ in range(6)]
+        sets = [np.unique(np.concatenate([b[rng.random(len(b)) > 0.06], rng.integers(0, 2**63, rng.integers(0, 3)).astype(np.uint64), b[:1]])) for b in (bases[i % 6] for i in range(n))]
+        known, plain = signature_tree_join.Classes(n), list(range(n))
+        for a, b in [(0, n - 1)] * (n > 2):
+            known.join(a, b)
+            plain = [min(a, b) if x in (a, b) else x for x in plain]
+        for i, j in combinations(range(n), 2):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = plain[i], plain[j]
+                plain = [min(a, b) if x in (a, b) else x for x in plain]
+        links = signature_tree_join.traverse(signature_tree_join.Tree(sets, signature_tree_join.bitmap_bits(sets)), known, 80)
+        assert [known.find(i) for i in range(n)] == plain
+        assert all(100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j])) for i, j in links)
+
+
 def test_sets_of_one_cluster_move_in_proportion(spark):
     """20,000 sets in one cluster, a chain in which all share a cell and no two are linked: a few seats for each."""
     seats = []
