@@ -20,7 +20,7 @@ A document's set holds its distinct word shingles. Two documents link when
    and what is then still open as whole cells. A cell with more than ``BLOCK`` sets outside its main class is crowded. Linked
    sets share three parts (by MinHash all but 3e-9 of pairs at the limit share two cells): they meet in a cell that isn't
    crowded, or share two crowded ones or one and an empty part, so crowded cells are split by pairs of these. What moves grows with the cells that sets share and not with the square of a cluster;
-   where the blocks of a whole cluster, in pairs, are fewer seats still, they are taken. Links between
+   where an affine plane of the whole cluster, whose lines are blocks, makes fewer seats still, it is taken. Links between
    members of one class cannot change the classes, so nothing is lost.
 
 Shingles and sets are compared by 64-bit hashes.
@@ -388,29 +388,54 @@ def _in_units(members: DataFrame, alike: DataFrame) -> DataFrame:
     return _dealt(members.join(once, "cell").select(F.col("cell").alias("unit"), "set_key", "class"))
 
 
-def _cheaper(dealt: DataFrame, clusters: DataFrame) -> DataFrame:
-    """dealt (as _dealt() gives it), where the units of a cluster would seat its sets more often than all its blocks in pairs do, with the cluster as one unit.
+@lru_cache(1)
+def _orders() -> list[int]:
+    """Primes, each at most about a tenth above the one before."""
+    out = [2, 3]
+    while out[-1] < 10**7:
+        n = max(out[-1] + 2, int(out[-1] * 1.1)) | 1
+        while any(n % d == 0 for d in range(3, int(n**0.5) + 1, 2)):
+            n += 2
+        out.append(n)
+    return out
 
-    Sets of one unit are of one cluster, so no two of them miss each other. clusters: (set_key, cluster). Seats are counted from the
-    sizes of the units; none is made for it.
+
+def _order(sets: Column) -> Column:
+    """Of the plane whose lines hold about 2 * BLOCK of so many sets."""
+    orders = F.array(*map(F.lit, _orders())).cast("array<long>")
+    return F.array_min(F.filter(orders, lambda q: q * (2 * BLOCK) >= sets))
+
+
+def plane_seats(members: DataFrame) -> DataFrame:
+    """members: (unit, set_key, order). (unit, block, set_key) so that any two sets of a unit meet.
+
+    Sets are points of an affine plane over the numbers below a prime, its lines are the blocks: two points lie on one line, and each point on order + 1
+    lines. Pairs of blocks would seat every set nearly twice as often.
+    """
+    q = F.col("order")
+    at = [F.pmod(F.xxhash64("set_key", F.lit(i)), q) for i in (1, 2)]
+    lines = F.transform(F.sequence(F.lit(0).cast("long"), q - 1), lambda m: F.concat_ws(":", m.cast("string"), F.pmod(at[1] - m * at[0], q).cast("string")))
+    return members.select("unit", F.explode(F.array_append(lines, F.concat(F.lit("v:"), at[0].cast("string")))).alias("block"), "set_key")
+
+
+def _dense(dealt: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(set_key, unit, order) of the clusters whose units (as _dealt() gives them) would seat their sets more often than a plane of the whole cluster.
+
+    Sets of one unit are of one cluster. clusters: (set_key, cluster). Seats are counted from the sizes of the units; none is made for it.
     """
     outer, inner = _blocks(F.col("outside")), _blocks(F.col("inside"))
     own = F.when(F.col("total") <= BLOCK, 1).when(F.col("class") == F.col("main"), outer).otherwise(outer + inner)
     seated = dealt.groupBy("set_key").agg(F.sum(own).alias("seats")).join(clusters, "set_key")
-    costs = seated.groupBy("cluster").agg(F.sum("seats").alias("seats"), F.count("*").alias("sets"))
-    dense = stage(costs.where(F.col("seats") > F.col("sets") * _blocks(F.col("sets"))).select("cluster"))
-    if dense.isEmpty():
-        return dealt
-    named = dealt.join(clusters.join(dense, "cluster"), "set_key", "left")
-    whole = _dealt(stage(named.where("cluster is not null").select(F.col("cluster").alias("unit"), "set_key", "class").distinct()))
-    return named.where("cluster is null").drop("cluster").unionByName(whole)
+    costs = seated.groupBy("cluster").agg(F.sum("seats").alias("seats"), F.count("*").alias("sets")).withColumn("order", _order(F.col("sets")))
+    dense = costs.where((F.col("sets") > BLOCK) & (F.col("seats") > F.col("sets") * (F.col("order") + 1))).select("cluster", "order")
+    return stage(seated.join(dense, "cluster").select("set_key", F.col("cluster").alias("unit"), "order"))
 
 
 def cell_seats(held: DataFrame, parts: DataFrame) -> DataFrame:
     """held: (set_key, class, cell, cluster); parts: (set_key, parts), what a set may share besides its cells. (unit, block, set_key) so
     that any two sets of different classes meet in a block if they share a cell that isn't split, or one that is and a
     second that is too, or one that is and a part. Sets that share any cell that isn't split need no seat for the others.
-    In a cluster whose sets share so many cells that pairs of blocks of all its sets are fewer seats, those are taken."""
+    In a cluster whose sets share so many cells that the lines of a plane are fewer seats, those are taken."""
     alike = stage(_alike(held))
     first = stage(_in_units(held, alike))
     both, hot = first.where(F.col("outside") <= BLOCK), first.where(F.col("outside") > BLOCK)
@@ -423,13 +448,15 @@ def cell_seats(held: DataFrame, parts: DataFrame) -> DataFrame:
         pairs = F.flatten(F.transform("own", lambda p, i: F.transform(other(i), lambda q: F.xxhash64(F.least(p, q), F.greatest(p, q)))))
         split = stage(own.select("set_key", "class", F.explode(pairs).alias("cell")))
         both = both.unionByName(_in_units(split, _alike(split)))
-    both = _cheaper(stage(both), held.select("set_key", "cluster").distinct())
+    both = stage(both)
+    dense = _dense(both, held.select("set_key", "cluster").distinct())
+    both = both.join(dense.select("set_key"), "set_key", "left_anti")
     outer, inner = _blocks(F.col("outside")), _blocks(F.col("inside"))
     is_main = F.col("class") == F.col("main")
     own = F.when(is_main, outer + _block_of(inner)).otherwise(_block_of(outer))
     others = F.sequence(F.lit(0), F.when(is_main, outer - 1).otherwise(outer + inner - 1))
     met = F.when(F.col("total") <= BLOCK, F.array(F.lit("0"))).otherwise(F.transform(others, lambda o: F.concat_ws(":", F.least(o, own), F.greatest(o, own))))
-    return both.select("unit", F.explode(met).alias("block"), "set_key")
+    return both.select("unit", F.explode(met).alias("block"), "set_key").unionByName(plane_seats(dense))
 
 
 def _reopened(celled: DataFrame, shared: DataFrame, large: DataFrame, links: DataFrame, percent: int) -> Iterator[DataFrame]:

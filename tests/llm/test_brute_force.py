@@ -145,14 +145,14 @@ def test_sets_that_share_crowded_cells_meet(spark, monkeypatch):
             assert (x, y) in met
 
 
-def test_sets_of_a_dense_cluster_meet_in_its_blocks(spark, monkeypatch):
-    """300 sets, each in many of 40 cells: no more seats than all blocks in pairs, and each two sets of different classes meet. A sparse cluster keeps its cells."""
+def test_sets_of_a_dense_cluster_meet_in_a_plane(spark, monkeypatch):
+    """300 sets, each in many of 40 cells: a plane of order 17, in which any two meet. A sparse cluster keeps its cells."""
     monkeypatch.setattr(signature_tree_join, "BLOCK", 10)
     rng = np.random.default_rng(4)
     rows = [(k, k, int(c), 0) for k in range(300) for c in rng.choice(40, 25, replace=False)] + [(k, k, 1000 + k // 2, 1) for k in range(300, 340)] + [(k, k, 1000 + (k + 1) // 2, 1) for k in range(300, 340)]
     held = spark.createDataFrame(rows, "set_key long, class long, cell long, cluster long")
     seats = signature_tree_join.cell_seats(held, held.groupBy("set_key").agg(F.array().cast("array<bigint>").alias("parts"))).collect()
-    assert sum(r["set_key"] < 300 for r in seats) <= 300 * 31 and sum(r["set_key"] >= 300 for r in seats) <= 80
+    assert sum(r["set_key"] < 300 for r in seats) == 300 * 18 and sum(r["set_key"] >= 300 for r in seats) <= 80
     blocks = {}
     for r in seats:
         blocks.setdefault((r["unit"], r["block"]), set()).add(r["set_key"])
