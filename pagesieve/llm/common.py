@@ -69,6 +69,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: One folder in the shared one for each driver process.
 _RUN = f"pagesieve-{uuid.uuid4().hex}"
+#: Paths of this process's staged tables that are not deleted yet.
+_WRITTEN: list[str] = []
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -80,14 +82,32 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{_RUN}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stages_written() -> int:
+    return len(_WRITTEN)
+
+
+def drop_stages_since(spark: SparkSession, mark: int, but: int = 0) -> None:
+    """Delete the tables that stage() wrote since stages_written() gave mark, but the last ones (as many as but says)."""
+    gone = _WRITTEN[mark : len(_WRITTEN) - but]
+    for path in gone:
+        _delete(spark, path)
+        _WRITTEN.remove(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop_stages(spark: SparkSession) -> None:
     """Delete all tables that stage() wrote for this driver process; what was not written elsewhere is then lost."""
-    context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/{_RUN}")
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark).rstrip('/')}/{_RUN}")
+    _WRITTEN.clear()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pagesieve.llm import best_fit_pack, cutting_stock, disclosure, domain_mix, jpeg_media, license_rules, line_rules, quality_ftrl, queries, secret_models, signature_tree_join
-from pagesieve.llm.common import drop_stages, shared_dir, stage
+from pagesieve.llm.common import drop_stages, drop_stages_since, shared_dir, stage, stages_written
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, cell long, class int, label int, low string, rate double, weights string, removed string, terms int, _key long, _turn int, row string, `a.b` int, changed int"
 EXTRA = (7, 1, 1, 1, "x", 1.0, "w", "r", 5, 8, 9, "row", 3, 4)
@@ -152,6 +152,17 @@ def test_pipeline_end_to_end(spark, tmp_path):
     assert out.groupby("sequence_id")["length"].sum().max() <= 2048 and isinstance(out, pd.DataFrame)
 
 
+def test_stages_of_a_run_can_be_dropped(spark):
+    """Tables from before the mark and the last ones stay."""
+    before, mark = stage(spark.range(2)), stages_written()
+    gone, last = stage(spark.range(3)), stage(spark.range(4))
+    files = gone.inputFiles()
+    drop_stages_since(spark, mark, but=1)
+    assert before.count() == 2 and last.count() == 4 and stages_written() == mark + 1
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(*files).count()
+
+
 def test_stages_can_be_dropped(spark):
     held = stage(spark.range(3))
     assert held.count() == 3 and shared_dir(spark)
