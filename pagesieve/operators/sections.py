@@ -13,6 +13,7 @@ from .marks import page_marks, report_marks, rows_of, with_contents, with_noise,
 from .pages import TOC_LIMIT
 from .tables import html_toc_entries
 
+
 def section_spans(pages: DataFrame, sections: dict[str, Section] = SECTIONS, most: int | None = None, require_toc: bool = True) -> DataFrame:
     """(report_id, section, start_page_idx, end_page_idx, fallback_used, matched_titles) of all sections that are found; see with_spans()."""
     reports = with_spans(with_contents(report_marks(page_marks(pages, sections))), sections, most, require_toc)

@@ -6,7 +6,6 @@ Spark finds the tables and renders their grids by array functions; one vectorise
 from __future__ import annotations
 
 import html
-import re
 from html.parser import HTMLParser
 from typing import NamedTuple
 
