@@ -46,18 +46,23 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[ \n\t.,;:!?|]+"), lambda w: w != "")
 
 
-def measures_of(text: Column) -> Column:
-    """The binned measures of a text, as words."""
-    text = F.coalesce(text, F.lit(""))
+def with_measures(docs: DataFrame) -> DataFrame:
+    """Adds _measures, the binned measures of text, as words.
+
+    What is used more than once is a column of its own: Spark leaves such columns apart, while an interpreted expression (any with a
+    lambda) would make the same thing again at each of its places. Signs and capitals are taken out in one pass and told apart in what that leaves."""
+    text = F.coalesce("text", F.lit(""))
     size = F.greatest(F.length(text), F.lit(1))
-    lines = F.split(text, "\n")
-    left_out = lambda signs: (F.length(text) - F.length(F.regexp_replace(text, f"[{signs}]+", ""))) / size
-    return F.array(
-        _bin("signs", left_out(_SIGNS), 0.005, 0.02, 0.1),
-        _bin("capitals", left_out("A-Z"), 0.005, 0.05, 0.3),
-        _bin("repeats", F.size(lines) / F.size(F.array_distinct(lines)), 1.2, 2.0, 4.0),
-        _bin("length", F.length(text), 50, 200, 1000, 10000),
+    out = docs.withColumns({"_marks": F.regexp_replace(text, f"[^A-Z{_SIGNS}]+", ""), "_lines": F.split(text, "\n")})
+    out = out.withColumn("_upper", F.length(F.regexp_replace("_marks", f"[{_SIGNS}]+", "")))
+    shares = {"_signs": (F.length("_marks") - F.col("_upper")) / size, "_capitals": F.col("_upper") / size, "_repeats": F.size("_lines") / F.size(F.array_distinct("_lines")), "_length": F.length(text)}
+    binned = F.array(
+        _bin("signs", F.col("_signs"), 0.005, 0.02, 0.1),
+        _bin("capitals", F.col("_capitals"), 0.005, 0.05, 0.3),
+        _bin("repeats", F.col("_repeats"), 1.2, 2.0, 4.0),
+        _bin("length", F.col("_length"), 50, 200, 1000, 10000),
     )
+    return out.withColumns(shares).withColumn("_measures", binned).drop("_marks", "_lines", "_upper", *shares)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS) -> tuple[list[float], dict[str, list[float]]]:
@@ -68,7 +73,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     """
     known = labels.where("doc_id is not null").withColumn("k", domain_of(F.col("quality"), F.col("toxic"))).where("k is not null").groupBy("doc_id").agg(F.max("k").alias("k"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # the documented sample of labelled rows
-    rows = stage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("k", F.concat(F.array_distinct(words_of(F.col("text"))), measures_of(F.col("text"))).alias("terms")))
+    own = with_measures(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    rows = stage(own.select("k", F.concat(F.array_distinct(words_of(F.col("text"))), "_measures").alias("terms")))
     counts = {r["k"]: r["n"] for r in rows.groupBy("k").agg(F.count("*").alias("n")).collect()}
     n = [counts.get(k, 0) for k in range(len(DOMAINS))]
     per = [F.count_if(F.col("k") == k).alias(f"c{k}") for k in range(len(DOMAINS))]
@@ -93,7 +99,8 @@ def with_posteriors(docs: DataFrame, base: list[float], weights: dict[str, list[
     if weights:
         known = F.array(*[F.lit(w) for w in weights])
         table = F.create_map(*[x for w, v in weights.items() for x in (F.lit(w), F.array(*[F.lit(float(y)) for y in v]))])
-        docs = docs.withColumn("_present", F.concat(F.array_intersect("_words", known), F.array_intersect(measures_of(F.col("text")), known)))
+        own = F.array_distinct(F.filter("_words", lambda w: w.isin(*weights)))  # few are left to be told apart
+        docs = with_measures(docs).withColumn("_present", F.concat(own, F.array_intersect("_measures", known))).drop("_measures")
         logs = F.aggregate("_present", zero, lambda a, w: F.zip_with(a, F.element_at(table, w), lambda x, y: x + y))
     out = docs.withColumn("_logs", logs).withColumn("_most", F.array_max("_logs"))
     out = out.withColumn("_powers", F.array(*[F.exp(F.col("_logs")[k] - F.col("_most")) for k in range(len(DOMAINS))]))

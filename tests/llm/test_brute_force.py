@@ -592,6 +592,35 @@ def test_posteriors(spark):
         assert np.allclose([r[f"p_{d}"] for d in domain_mix.DOMAINS], np.exp(own - own.max()) / np.exp(own - own.max()).sum(), atol=1e-9)
 
 
+def plain_measures(text):
+    """The names of a text's bins, written out."""
+    t = text or ""
+    size, lines = max(len(t), 1), t.split("\n")
+    shares = {"signs": sum(c in "#*$%&|<>" for c in t) / size, "capitals": sum("A" <= c <= "Z" for c in t) / size, "repeats": len(lines) / len(set(lines)), "length": len(t)}
+    edges = {"signs": (0.005, 0.02, 0.1), "capitals": (0.005, 0.05, 0.3), "repeats": (1.2, 2.0, 4.0), "length": (50, 200, 1000, 10000)}
+    return [f"={k}:{sum(x >= e for e in edges[k])}" for k, x in shares.items()]
+
+
+def test_posteriors_with_measures(spark):
+    texts = [None, "", "\n\n", "ABC#*", "É\U0001f600Ä|<>& \U0001f600", "A" + "b" * 199, "#" + "x y" * 66, "a\nb\na\nb\na\na", "Good bad, GOOD bad", "x" * 10000, "##$$A%%B" * 130, "\r\n a\r\nA", "=signs:0 good"]
+    weights = {"good": [1.0, -1.0, 0.5], "bad": [-0.5, 0.25, 2.0]} | {f"={k}:{i}": [0.1 * i, 0.3 - 0.2 * j, -0.05 * i * j] for j, k in enumerate(("signs", "capitals", "repeats", "length")) for i in (0, 1, 3)}
+    base = [0.1, -0.2, 0.3]
+    docs = docs_of(spark, texts).withColumn("_words", domain_mix.words_of(F.col("text")))
+    assert [r["_measures"] for r in domain_mix.with_measures(docs).orderBy("doc_id").collect()] == [plain_measures(t) for t in texts]
+    for r in domain_mix.with_posteriors(docs, base, weights).collect():
+        own = {w for w in re.split("[ \n\t.,;:!?|]+", (texts[r["doc_id"]] or "").lower()) if w} | set(plain_measures(texts[r["doc_id"]]))
+        powers = np.exp(np.array(base) + sum((np.array(weights[w]) for w in own & set(weights)), np.zeros(3)))
+        assert np.allclose([r[f"p_{d}"] for d in domain_mix.DOMAINS], powers / powers.sum(), atol=1e-12)
+
+
+def test_measures_are_made_once(spark):
+    """The plan for all documents runs each pattern over a text once: one split into words, one into lines, one removal, one in what that leaves."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    plan = domain_mix.with_posteriors(docs.select("text", domain_mix.words_of(F.col("text")).alias("_words")), [0.0] * 3, {"good": [1.0, 0.0, 0.0], "=signs:0": [0.0, 1.0, 0.0]})
+    text = plan.select("p_clean", F.size("_words"))._jdf.queryExecution().executedPlan().toString()
+    assert (text.count("regexp_replace("), text.count("split(")) == (2, 2)
+
+
 def test_posteriors_of_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     out = domain_mix.expected(docs, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
