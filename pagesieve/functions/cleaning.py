@@ -28,6 +28,9 @@ _DATE = r"(?<!\d)(20\d{2})(?:0([1-9])|(1[0-2]))(?:0([1-9])|([12]\d|3[01]))"
 _DAY = "$1年$2$3月$4$5日"
 _AMOUNT = r"(\d{1,3}(?:,\d{3})+(?:\.\d+)?)"
 _WHOLE = r"(\d{1,3}(?:,\d{3})+)"
+#: Before an amount such as 12.345.67, whose first point stands for a comma: it is no part of a network address. In a chain of four numbers or more
+#: its middle one is then above 255; the ends of a chain do not tell, as other numbers may be glued to them.
+_NO_ADDRESS = r"(?:(?<!\d\.)|(?=\d+\.(?:25[6-9]|2[6-9]\d|[3-9])))(?!\d+\.(?:[01]|2[0-4]|25[0-5])\d*\.\d+\.\d)"
 #: One round over a line, in groups: what a text must hold for a group's rules to find anything, and the rules. Three rounds are made.
 _GROUPED = r"\d,\d{3}"
 RESIDUE: tuple[tuple[str, tuple[Rule, ...]], ...] = (
@@ -37,7 +40,7 @@ RESIDUE: tuple[tuple[str, tuple[Rule, ...]], ...] = (
         (rf"{_WHOLE}(?=\d{{1,3}}(?:,\d{{3}})+)", "$1 / "), (rf"{_WHOLE}(?=\d{{1,3}}(?:,\d{{3}})+\.\d)", "$1 / "),
         (r"(\d{1,3}(?:,\d{3})+\.\d+)(?=\d+(?:\.\d+)?%)", "$1 / "), (rf"{_WHOLE}(?=(?:\d{{1,3}}(?:,\d{{3}})+(?!\d)|\d+(?:\.\d+)?%))", "$1 / "),
     )),
-    (r"\d\.\d{3}\.\d{2}", ((r"(?<!\d)(\d{1,2})\.(\d{3}\.\d{2})(?!\d)", "$1,$2"),)),
+    (r"\d\.\d{3}\.\d{2}", ((rf"(?<!\d){_NO_ADDRESS}(\d{{1,2}})\.(\d{{3}}\.\d{{2}})(?!\d)", "$1,$2"),)),
     (r"日\d", ((r"(?<=日)(?=\d)", " "),)),
     (_GROUPED, ((rf"{_AMOUNT}(?=20\d{{2}}年)", "$1 / "),)),
     (r"%\d", ((r"(?<=%)(?=\d+-\d+年)", " / "),)),

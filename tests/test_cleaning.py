@@ -45,6 +45,22 @@ def test_clean(spark, f, value, wanted):
     assert one(spark, value, f) == wanted
 
 
+ADDRESSES = [
+    ("at 26.58.236.81 and", "at 26.58.236.81 and"),
+    ("at 92.142.22.65, 12.345.67", "at 92.142.22.65, 12,345.67"),
+    ("555-8050 68.66.253.95 7", "555-805068.66.253.957"),
+    ("3. 12.345.67", "3.12,345.67"),
+    ("12.345.67. 2025", "12,345.67.2025"),
+    ("12.255.67 12.256.67.8", "12.255.6712.256.67.8"),
+    ("12.256.67.8", "12,256.67.8"),
+]
+
+
+@pytest.mark.parametrize("value,wanted", ADDRESSES)
+def test_addresses_are_no_amounts(spark, value, wanted):
+    assert one(spark, value, L.clean_special_symbols) == wanted == L.plain_special_symbols(value)
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.text(alphabet="12345 0,.%年月日\n$\\{}^+ab中 ;:()", max_size=40), min_size=20, max_size=40))
 def test_both_forms_of_cleaning_agree(texts):

@@ -28,3 +28,20 @@ def rows(frame):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, name):
     assert rows(QUERIES[name](spark, DATA).toPandas()) == rows(db.sql(SQL[name]).df())
+
+
+def table(spark, db, name, path, made):
+    """A table as Spark reads it below path, and the same to DuckDB."""
+    made.write.parquet(f"{path}/{name}.parquet")
+    db.sql(f"CREATE TABLE {name} AS SELECT * FROM '{path}/{name}.parquet/*.parquet'")
+
+
+#: Network addresses beside the words that the queries look for; the second one with a number glued to it.
+ADDRESSED = ("A License at 26.58.236.81 und so", "The token +1 555-8050 68.66.253.95 is worthless", "Apache.\n92.142.22.65, License", "A token 3 . 5")
+
+
+@pytest.mark.parametrize("name", ["note_texts"])
+def test_addresses_stay(spark, tmp_path, name):
+    db = duckdb.connect()
+    table(spark, db, "documents", tmp_path, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(ADDRESSED)], "doc_id long, text string, lang string, source string, n_chars int"))
+    assert rows(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(db.sql(SQL[name]).df())
