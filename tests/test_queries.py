@@ -40,7 +40,7 @@ def table(spark, db, name, path, made):
 ADDRESSED = ("A License at 26.58.236.81 und so", "The token +1 555-8050 68.66.253.95 is worthless", "Apache.\n92.142.22.65, License", "A token 3 . 5")
 
 
-@pytest.mark.parametrize("name", ["note_texts"])
+@pytest.mark.parametrize("name", ["note_texts", "theme_hits", "hits_of_themes"])
 def test_addresses_stay(spark, tmp_path, name):
     db = duckdb.connect()
     table(spark, db, "documents", tmp_path, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(ADDRESSED)], "doc_id long, text string, lang string, source string, n_chars int"))
