@@ -58,6 +58,9 @@ RUNNING_HEADERS = (r"\n?财务报表\s*\n?二零二五年年报\s*\n?中国平
 # What a text must hold for these rules to find anything; one look in place of all of them.
 RESIDUE_SIGNS = "|".join(dict.fromkeys(sign for sign, _ in RESIDUE))
 NUMBER_SIGNS, SYMBOL_SIGNS = r"\d\s+[\d.%]|\.\s+\d", r"\s[%.,;:)]|\(\s|\n{3}"
+#: A compact date with blanks between its digits; a number of up to four digits alone on a text's last line, below a digit; a code point of no text.
+SPACED_DATE = r"(?<!\d)2\s*0\s*\d\s*\d\s*(?:0\s*[1-9]|1\s*[0-2])\s*(?:0\s*[1-9]|[12]\s*\d|3\s*[01])"
+PAGE_NUMBER, MARK = rf"\d(?=\s*?(?:{LINE_BREAKS}))\s+\d{{1,4}}\s*\Z", "\ufdd0"
 POLISH_SIGNS = r"/|%\s|\d\s+[，。；：]|[（(]\s|\s[）)]|\s{2}"
 
 
@@ -143,6 +146,13 @@ def clean_special_symbols(c: Column) -> Column:
     return strip(where_signs(c, SYMBOL_SIGNS, lambda x: apply(x, SYMBOL_SPACES)))
 
 
+def clean_page_symbols(c: Column) -> Column:
+    """clean_special_symbols() of a whole page: an amount and the page's number below it, whose digits are joined, make no date."""
+    apart = lambda m: F.regexp_replace(m, _java(r"\s+(?=\d+\Z)"), MARK)
+    c = where_signs(c, PAGE_NUMBER, lambda x: replace_each(x, _java(rf"{SPACED_DATE}(?=\d{{0,3}}\s*\Z)"), apart))
+    return where_signs(clean_special_symbols(c), MARK, lambda x: F.regexp_replace(x, _java(rf"(?<=\d){MARK}(?=\d)"), ""))
+
+
 def polish_readability(c: Column) -> Column:
     """Signs between amounts and blanks in every line that is no table row; null counts as empty."""
 

@@ -61,6 +61,24 @@ def test_addresses_are_no_amounts(spark, value, wanted):
     assert one(spark, value, L.clean_special_symbols) == wanted == L.plain_special_symbols(value)
 
 
+NUMBERED = [
+    ("Cash 202101\n31", "Cash 20210131"),
+    ("Cash 2001012 \n\n 31 ", "Cash 200101231"),
+    ("Cash 2 0 2 1\r\n0131", "Cash 20210131"),
+    ("Cash 20210131\n31", "Cash 2021年1月31日 31"),
+    ("on 2021\n0131 and\n7", "on 2021年1月31日 and\n7"),
+    ("1,234,567\n31", "1,234,567"),
+    ("1,234202101\n31", "1,234 / 2021年1月31日"),
+    ("a\ufdd0b 3\n31", "a\ufdd0b 331"),
+    ("20210131", "2021年1月31日"),
+]
+
+
+@pytest.mark.parametrize("value,wanted", NUMBERED)
+def test_page_numbers_end_no_date(spark, value, wanted):
+    assert one(spark, value, L.clean_page_symbols) == wanted
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.text(alphabet="12345 0,.%年月日\n$\\{}^+ab中 ;:()", max_size=40), min_size=20, max_size=40))
 def test_both_forms_of_cleaning_agree(texts):

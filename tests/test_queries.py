@@ -45,3 +45,11 @@ def test_addresses_stay(spark, tmp_path, name):
     db = duckdb.connect()
     table(spark, db, "documents", tmp_path, spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(ADDRESSED)], "doc_id long, text string, lang string, source string, n_chars int"))
     assert rows(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(db.sql(SQL[name]).df())
+
+
+def test_amounts_over_page_numbers(spark, tmp_path):
+    """Suppliers of larger tables, whose amounts and page numbers together look like dates."""
+    db = duckdb.connect()
+    suppliers = spark.createDataFrame([(k, f"Supplier {k}") for k in (1, 2001, 2004, 19812, 19822, 59999)], "s_suppkey long, s_name string")
+    table(spark, db, "supplier", tmp_path, suppliers)
+    assert rows(QUERIES["page_headers"](spark, str(tmp_path)).toPandas()) == rows(db.sql(SQL["page_headers"]).df())
